@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm import bpe
 from plumbline.llm.topn import best_trials
 from plumbline.session import table
 
@@ -12,7 +14,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return best_trials(table(spark, d, "trial_runs"))
 
 
-QUERIES = {"p5_found": p5_found}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents")).select("doc_id", bpe.ids(F.col("codes")).alias("ids"))
+
+
+QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids}
 
 P5_SQL = """
 with t as (select session_id, lower(trim(estimator_id, ' ' || chr(9))) as estimator_id, trial_id, perf, finished_at, config_id
