@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe
+from plumbline.llm.splits import FEATURES, NUMBERS, TEXTS, overlap_report, overlapping_rows
 from plumbline.llm.topn import best_trials
 from plumbline.session import table
 
@@ -18,7 +19,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents")).select("doc_id", bpe.ids(F.col("codes")).alias("ids"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlapping_rows(table(spark, d, "split_rows"))
+    return pairs.select(F.least("train_row", "eval_row").alias("row_a"), F.greatest("train_row", "eval_row").alias("row_b"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_report(table(spark, d, "split_rows"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids}
 
 P5_SQL = """
 with t as (select session_id, lower(trim(estimator_id, ' ' || chr(9))) as estimator_id, trial_id, perf, finished_at, config_id
@@ -28,4 +38,19 @@ c as (select *, row_number() over (partition by session_id, estimator_id, coales
 r as (select *, row_number() over (partition by session_id, estimator_id order by perf desc, finished_at nulls last, trial_id) as n from c where k = 1)
 select session_id, estimator_id, trial_id from r where n <= 5
 """
-SQL = {"p5_found": P5_SQL}
+_AGREE = " + ".join(
+    [f"(case when a.{f} is null or b.{f} is null then (a.{f} is null and b.{f} is null)::int else (isfinite(a.{f}) and isfinite(b.{f}) and abs(a.{f} - b.{f}) <= 0.005 * greatest(abs(a.{f}), abs(b.{f})))::int end)" for f in NUMBERS]
+    + [f"(a.{f} is not distinct from b.{f})::int" for f in TEXTS]
+)
+_P3 = f"""
+with s as (select distinct row_id, dataset_id, lower(trim(split, ' ' || chr(9))) as split, source, {', '.join(NUMBERS)},
+                  {', '.join(rf"regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]', '', 'g') as {c}" for c in TEXTS)}
+           from split_rows),
+p as (select a.row_id as ra, b.row_id as rb, b.split, b.source, {_AGREE} as agree
+      from s a join s b on a.dataset_id = b.dataset_id and a.split = 'train' and b.split in ('test', 'valid'))
+"""
+P3_SQL = _P3 + "select least(ra, rb) as row_a, greatest(ra, rb) as row_b from p where agree >= 10"
+P3_REPORT_SQL = _P3 + f"""
+select split, source, count(distinct rb) as n_rows, count(*) as n_pairs, count(*) filter (agree = {len(FEATURES)}) as n_equal_pairs
+from p where agree >= 10 group by split, source"""
+SQL = {"p3_found": P3_SQL, "p3_report": P3_REPORT_SQL, "p5_found": P5_SQL}
