@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe
+from plumbline.llm.mih import similar_pairs
 from plumbline.llm.splits import FEATURES, NUMBERS, TEXTS, overlap_report, overlapping_rows
 from plumbline.llm.topn import best_trials
 from plumbline.session import table
@@ -19,6 +20,10 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents")).select("doc_id", bpe.ids(F.col("codes")).alias("ids"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(table(spark, d, "task_vectors"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = overlapping_rows(table(spark, d, "split_rows"))
     return pairs.select(F.least("train_row", "eval_row").alias("row_a"), F.greatest("train_row", "eval_row").alias("row_b"))
@@ -28,7 +33,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(table(spark, d, "split_rows"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids}
 
 P5_SQL = """
 with t as (select session_id, lower(trim(estimator_id, ' ' || chr(9))) as estimator_id, trial_id, perf, finished_at, config_id
@@ -53,4 +58,12 @@ P3_SQL = _P3 + "select least(ra, rb) as row_a, greatest(ra, rb) as row_b from p
 P3_REPORT_SQL = _P3 + f"""
 select split, source, count(distinct rb) as n_rows, count(*) as n_pairs, count(*) filter (agree = {len(FEATURES)}) as n_equal_pairs
 from p where agree >= 10 group by split, source"""
-SQL = {"p3_found": P3_SQL, "p3_report": P3_REPORT_SQL, "p5_found": P5_SQL}
+P2_SQL = """
+with u as (select distinct task_id, dataset_embedding as v from task_vectors
+           where len(dataset_embedding) = 32 and len(list_filter(dataset_embedding, lambda x: x is not null and isfinite(x))) = 32),
+e as (select task_id, generate_subscripts(v, 1) as i, unnest(v)::double as x from u),
+d as (select a.task_id as q, b.task_id as t, sum((a.x - b.x) * (a.x - b.x)) as d from e a join e b on a.i = b.i and a.task_id <> b.task_id group by 1, 2),
+r as (select q, t, row_number() over (partition by q order by d, t) as n from d)
+select distinct least(q, t) as task_a, greatest(q, t) as task_b from r where n <= 5
+"""
+SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_report": P3_REPORT_SQL, "p5_found": P5_SQL}
