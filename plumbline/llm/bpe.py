@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut
+from plumbline.session import cut, keep
 
 TOKENIZERS = "/opt/tokenizers"
 #: The public tokenizer's way to cut a text into words, with Unicode white space spelled out for Java.
@@ -24,6 +24,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p
 #: Private-use characters that no token is written with: before an entry or unknown word, after it, after a key.
 OPEN, CLOSE, KEY = "\uE000", "\uE001", "\uE002"
 BUCKETS = 1 << 14
+#: So many of the most frequent words that aren't one token are looked up in a literal table too.
+FREQUENT = 1 << 14
 #: A dictionary of distinct unknown words up to this many bytes is broadcast, a larger one joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -61,6 +63,14 @@ class Vocabulary:
             except UnicodeDecodeError:
                 continue
 
+    @staticmethod
+    def maps(entries: list[tuple[str, str]]) -> Column:
+        """Entries by hash bucket, as an array of small maps that Spark folds into a literal."""
+        buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+        for key, value in entries:
+            buckets[xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS][key] = value
+        return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+
     @staticmethod
     def table(entries: list[tuple[str, str]]) -> str:
         """Entries by hash bucket, as one text that Spark splits into an array once."""
@@ -103,6 +113,15 @@ def _merge_all(word: Column, v: Vocabulary) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)["s"]
 
 
+def _look(maps: Column, key: Column) -> Column:
+    return F.try_element_at(F.get(maps, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
+
+
+def _raw(word: Column) -> Column:
+    """The bytes of a word as characters, marked as not encoded yet."""
+    return F.concat(F.lit(OPEN), F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit(CLOSE))
+
+
 def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document as (``key``, codes): a string with one character per token of byte_bpe_50k.
 
@@ -110,41 +129,43 @@ def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, key: str = "doc_i
     columns don't come out. Special tokens in a text are ordinary text.
 
     Words that are one token are looked up in a literal table, which is as large as the vocabulary.
-    Only the distinct other words are folded, each once; they grow far slower than the texts. Their dictionary
-    is broadcast behind a check of its size and joined by shuffle beyond it. Texts go through one
-    shuffle, already encoded but for the unknown words, so no word that is common makes a hot partition.
+    Only the distinct other words are folded, each once; they grow far slower than the texts. Of those the
+    FREQUENT most frequent ones, counted over all documents, are looked up in a literal table as well. The
+    rest, which no longer has hot words, is joined: by broadcast behind a check of the dictionary's size, by shuffle
+    beyond it.
     """
     v = vocabulary(f"{tokenizers}/byte_bpe_50k.json")
-    known = F.split(F.lit(Vocabulary.table(v.words)), CLOSE)
-
-    def draft(w: Column) -> Column:
-        raw = F.concat(F.lit(OPEN), F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), F.lit(CLOSE))
-        return _let(F.when(F.contains(w, F.lit(OPEN)), F.lit("")).otherwise(_find(known, w)), lambda c: F.when(c == "", raw).otherwise(c))
-
+    single = Vocabulary.maps(v.words)
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS), F.lit(0))
-    drafts = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.array_join(F.transform(words, draft), "").alias("_draft"))
-    drafts = cut(drafts.repartition("_row"))
+    split_up = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), words.alias("_words"))
+    looked_up = split_up.select("_row", "_key", "_words", F.transform("_words", lambda w: _look(single, w)).alias("_codes"))
+    drafts = keep(looked_up.select("_row", "_key", F.array_join(F.zip_with("_words", "_codes", lambda w, c: F.coalesce(c, _raw(w))), "").alias("_draft")))
 
     pieces = F.split("_draft", OPEN)
     unknown = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, CLOSE, 1))
-    distinct = drafts.select(F.explode(F.array_distinct(unknown)).alias("_word")).distinct()
-    # a fixed copy: its size decides how it is joined
-    folded = cut(distinct.select("_word", _merge_all(F.col("_word"), v).alias("_code")))
-    size = folded.agg(F.sum(F.octet_length("_word") + F.octet_length("_code") + 64)).first()[0] or 0
-    folded = F.broadcast(folded) if size <= BROADCAST_BYTES else folded.hint("merge")
+    counted = drafts.select(F.explode(unknown).alias("_word")).groupBy("_word").agg(F.count("*").alias("_n"))
+    folded = cut(counted.select("_word", "_n", _merge_all(F.col("_word"), v).alias("_code")))
+    frequent = Vocabulary.maps([(r["_word"], r["_code"]) for r in folded.orderBy(F.desc("_n"), "_word").limit(FREQUENT).collect()])
 
-    cut_up = drafts.select("_row", "_key", F.posexplode(pieces).alias("_pos", "_piece"))
+    def known(p: Column) -> Column:
+        return F.coalesce(F.concat(_look(frequent, F.substring_index(p, CLOSE, 1)), F.substring_index(p, CLOSE, -1)), F.concat(F.lit(OPEN), p))
+
+    half = drafts.select("_row", "_key", F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(known(p))), "").alias("_draft"))
+    size = folded.agg(F.sum(F.octet_length("_word") + F.octet_length("_code") + 64)).first()[0] or 0
+    dictionary = folded.select("_word", "_code")
+    dictionary = F.broadcast(dictionary) if size <= BROADCAST_BYTES else dictionary.hint("merge")
+    cut_up = half.select("_row", "_key", F.posexplode(pieces).alias("_pos", "_piece"))
     cut_up = cut_up.select("_row", "_key", "_pos", F.when(F.col("_pos") > 0, F.substring_index("_piece", CLOSE, 1)).alias("_word"), F.substring_index("_piece", CLOSE, -1).alias("_rest"))
-    coded = cut_up.join(folded, "_word", "left").select("_row", "_key", F.struct("_pos", F.concat(F.coalesce("_code", F.lit("")), "_rest").alias("s")).alias("_p"))
+    coded = cut_up.join(dictionary, "_word", "left").select("_row", "_key", F.struct("_pos", F.concat(F.coalesce("_code", F.lit("")), "_rest").alias("s")).alias("_p"))
     whole = coded.groupBy("_row", "_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["s"]), "").alias("codes"))
     return whole.select(F.col("_key").alias(key), "codes")
 
 
 def ids(codes: Column, tokenizers: str = TOKENIZERS) -> Column:
     """The token ids of an encoded text."""
-    of_byte = F.split(F.lit(",".join(map(str, vocabulary(f"{tokenizers}/byte_bpe_50k.json").byte_ids))), ",").cast("array<int>")
-    one = lambda c: _let(F.ascii(c), lambda p: F.when(p < 256, F.get(of_byte, p)).otherwise(p))
-    return F.when(codes == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(codes, ""), one))
+    v = vocabulary(f"{tokenizers}/byte_bpe_50k.json")
+    of = F.split(F.lit(",".join(map(str, [*v.byte_ids, *range(256, 256 + len(v.merges))]))), ",").cast("array<int>")
+    return F.when(codes == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(codes, ""), lambda c: F.get(of, F.ascii(c))))
 
 
 def decode(token_ids: Column, tokenizers: str = TOKENIZERS) -> Column:
