@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import bpe
 from plumbline.llm.mih import similar_pairs
+from plumbline.llm.pack import containers
 from plumbline.llm.splits import FEATURES, NUMBERS, TEXTS, overlap_report, overlapping_rows
 from plumbline.llm.topn import best_trials
 from plumbline.session import table
@@ -33,7 +34,11 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(table(spark, d, "split_rows"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers(table(spark, d, "documents"), table(spark, d, "pack_targets"))
+
+
+QUERIES = {"p7_containers": p7_containers, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids}
 
 P5_SQL = """
 with t as (select session_id, lower(trim(estimator_id, ' ' || chr(9))) as estimator_id, trial_id, perf, finished_at, config_id
