@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe
 from plumbline.llm.mih import similar_pairs
 from plumbline.llm.pack import containers
+from plumbline.llm.pii import find, found_items
 from plumbline.llm.splits import FEATURES, NUMBERS, TEXTS, overlap_report, overlapping_rows
 from plumbline.llm.topn import best_trials
 from plumbline.session import table
@@ -38,7 +39,15 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(table(spark, d, "documents"), table(spark, d, "pack_targets"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return found_items(table(spark, d, "documents"))
+
+
+def p8_masked(spark: SparkSession, d: str) -> DataFrame:
+    return find(table(spark, d, "documents")).select("doc_id", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_masked": p8_masked}
 
 P5_SQL = """
 with t as (select session_id, lower(trim(estimator_id, ' ' || chr(9))) as estimator_id, trial_id, perf, finished_at, config_id
