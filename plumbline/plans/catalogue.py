@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import prepare
+from plumbline.plans import features, prepare
 
-MODULES = [prepare]
+MODULES = [prepare, features]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
