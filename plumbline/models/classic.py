@@ -196,8 +196,8 @@ def nearest(queries: DataFrame, rows: DataFrame, columns: list[str], key: str, k
     nq, nr = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // block))
     names = [f"_x{i}" for i in range(len(columns))]
     pick = lambda df, side: df.select(F.lit(side).alias("_side"), F.col(key).cast("string").alias("_key"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)], (F.col(carry).cast("double") if carry and side else F.lit(None).cast("double")).alias("_c"))
-    q = pick(queries, 0).withColumn("_q", F.pmod(F.xxhash64("_key"), F.lit(nq))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    r = pick(rows, 1).withColumn("_r", F.pmod(F.xxhash64("_key"), F.lit(nr)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
+    q = pick(queries, 0).withColumn("_q", F.pmod(F.xxhash64("_key"), F.lit(nq).cast("long"))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
+    r = pick(rows, 1).withColumn("_r", F.pmod(F.xxhash64("_key"), F.lit(nr)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
     key_type = queries.schema[key].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:

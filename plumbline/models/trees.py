@@ -199,9 +199,9 @@ class BalancedBag(Model):
         out = df
         votes: dict[int, Column] = {c: F.lit(0.0) for c in self.state["classes"]}
         for i, m in enumerate(self.state["models"]):
-            out = m.predict(out).withColumnRenamed("prediction", f"_p{i}").drop("probability")
-            votes = {c: v + (F.col(f"_p{i}") == c).cast("double") for c, v in votes.items()}
-        return out.withColumn("prediction", choose(votes)).drop(*[f"_p{i}" for i in range(len(self.state["models"]))])
+            out = m.predict(out).withColumnRenamed("prediction", f"_bag{i}").drop("probability")
+            votes = {c: v + (F.col(f"_bag{i}") == c).cast("double") for c, v in votes.items()}
+        return out.withColumn("prediction", choose(votes)).drop(*[f"_bag{i}" for i in range(len(self.state["models"]))])
 
 
 @dataclass

@@ -10,23 +10,28 @@ from pyspark.sql import functions as F
 EPS = 1e-15
 
 
-def _agg(expr: Column) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.agg(expr.alias("score"))
+def _agg(sql: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.agg(F.expr(sql).alias("score"))
 
 
-Y, P = F.col("label"), F.col("prediction")
+def _y() -> Column:
+    return F.col("label")
+
+
+def _p() -> Column:
+    return F.col("prediction")
 
 
 def _per_class(df: DataFrame) -> DataFrame:
     """(c, tp, fp, fn) over all labels and predictions."""
     both = df.groupBy("label", "prediction").agg(F.count("*").alias("n"))
-    sides = both.select(F.explode(F.array(F.struct(F.col("label").alias("c"), F.when(Y == P, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(Y == P, 0).otherwise(F.col("n")).alias("fn")),
-                                          F.struct(F.col("prediction").alias("c"), F.lit(0).cast("long").alias("tp"), F.when(Y == P, 0).otherwise(F.col("n")).alias("fp"), F.lit(0).cast("long").alias("fn")))).alias("s"))
+    sides = both.select(F.explode(F.array(F.struct(F.col("label").alias("c"), F.when(_y() == _p(), F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(_y() == _p(), 0).otherwise(F.col("n")).alias("fn")),
+                                          F.struct(F.col("prediction").alias("c"), F.lit(0).cast("long").alias("tp"), F.when(_y() == _p(), 0).otherwise(F.col("n")).alias("fp"), F.lit(0).cast("long").alias("fn")))).alias("s"))
     return sides.groupBy("s.c").agg(F.sum("s.tp").alias("tp"), F.sum("s.fp").alias("fp"), F.sum("s.fn").alias("fn"))
 
 
 def balanced_accuracy(df: DataFrame) -> DataFrame:
-    return df.groupBy("label").agg(F.avg((Y == P).cast("double")).alias("r")).agg(F.avg("r").alias("score"))
+    return df.groupBy("label").agg(F.avg((_y() == _p()).cast("double")).alias("r")).agg(F.avg("r").alias("score"))
 
 
 def f1_macro(df: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def auc(df: DataFrame) -> DataFrame:
     Equal scores are counted before anything is ranked. Ranks are prefix sums in two levels, inside ranges of the score
     and over the ranges, so no task holds all scores.
     """
-    counts = df.groupBy(F.col("probability").cast("double").alias("p")).agg(F.sum(F.when(Y == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
+    counts = df.groupBy(F.col("probability").cast("double").alias("p")).agg(F.sum(F.when(_y() == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
     ranged = counts.withColumn("b", F.floor(F.col("p") * 1024))
     blocks = ranged.groupBy("b").agg(F.sum("n").alias("bn"))
     before = blocks.select("b", F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ob"))
@@ -57,7 +62,7 @@ def auc(df: DataFrame) -> DataFrame:
 
 def auc_multiclass(df: DataFrame, classes: list) -> DataFrame:
     """Mean one-against-rest area; ``probability`` is an array in the order of ``classes``."""
-    parts = [auc(df.select(F.when(Y == F.lit(c), 1).otherwise(0).alias("label"), F.get("probability", F.lit(i)).alias("probability"))) for i, c in enumerate(classes)]
+    parts = [auc(df.select(F.when(_y() == F.lit(c), 1).otherwise(0).alias("label"), F.get("probability", F.lit(i)).alias("probability"))) for i, c in enumerate(classes)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -66,39 +71,35 @@ def auc_multiclass(df: DataFrame, classes: list) -> DataFrame:
 
 def log_loss(df: DataFrame) -> DataFrame:
     """``probability`` of label 1."""
-    p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.when(Y == 1, F.col("probability")).otherwise(1 - F.col("probability"))))
+    p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.when(_y() == 1, F.col("probability")).otherwise(1 - F.col("probability"))))
     return df.agg((-F.avg(F.ln(p))).alias("score"))
 
 
-def r2(df: DataFrame) -> DataFrame:
-    return df.agg((1 - F.avg((Y - P) * (Y - P)) / F.var_pop(Y)).alias("score"))
-
-
 def pac(df: DataFrame) -> DataFrame:
     """exp(-log loss), scaled so that predicting the class shares gives 0 and certainty 1."""
-    loss = -F.avg(F.ln(F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.when(Y == 1, F.col("probability")).otherwise(1 - F.col("probability"))))))
-    share = F.avg((Y == 1).cast("double"))
+    loss = -F.avg(F.ln(F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.when(_y() == 1, F.col("probability")).otherwise(1 - F.col("probability"))))))
+    share = F.avg((_y() == 1).cast("double"))
     prior = F.exp(F.when((share == 0) | (share == 1), 0.0).otherwise(share * F.ln(share) + (1 - share) * F.ln(1 - share)))
     return df.agg(((F.exp(-loss) - prior) / F.when(prior == 1, 1.0).otherwise(1 - prior)).alias("score"))
 
 
 #: name -> (metric, larger is better)
 METRICS: dict[str, tuple[Callable[[DataFrame], DataFrame], bool]] = {
-    "acc": (_agg(F.avg((Y == P).cast("double"))), True),
+    "acc": (_agg("avg(double(label = prediction))"), True),
     "bal_acc": (balanced_accuracy, True),
     "f1": (f1_macro, True),
-    "precision": (_agg(F.coalesce(F.try_divide(F.sum(((Y == 1) & (P == 1)).cast("double")), F.sum((P == 1).cast("double"))), F.lit(0.0))), True),
-    "recall": (_agg(F.coalesce(F.try_divide(F.sum(((Y == 1) & (P == 1)).cast("double")), F.sum((Y == 1).cast("double"))), F.lit(0.0))), True),
+    "precision": (_agg("coalesce(try_divide(double(count_if(label = 1 and prediction = 1)), double(count_if(prediction = 1))), 0.0d)"), True),
+    "recall": (_agg("coalesce(try_divide(double(count_if(label = 1 and prediction = 1)), double(count_if(label = 1))), 0.0d)"), True),
     "auc": (auc, True),
     "log_loss": (log_loss, False),
-    "mse": (_agg(F.avg((Y - P) * (Y - P))), False),
-    "rmse": (_agg(F.sqrt(F.avg((Y - P) * (Y - P)))), False),
-    "msle": (_agg(F.avg(F.pow(F.log1p(Y) - F.log1p(P), 2))), False),
-    "evs": (_agg(1 - F.var_pop(Y - P) / F.var_pop(Y)), True),
-    "r2": (r2, True),
-    "max_error": (_agg(F.max(F.abs(Y - P))), False),
-    "mae": (_agg(F.avg(F.abs(Y - P))), False),
-    "median_absolute_error": (_agg(F.percentile(F.abs(Y - P), F.lit(0.5))), False),
+    "mse": (_agg("avg(pow(label - prediction, 2))"), False),
+    "rmse": (_agg("sqrt(avg(pow(label - prediction, 2)))"), False),
+    "msle": (_agg("avg(pow(log1p(label) - log1p(prediction), 2))"), False),
+    "evs": (_agg("1 - var_pop(label - prediction) / var_pop(label)"), True),
+    "r2": (_agg("1 - avg(pow(label - prediction, 2)) / var_pop(label)"), True),
+    "max_error": (_agg("max(abs(label - prediction))"), False),
+    "mae": (_agg("avg(abs(label - prediction))"), False),
+    "median_absolute_error": (_agg("percentile(abs(label - prediction), 0.5)"), False),
     "balanced_accuracy": (legacy_balanced_accuracy, True),
     "pac_score": (pac, True),
 }

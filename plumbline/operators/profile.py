@@ -105,7 +105,10 @@ def landmarks(ds: Dataset, key: str, k: int = 5, legacy_scale: bool = False) ->
             total = 0.0
             for f in range(k):
                 model = make().fit(frame.where(F.col("fold") != f))
-                got = model.predict(frame.where(F.col("fold") == f)).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
+                test = frame.where(F.col("fold") == f)
+                if name == "Landmark1NN":  # a search: its queries are the rows whose key is divisible by 50
+                    test = test.where(F.col(key) % 50 == 0)
+                got = model.predict(test).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
                 total += got or 0.0
             out[name] = total / k * (0.5 if legacy_scale else 1)
     finally:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import features, prepare
+from plumbline.plans import features, measure, prepare, searches
 
-MODULES = [prepare, features]
+MODULES = [prepare, features, measure, searches]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
