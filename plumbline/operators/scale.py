@@ -6,11 +6,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.dataset import DISCRETE, Dataset, Stage, one_row
 from plumbline.operators.stats import normal_quantile
+from plumbline.session import ship
 
 
 @dataclass
@@ -73,6 +75,21 @@ class Normalize(Stage):
         return {f: F.when(length == 0, F.col(f).cast("double")).otherwise(F.col(f) / length) for f in targets}
 
 
+def interpolated(refs: np.ndarray, at: np.ndarray):
+    """The place of a value among sorted references, as a vectorised function over Arrow batches: a bisection of a
+    table of a bounded size, which plain expressions would interpret step by step."""
+    ship(SparkSession.getActiveSession())
+    upside, downside = -refs[::-1], -at[::-1]
+
+    @F.pandas_udf("double")
+    def place(x: pd.Series) -> pd.Series:
+        v = x.to_numpy(dtype=float)
+        p = 0.5 * (np.interp(v, refs, at) - np.interp(-v, upside, downside))
+        return pd.Series(np.where(v <= refs[0], 0.0, np.where(v >= refs[-1], 1.0, p)))
+
+    return place
+
+
 @dataclass
 class Quantile(Stage):
     """Values mapped by the empirical distribution to uniform or normal.
@@ -99,24 +116,8 @@ class Quantile(Stage):
             if not refs:
                 out[f] = F.lit(None).cast("double")
                 continue
-            x, r = F.col(f).cast("double"), np.asarray(refs)
-            # distinct references with the first and last place of each: a table of a bounded size inside the plan
-            u, first = np.unique(r, return_index=True)
-            last = len(r) - 1 - np.unique(r[::-1], return_index=True)[1]
-            arr = lambda v: F.lit([float(a) for a in v])
-            values, lows, highs = arr(u), arr(at[first]), arr(at[last])
-            k = len(u)
-            # position of the last reference that isn't above x, by bisection
-            steps = max(1, int(np.ceil(np.log2(k + 1))))
-            state = F.aggregate(
-                F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.lit(k).alias("hi")),
-                lambda s, _: F.when(s["hi"] - s["lo"] <= 1, s).otherwise(
-                    F.when(F.get(values, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) <= x, F.struct(F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("lo"), s["hi"].alias("hi")))
-                    .otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))),
-            )["lo"]
-            place = F.transform(F.array(state), lambda i: F.when(F.get(values, i) == x, (F.get(lows, i) + F.get(highs, i)) / 2).otherwise(
-                F.get(highs, i) + (x - F.get(values, i)) / (F.get(values, i + 1) - F.get(values, i)) * (F.get(lows, i + 1) - F.get(highs, i))))[0]
-            p = F.when(x.isNull(), None).when(x <= float(u[0]), 0.0).when(x >= float(u[-1]), 1.0).otherwise(place)
+            x = F.col(f).cast("double")
+            p = F.when(x.isNotNull() & ~F.isnan(x), interpolated(np.asarray(refs, float), at)(x))
             out[f] = normal_quantile(F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p))) if self.output == "normal" else p
         return out
 
