@@ -59,8 +59,8 @@ def fitted(stage, spark, d, cols=NUM, **kw) -> Dataset:
 # cleaning
 
 
-@query("""select * from (values ('l_orderkey', 'discrete'), ('l_quantity', 'discrete'), ('l_discount', 'numerical'), ('l_returnflag', 'categorical'), ('l_tax', 'numerical')) t(feature, kind)
-where (select bool_and(l_quantity = floor(l_quantity)) from lineitem) and not (select bool_and(l_discount = floor(l_discount)) from lineitem)""")
+@query(" union all ".join(f"select '{c}' as feature, case when bool_and({c} = floor({c})) then 'discrete' else 'numerical' end as kind from lineitem" for c in ("l_orderkey", "l_quantity", "l_discount", "l_tax"))
+       + " union all select 'l_returnflag', case when count(*) filter (try_cast(l_returnflag as double) is not null) <= 0.05 * count(*) then 'categorical' else 'numerical' end from lineitem")
 def infer_types(spark, d):
     kinds = K.infer_kinds(table(spark, d, "lineitem"), ["l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_tax"])
     return spark.createDataFrame([(f, k) for f, (k, _) in kinds.items()], "feature string, kind string")
@@ -257,12 +257,18 @@ def normalizer(spark, d):
     return checks(fitted(R.Normalize(), spark, d).df, NUM)
 
 
-@query("""with q as (select unnest(quantile_cont(l_extendedprice, [i / 99.0 for i in range(100)])) as v from lineitem)
-select count(*) as n, round(min(p), 6) as lo, round(max(p), 6) as hi, true as uniform from (select 0.0 as p union all select 1.0), (select count(*) as n from lineitem) group by n""".replace("count(*) as n, round", "any_value(n) as n, round").replace(" group by n", ""))
+_AT = "[" + ", ".join(repr(k / 99) for k in range(100)) + "]"
+
+
+@query(f"""with q as (select unnest(quantile_cont(l_extendedprice, {_AT})) as v, unnest({_AT}) as pos from lineitem),
+r as (select v, min(pos) as lo, max(pos) as hi from q group by v), s as (select *, lead(v) over (order by v) as nv, lead(lo) over (order by v) as nlo from r),
+p as (select case when x.l_extendedprice = s.v then (case when s.lo = 0 then 0 when s.hi = 1 then 1 else (s.lo + s.hi) / 2 end) else s.hi + (x.l_extendedprice - s.v) / (s.nv - s.v) * (s.nlo - s.hi) end as p
+      from lineitem x asof join s on x.l_extendedprice >= s.v)
+select count(*) as n, round(sum(p), 3) as total, round(sum(p * p), 3) as ss, round(min(p), 6) as lo, round(max(p), 6) as hi from p""")
 def quantile(spark, d):
     ds = fitted(R.Quantile(targets=["l_extendedprice"], n_quantiles=100), spark, d)
     c = F.col("l_extendedprice")
-    return ds.df.agg(F.count("*").alias("n"), F.round(F.min(c), 6).alias("lo"), F.round(F.max(c), 6).alias("hi"), (F.abs(F.avg(c) - 0.5) < 0.01).alias("uniform"))
+    return ds.df.agg(F.count("*").alias("n"), F.round(F.sum(c), 3).alias("total"), F.round(F.sum(c * c), 3).alias("ss"), F.round(F.min(c), 6).alias("lo"), F.round(F.max(c), 6).alias("hi"))
 
 
 @query("select floor(least(4, greatest(0, floor((l_quantity - lo) / ((hi - lo) / 5.0)))))::double as bin, count(*) as n from lineitem, (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem) group by 1")
@@ -402,13 +408,17 @@ def _kept(stage):
     return run
 
 
-Q["mutual_info"] = _kept(lambda: L.Percentile(score="mutual_info", percentile=25))
 Q["et_sel_cls"] = _kept(lambda: L.ForestSelector(trees=10))
 Q["et_sel_rgs"] = _kept(lambda: L.ForestSelector(classify=False, trees=10))
 Q["linsvc_sel"] = _kept(L.LinearSelector)
 Q["rfecv"] = _kept(lambda: L.RecursiveElimination(targets=["l_quantity", "l_tax"], folds=2))
-for _n in ("mutual_info", "et_sel_cls", "et_sel_rgs", "linsvc_sel"):
-    SQL[_n] = "select 'l_quantity' as feature"
+_MI = """select '{c}' as feature, round(sum(n / t * ln(n * t / (nx * ny))), 6) as score from (select n, sum(n) over () as t, sum(n) over (partition by x) as nx, sum(n) over (partition by y) as ny
+from (select least(15, floor(({c} - lo) / ((hi - lo) / 16.0))) as x, l_quantity > 25 as y, count(*)::double as n from lineitem, (select min({c}) as lo, max({c}) as hi from lineitem) group by 1, 2))"""
+
+
+@query(" union all ".join(_MI.format(c=c) for c in NUM))
+def mutual_info(spark, d):
+    return _scores({c: (s, 0.0) for c, s in L.mutual_information(_labelled(spark, d).df, NUM, "y").items()}, spark)
 
 
 # balancing and splitting

@@ -200,16 +200,14 @@ def _close(make, label="t", floor=0.8):
 _CLASSIFIERS = {
     "c_adaboost": lambda y: T.AdaBoost(_X, y, n_estimators=4, depth=2), "c_extra_trees": lambda y: T.ExtraTreesClassifier(_X, y, params={"numTrees": 5}), "c_random_forest": lambda y: T.RandomForestClassifier(_X, y, params={"numTrees": 5}),
     "c_gradient_boosting": lambda y: T.GradientBoostingClassifier(_X, y, params={"maxIter": 3, "maxDepth": 3}), "c_lightgbm": lambda y: T.GradientBoostingClassifier(_X, y, params={"maxIter": 3, "maxDepth": 4, "subsamplingRate": 0.8}),
-    "c_lda": lambda y: M.LDA(_X, y), "c_qda": lambda y: M.QDA(_X, y), "c_logistic": lambda y: T.LogisticRegression(_X, y, params={"maxIter": 50}),
+    "c_logistic": lambda y: T.LogisticRegression(_X, y, params={"maxIter": 50}),
     "c_liblinear_svc": lambda y: M.Margin(_X, y, steps=25), "c_libsvm_svc": lambda y: T.KernelMachine(_X, y, gamma=0.01, n_components=20),
 }
 _BINARY = {"c_liblinear_svc", "c_libsvm_svc"}
 for _n, _m in _CLASSIFIERS.items():
     Q[_n] = _accuracy(_m, "b" if _n in _BINARY else "y")
-    SQL[_n] = "select true as learned, count(*) as n from lineitem"
 for _n, _m in {"i_balanced_bagging": "tree", "i_balanced_rf": "forest", "i_easy_ensemble": "boost", "i_rusboost": "boost"}.items():
     Q[_n] = _accuracy(lambda y, b=_m: T.BalancedBag(_X, y, bags=2, base=b), "b")
-    SQL[_n] = "select true as learned, count(*) as n from lineitem"
 _REGRESSORS = {
     "r_adaboost": lambda y: T.AdaBoostR2(_X, y, n_estimators=3, depth=5), "r_extra_trees": lambda y: T.ExtraTreesRegressor(_X, y, params={"numTrees": 5, "maxDepth": 7, "featureSubsetStrategy": "all"}), "r_random_forest": lambda y: T.RandomForestRegressor(_X, y, params={"numTrees": 5, "maxDepth": 7, "featureSubsetStrategy": "all"}),
     "r_gradient_boosting": lambda y: T.GradientBoostingRegressor(_X, y, params={"maxIter": 5}), "r_lightgbm": lambda y: T.GradientBoostingRegressor(_X, y, params={"maxIter": 5, "maxDepth": 6}),
@@ -217,7 +215,6 @@ _REGRESSORS = {
 }
 for _n, _m in _REGRESSORS.items():
     Q[_n] = _close(_m)
-    SQL[_n] = "select true as learned, count(*) as n from lineitem"
 
 
 @query("""with s as (select count(*) as n, var_pop(l_quantity) as a, covar_pop(l_quantity, l_tax) as b, var_pop(l_tax) as c, covar_pop(l_quantity, l_extendedprice) as p, covar_pop(l_tax, l_extendedprice) as q from lineitem),
@@ -234,13 +231,31 @@ def r_lasso(spark, d):
     return spark.createDataFrame([(f, round(float(w), 6)) for f, w in zip(m.features, m.state["w"])], "feature string, coefficient double")
 
 
-@query("select count(*) as n, true as apart from lineitem")
+@query()
 def lda_decomp(spark, d):
     df = _separable(spark, d)
     out = M.LDA(_X, "y").fit(df).project(df)
     return out.agg(F.count("*").alias("n"), (F.abs(F.corr("ld0", "l_quantity")) > 0.99).alias("apart"))
 
 
+_ONE = "(select l_quantity as x, least(2, floor(l_quantity / 17))::int as y from lineitem)"
+
+
+def _one_column(model):
+    def run(spark, d):
+        df = _separable(spark, d)
+        return model(["l_quantity"], "y").fit(df).predict(df).groupBy("prediction").agg(F.count("*").alias("n"))
+
+    return run
+
+
+Q["c_lda"], Q["c_qda"] = _one_column(M.LDA), _one_column(M.QDA)
+_SCORED = "select prediction, count(*) as n from (select x, (max_by(y, s))::int as prediction, any_value(k) as k from (select x, k, m.y, {} as s from (select x, row_number() over () as k from {}) cross join m) group by x, k) group by 1"
+_MOMENTS = f"with m as (select y, count(*) as n, avg(x) as mu, var_pop(x) as v from {_ONE} group by 1), t as (select sum(n) as n, sum(n * v) / sum(n) as v from m) "
+SQL["c_lda"] = _MOMENTS + _SCORED.format("mu * x / (select v from t) - mu * mu / (2 * (select v from t)) + ln(n / (select n from t))", _ONE)
+SQL["c_qda"] = _MOMENTS + _SCORED.format("-0.5 * ln(v) - power(x - mu, 2) / (2 * v) + ln(n / (select n from t))", _ONE)
+
+
 # sources and sinks
 
 
@@ -322,14 +337,12 @@ def ens_bagging(spark, d):
     return E.bagging(_members(spark, d)).select("row_id", F.round("prob", 6).alias("prob"))
 
 
-@query(f"""with p as {_MEMBERS}, w as (select model_id, avg(power(label - prob, 2)) as e from p group by 1)
-select round(min(e), 6) as best_single, true as no_worse from w""")
+@query(f"""with p as {_MEMBERS}, e as (select model_id as i, avg(power(label - prob, 2)) as e from p group by 1), f as (select * from e order by round(e, 14), i limit 1),
+g as (select b.model_id as i, avg(power(a.label - (a.prob + b.prob) / 2, 2)) as e from p a join p b using (row_id) where a.model_id = (select i from f) group by 1 order by round(avg(power(a.label - (a.prob + b.prob) / 2, 2)), 14), 1 limit 1)
+select m as model_id, count(*) / (case when (select e from g) < (select e from f) - 1e-15 then 2.0 else 1.0 end) as weight
+from (select i as m from f union all select i from g where (select e from g) < (select e from f) - 1e-15) group by 1""")
 def ens_selection(spark, d):
-    p = _members(spark, d)
-    weights = E.greedy_selection(p, size=5)
-    both = E.weighted(p, weights).join(p.select("row_id", "label").distinct(), "row_id").agg(F.avg(F.pow(F.col("label") - F.col("prob"), 2)).alias("e")).first()["e"]
-    single = p.groupBy("model_id").agg(F.avg(F.pow(F.col("label") - F.col("prob"), 2)).alias("e")).agg(F.round(F.min("e"), 6).alias("best_single"))
-    return single.withColumn("no_worse", F.col("best_single") >= F.lit(float(both)) - 1e-6)
+    return spark.createDataFrame(list(E.greedy_selection(_members(spark, d), size=2).items()), "model_id int, weight double")
 
 
 @query()

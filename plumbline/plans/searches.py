@@ -49,7 +49,6 @@ def _strategy(name: str, n: int):
 
 for _n, _k in (("random", 40), ("smac", 25), ("tpe", 30), ("hyperband", 3), ("bohb", 4), ("mfes", 4)):
     Q[f"opt_{_n}"] = _strategy(_n, _k)
-    SQL[f"opt_{_n}"] = "select 'a' as algorithm, true as good"
 
 
 def _plan(number: int, n: int):
@@ -64,24 +63,32 @@ def _plan(number: int, n: int):
 
 for _n, _k in (("joint", (0, 25)), ("condition", (1, 12)), ("alternate", (3, 25))):
     Q[f"block_{_n}"] = _plan(*_k)
-    SQL[f"block_{_n}"] = "select 'a' as algorithm, true as good"
 
 
-@query("select 1 as n_default, 40 as n")
+@query()
 def space_joint(spark, d):
     space, _ = bowl()
     got = space.distinct(40, np.random.default_rng(1))
     return spark.createDataFrame([(sum(c == space.default() for c in got), len(got))], "n_default int, n int")
 
 
-@query("""with u as (select distinct task_id, dataset_id, dataset_embedding as v from task_vectors where len(dataset_embedding) = 32 and len(list_filter(dataset_embedding, lambda x: x is not null and isfinite(x))) = 32)
-select 3 as n""")
+@query("""with u as (select distinct task_id, dataset_id, dataset_embedding as v from task_vectors where len(dataset_embedding) = 32 and len(list_filter(dataset_embedding, lambda x: x is not null and isfinite(x))) = 32),
+e as (select dataset_id, i, avg(v[i]) as m from u cross join (select unnest(range(1, 33)) as i) group by 1, 2), s as (select i, min(m) as lo, max(m) as hi from e group by 1)
+select dataset_id, round(sqrt(sum(power(m / case when hi = lo then 1 else hi - lo end, 2))), 5) as dist from e join s using (i) group by 1 order by sqrt(sum(power(m / case when hi = lo then 1 else hi - lo end, 2))), 1 limit 3""")
 def meta_warm_start(spark, d):
     t = table(spark, d, "task_vectors").where(F.forall("dataset_embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("task_id", "dataset_id", "dataset_embedding").distinct()
-    return nearest_datasets(t, [0.0] * 32, 3).agg(F.count("*").cast("int").alias("n"))
+    return nearest_datasets(t, [0.0] * 32, 3).withColumn("dist", F.round("dist", 5))
+
+
+@query("""with s as (select unnest(range(0, 5)) as s), b as (select s, ceil(5.0 / (s + 1) * power(3, s) - 1e-9) as n from s), r as (select s, n, unnest(range(0, s + 1)) as i from b)
+select s::int as bracket, i::int as round, greatest(1, floor(n * power(3.0, -i) + 1e-9))::int as configs, round(power(3.0, i - s), 9) as share from r""")
+def opt_hyperband_rounds(spark, d):
+    space, f = bowl()
+    rows = [(len(b) - 1, i, n, round(float(share), 9)) for b in O.Hyperband(space, f).brackets() for i, (n, share) in enumerate(b)]
+    return spark.createDataFrame(rows, "bracket int, round int, configs int, share double")
 
 
-@query("select count(*) as n, true as learned from orders")
+@query()
 def automl_classifier(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.when(F.col("o_totalprice") > 250000, "high").otherwise("low").alias("y"))
     a = Classifier("o_orderkey", trials=3, include_algorithms=["lda", "random_forest"], ensemble_method="ensemble_selection").fit(df, "y")
@@ -89,7 +96,7 @@ def automl_classifier(spark, d):
     return out.agg(F.count("*").alias("n"), (F.avg((F.col("prediction") == F.col("y")).cast("double")) > 0.9).alias("learned"))
 
 
-@query("select count(*) as n, true as learned from customer")
+@query()
 def automl_regressor(spark, d):
     df = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", (F.col("c_acctbal") * 2 + F.col("c_nationkey")).alias("y"))
     a = Regressor("c_custkey", trials=3, include_algorithms=["ridge"], include_steps={"preprocessor": ["empty"], "rescaler": ["empty", "standard"]}).fit(df, "y")
