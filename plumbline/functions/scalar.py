@@ -77,6 +77,19 @@ def with_frequency(df: DataFrame, column: str, fitted: DataFrame | None = None,
     return df.join(counts, df[column].eqNullSafe(F.col("_v")), "left").select(*df.columns, (F.coalesce(F.col("_c"), F.lit(1)) / F.lit(n)).alias(out))
 
 
-def running_max(value: Column, order: list[Column], partition: list[Column] | None = None) -> Column:
-    w = Window.partitionBy(*(partition or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.max(value).over(w)
+def with_running_max(df: DataFrame, value: str, order: Column, key: str, group: str, out: str = "best") -> DataFrame:
+    """The largest value so far in each group, in the order of ``order`` (a number), then ``key``.
+
+    A group may hold a third of all rows: the maximum runs inside ranges of the order, and each range starts with the largest value of
+    the ranges before it. The ranges are 1/256 of each group's span of the order.
+    """
+    span = df.groupBy(F.col(group).alias("_g")).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    placed = df.join(span, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    block = F.when(F.col("_hi") > F.col("_lo"), F.floor((order - F.col("_lo")) * 256.0 / (F.col("_hi") - F.col("_lo")))).otherwise(0)
+    placed = placed.withColumn("_b", F.coalesce(block, F.lit(-1))).withColumn("_o", order).drop("_lo", "_hi")
+    tops = placed.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_k")).agg(F.max(value).alias("_m"))
+    tops = tops.select("_g", "_k", F.max("_m").over(Window.partitionBy("_g").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inner = Window.partitionBy(group, "_b").orderBy(F.col("_o").asc_nulls_first(), key).rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumn("_run", F.max(value).over(inner))
+    joined = run.join(tops, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_k")))
+    return joined.withColumn(out, F.greatest("_run", "_before")).drop("_g", "_b", "_k", "_o", "_run", "_before")

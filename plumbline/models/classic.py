@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.dataset import one_row
+from plumbline.operators.generate import EXPRESSIONS, moments, scatter
 from plumbline.session import map_arrow, ship
 
 
@@ -42,6 +43,14 @@ def choose(scores: dict[int, Column]) -> Column:
 
 def class_moments(df: DataFrame, features: list[str], label: str) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     """class -> (n, mean, population covariance), in one pass."""
+    if len(features) > EXPRESSIONS:
+        clean = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("_y"), *[F.col(c).cast("double").alias(c) for c in features]).na.drop()
+        rows = clean.groupBy("_y").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)]).collect()
+        mean = {r["_y"]: np.array([r[f"m{i}"] for i in range(len(features))]) for r in rows}
+        n = sum(r["n"] for r in rows)
+        centre = sum(r["n"] * mean[r["_y"]] for r in rows) / max(n, 1)
+        total = scatter(clean, features, centre, "_y")
+        return {y: (k, mean[y], total[str(y)] / k - np.outer(mean[y] - centre, mean[y] - centre)) for y, k in sorted((r["_y"], r["n"]) for r in rows)}
     d = len(features)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     x = [F.col(c).cast("double") for c in features]
@@ -133,6 +142,9 @@ class GaussianNB(Model):
 
 def gram(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
     """(covariance, covariance with the label, means, label mean, n)."""
+    if len(features) > EXPRESSIONS:
+        mean, second, n = moments(df, [*features, label])
+        return second[:-1, :-1], second[:-1, -1], mean[:-1], float(mean[-1]), n
     d = len(features)
     x = [F.col(c).cast("double") for c in features]
     y = F.col(label).cast("double")

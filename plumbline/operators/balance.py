@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.dataset import Dataset
+from plumbline.operators.split import _ranked
 from plumbline.session import ship
 
 
@@ -41,7 +42,7 @@ def oversample(df: DataFrame, label: str, key: str, share: float = 0.6) -> DataF
     """Rows of classes smaller than ``share`` of the median class, repeated up to that size.
 
     Every row comes out whole times, and those first by a hash of ``key`` once more, so the target size is met exactly
-    in each class. Ranks come from a hash threshold kept per class, not from sorting a class in one task.
+    in each class. Ranks are counted in ranges of the hash, so no class is sorted in one task.
     """
     counts = class_counts(df, label)
     median = counts.agg(F.percentile("n", F.lit(0.5)).alias("m")).first()["m"] or 0
@@ -51,9 +52,7 @@ def oversample(df: DataFrame, label: str, key: str, share: float = 0.6) -> DataF
         return df
     plan = df.sparkSession.createDataFrame([(v, goal // n, goal % n) for v, n in small.items()], f"_l {df.schema[label].dataType.simpleString()}, _times int, _more int")
     joined = df.join(F.broadcast(plan), F.col(label) == F.col("_l"), "left")
-    from pyspark.sql import Window
-
-    few = joined.where("_more > 0").withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key))).where("_r <= _more").drop("_r", "_l", "_times", "_more")
+    few = _ranked(joined.where("_more > 0"), key, label).where(F.col("_rank") <= F.col("_more")).select(*df.columns)
     whole = joined.withColumn("_c", F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1))))).drop("_c", "_l", "_times", "_more")
     return whole.unionByName(few)
 

@@ -7,12 +7,14 @@ from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.dataset import CATEGORICAL, DISCRETE, Dataset, Stage, one_row
 from plumbline.functions.scalar import BINARY, UNARY, text_tokens
+from plumbline.session import map_arrow
 
 
 @dataclass
@@ -93,12 +95,50 @@ class Polynomial(Stage):
         return {"*".join(c): reduce(lambda a, b: a * b, [F.col(x) for x in c]) for k in range(2, self.degree + 1) for c in choose(used, k)}
 
 
+#: Up to so many columns second moments are aggregate expressions; wider tables are summed in Arrow batches.
+EXPRESSIONS = 12
+
+
+def scatter(df: DataFrame, columns: list[str], shift: np.ndarray, group: str | None = None) -> dict:
+    """group value (or None) -> sum of (x - shift)(x - shift)' over rows without nulls.
+
+    Each task adds up its own batches and sends one number per pair of columns and group on, which are then added by key.
+    """
+    d = len(columns)
+    upper = np.triu_indices(d)
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            x = np.stack([np.asarray(b[f"x{i}"].to_numpy(zero_copy_only=False), float) for i in range(d)], axis=1) - shift
+            g = np.array(b["g"].to_pylist(), dtype=object)
+            ok = ~np.isnan(x).any(axis=1)
+            for v in set(g[ok]):
+                part = x[ok & (g == v)]
+                sums[v] = sums.get(v, 0) + part.T @ part
+        for v, m in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(upper[0]), pa.string()), pa.array(np.arange(len(upper[0])), pa.int32()), pa.array(m[upper])], names=["g", "k", "v"])
+
+    key = (F.col(group).cast("string") if group else F.lit("")).alias("g")
+    parts = map_arrow(df.select(key, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).where("g is not null"), run, "g string, k int, v double")
+    out: dict = {}
+    for r in parts.groupBy("g", "k").agg(F.sum("v").alias("v")).collect():
+        m = out.setdefault(r["g"] if group else None, np.zeros((d, d)))
+        i, j = upper[0][r["k"]], upper[1][r["k"]]
+        m[i, j] = m[j, i] = r["v"]
+    return out
+
+
 def moments(df: DataFrame, columns: list[str], centred: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, covariance or second moment, n) of number columns, in one pass by a tree of summarised rows."""
+    """(mean, covariance or second moment, n) of number columns: d x d numbers come to the driver, no rows."""
     d = len(columns)
+    if d > EXPRESSIONS:
+        clean = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+        got = one_row(clean, {"n": F.count(F.lit(1)), **{f"m{i}": F.avg(c) for i, c in enumerate(columns)}})
+        mean = np.array([got[f"m{i}"] or 0.0 for i in range(d)])
+        total = scatter(clean, columns, mean if centred else np.zeros(d)).get(None, np.zeros((d, d)))
+        return mean, total / max(got["n"], 1), got["n"]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    if d > 512:
-        raise ValueError("more than 512 columns")
     exprs = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]]
     if centred:
         exprs += [F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]

@@ -225,7 +225,7 @@ def norm_zscore(spark, d):
 
 @query("select event_id, max(value) over (partition by user_id order by event_id rows unbounded preceding) as best from events")
 def seq_cummax(spark, d):
-    return table(spark, d, "events").select("event_id", S.running_max(F.col("value"), [F.col("event_id")], [F.col("user_id")]).alias("best"))
+    return S.with_running_max(table(spark, d, "events"), "value", F.col("event_id"), "event_id", "user_id").select("event_id", "best")
 
 
 # rescalers and generators

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalar import with_running_max
 from plumbline.models.classic import gram
 
 
@@ -39,15 +40,10 @@ def summary(trials: DataFrame, group: str = "session_id") -> DataFrame:
 def trajectory(trials: DataFrame, group: str = "session_id") -> DataFrame:
     """The best score so far at each trial of a session.
 
-    A session may hold a third of all trials: the maximum runs inside days, and each day starts with the best of the days before.
+    Trials without a finite score or a time of their end: the former don't count, the latter come first.
     """
-    t = trials.where(finite("perf")).withColumn("_day", F.to_date("finished_at"))
-    days = t.groupBy(group, "_day").agg(F.max("perf").alias("_m"))
-    w = Window.partitionBy(group).orderBy(F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(F.col(group).alias("_g"), F.col("_day").alias("_d"), F.max("_m").over(w).alias("_before"))
-    inner = Window.partitionBy(group, "_day").orderBy(F.col("finished_at").asc_nulls_first(), "trial_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = t.withColumn("_run", F.max("perf").over(inner)).join(days, F.col(group).eqNullSafe(F.col("_g")) & F.col("_day").eqNullSafe(F.col("_d")))
-    return out.select(group, "trial_id", F.greatest("_run", "_before").alias("best"))
+    t = trials.where(finite("perf"))
+    return with_running_max(t, "perf", F.unix_micros(F.col("finished_at").cast("timestamp")), "trial_id", group).select(group, "trial_id", "best")
 
 
 def median_scores(trials: DataFrame) -> DataFrame:
