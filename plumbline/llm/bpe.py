@@ -117,9 +117,14 @@ def _look(maps: Column, key: Column) -> Column:
     return F.try_element_at(F.get(maps, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
 
 
-def _raw(word: Column) -> Column:
-    """The bytes of a word as characters, marked as not encoded yet."""
-    return F.concat(F.lit(OPEN), F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit(CLOSE))
+def _bytes_of(word: Column) -> Column:
+    """The bytes of a word as characters."""
+    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+
+
+def _marked(word: Column, odd: bool) -> Column:
+    """A word that isn't encoded yet. In an odd text, which holds the marks themselves, its bytes stand for it."""
+    return F.concat(F.lit(OPEN + KEY), _bytes_of(word), F.lit(CLOSE)) if odd else F.concat(F.lit(OPEN), word, F.lit(CLOSE))
 
 
 def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,14 +142,15 @@ def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, key: str = "doc_i
     v = vocabulary(f"{tokenizers}/byte_bpe_50k.json")
     single = Vocabulary.maps(v.words)
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS), F.lit(0))
-    split_up = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), words.alias("_words"))
-    looked_up = split_up.select("_row", "_key", "_words", F.transform("_words", lambda w: _look(single, w)).alias("_codes"))
-    drafts = keep(looked_up.select("_row", "_key", F.array_join(F.zip_with("_words", "_codes", lambda w, c: F.coalesce(c, _raw(w))), "").alias("_draft")))
+    odd = F.coalesce(F.col(text).rlike(f"[{OPEN}{CLOSE}{KEY}]"), F.lit(False))
+    tokens = F.when(odd, F.transform(words, lambda w: F.coalesce(_look(single, w), _marked(w, True)))).otherwise(F.transform(words, lambda w: F.coalesce(_look(single, w), _marked(w, False))))
+    drafts = keep(documents.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.array_join(tokens, "").alias("_draft")))
 
     pieces = F.split("_draft", OPEN)
     unknown = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, CLOSE, 1))
     counted = drafts.select(F.explode(unknown).alias("_word")).groupBy("_word").agg(F.count("*").alias("_n"))
-    folded = cut(counted.select("_word", "_n", _merge_all(F.col("_word"), v).alias("_code")))
+    spelled = F.when(F.startswith("_word", F.lit(KEY)), F.substr("_word", F.lit(2))).otherwise(_bytes_of(F.col("_word")))
+    folded = cut(counted.select("_word", "_n", spelled.alias("_bytes")).select("_word", "_n", _merge_all(F.col("_bytes"), v).alias("_code")))
     frequent = Vocabulary.maps([(r["_word"], r["_code"]) for r in folded.orderBy(F.desc("_n"), "_word").limit(FREQUENT).collect()])
 
     def known(p: Column) -> Column:
