@@ -296,6 +296,8 @@ class Decoder:
 
 
 SPACE = re.compile(r"\s+")
+NUMBERED = re.compile(r"\d+\.?\s+(?=\d)")
+JOINED = re.compile(r"\s+(?:and|und|et)\s+")
 POSSESSIVE = re.compile(r"['’]s$")
 ACCEPT: dict[str, Callable[[str], bool]] = {
     "name": lambda v: bool(re.search(r"[^\W\d_]{2}", v)) and not re.search(r"[\d@]", v),
@@ -306,6 +308,23 @@ ACCEPT: dict[str, Callable[[str], bool]] = {
 }
 
 
+def exact(text: str, s: int, e: int, kind: str) -> list[tuple[int, int]]:
+    """The ends of an item put right: no possessive on names, no paragraph number before an address, numbers joined by a word apart."""
+    value = text[s:e]
+    if kind == "name":
+        return [(s, s + len(POSSESSIVE.sub("", value)))]
+    if kind == "address" and (m := NUMBERED.match(value)):
+        return [(s + m.end(), e)]
+    if kind == "phone":
+        out, at = [], 0
+        for m in [*JOINED.finditer(value), None]:
+            stop = m.start() if m else len(value)
+            out.append((s + at, s + stop))
+            at = m.end() if m else stop
+        return out
+    return [(s, e)]
+
+
 def items(text: str, toks: list[str], gaps: list[str], label: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the items that the labels mark; masked ones and those that can't be of their kind are left out."""
     found = []
@@ -319,12 +338,10 @@ def items(text: str, toks: list[str], gaps: list[str], label: np.ndarray) -> lis
         while last + 1 < len(label) and label[last + 1] == label[h] + 1:
             last += 1
         s, e = int(begin[h]), int(begin[last]) + len(toks[last])
-        value = text[s:e]
-        if KINDS[kind] == "name":
-            value = POSSESSIVE.sub("", value)
-            e = s + len(value)
-        if "*" not in value and "█" not in value and ACCEPT[KINDS[kind]](value):
-            found.append((s, e, KINDS[kind]))
+        for s, e in exact(text, s, e, KINDS[kind]):
+            value = text[s:e]
+            if "*" not in value and "█" not in value and ACCEPT[KINDS[kind]](value):
+                found.append((s, e, KINDS[kind]))
     return found
 
 

@@ -135,6 +135,8 @@ L'huissier s'est rendu {A}.
 Mme {S} le conteste; M. {S} ne se souvient pas.
 M. {S} ne se souvient pas.
 It was {F} who drew up {Y}.
+Per {J}: the {Z} produced {Y}.
+Per {S}: the {Z} relied upon {Y}.
 Mrs {S} and her brother {F} inherited {Y} from {R}.
 {F}, identity number {I}, signed {Y}.
 Nach Angaben von {S} war dies {Q4}.
@@ -227,6 +229,29 @@ Par ces motifs, la cour confirme le jugement.
 Par ces motifs, la cour infirme partiellement.
 """
 
+#: Heads of decisions, whose lines stand together.
+HEADS = [
+    "IN THE {H}\nCase {K}\n{F}\n  - against -\n{F}\nBefore: Judge {F}, Judge {F}\nJudgment of {D}",
+    "IN THE {H}\nCase {K}\n{F}\n  - against -\n{C}\nCoram: {F} (presiding), {F}\nDecided on {D}",
+    "IN THE {H}\nCase {K}\n{C}\n  - against -\n{F}\nJudges: {F} and {F}\nHearing: {D}",
+    "{H}\n{K}\n\nBETWEEN\n{F}, appellant\nand\n{F}, respondent\nJudges: {F} and {F}\nHearing: {D}",
+    "{H}\n{K}\n\nBETWEEN\n{F}, appellant\nand\n{C}, respondent\nCoram: {F} (presiding), {F}\nJudgment of {D}",
+    "{H}\n{K}\n\nBETWEEN\n{C}, appellant\nand\n{F}, respondent\nBefore: Judge {F}, Judge {F}\nDecided on {D}",
+    "{H} — {K}\n{F} (Appellant) v. {F} (Respondent)\nBefore: Judge {F}, Judge {F}\nHearing: {D}\n\nHEADNOTES\n{X} — {X}.",
+    "{H} — {K}\n{F} (Appellant) v. {C} (Respondent)\nJudges: {F} and {F}\nDecided on {D}",
+    "{H}\nAz. {K}\nUrteil vom {D}\nin Sachen\n{F}, Kläger,\ngegen\n{F}, Beklagte\nRichterin {F}\n\nLeitsätze\n{X3} — {X3}.",
+    "{H}\nAz. {K}\nUrteil vom {D}\nin Sachen\n{F}, Kläger,\ngegen\n{C}, Beklagte\nRichterin {F}\n\n1. Nach {Q} kommt es darauf nicht an.",
+    "{H}\nRG {K}\nArrêt du {D}\nEntre {F}, appelant,\net {F}, intimé\nPrésident: {F}\n\nSommaire\n{X2} — {X2}.",
+    "{H}\nRG {K}\nArrêt du {D}\nEntre {F}, appelant,\net {C}, intimé\nPrésident: {F}",
+    "{Y} cannot stand.\n{H}        {K}        - 3 -\nThe chronology is short.",
+    "No issue arises as to {Y}.\nPage 3 of 7 — {K} — {S} v. {S}\nThe policy ({N}) names {C} only.",
+    "For these reasons {Y} cannot stand.\nPage 2 of 5 — {K} — {S} v. {C}\nApplying the Vandermoor Act, we regard {X} as {Q2}.",
+    "For these reasons {Y} cannot stand.\n\nPage 2 of 2 — {K} — {S} v. {S}\n\n12\tIt was common ground that the {Z} overlooked {Y}, although the reason was never explained.",
+    "The chronology is short.\nPage 4 of 5 — {K} — {S} v. {S}\n§ 16 Section 147 of the Harbour Dues Act provides no exception for {X}.",
+    "There remains the question of {X}.\n{S} v. {S} ({K})\nThe appeal turns on {X}; see {Q}.",
+    "The work near {W} was stopped on {D}, which the {Z} accepted. Lot {N} on the plan lies between {W} and {W}.",
+]
+
 PERSONAL = {"F": "name", "S": "name", "R": "name", "J": "name", "E": "email", "P": "phone", "I": "idnum", "A": "address"}
 TOPICS = ["estoppel", "late service", "the limitation period", "want of jurisdiction", "defective notice", "apparent bias", "procedural unfairness", "a failure to give reasons", "a misreading of the lease", "an error in the valuation", "misdirection on the burden of proof", "the absence of a written consent"]
 TOPICS_FR = ["un vice de forme", "la prescription", "une erreur de calcul", "l'incompétence", "la tardiveté de la signification", "l'absence d'accord écrit", "un défaut de motivation"]
@@ -276,7 +301,7 @@ class Maker:
 
     def S(self) -> str:
         s = self.surname()
-        return s.upper() if self.rng.random() < 0.1 else s
+        return s.upper() if self.rng.random() < 0.2 else s
 
     def R(self) -> str:
         return f"{self.surname()}, {self.word()}"
@@ -376,7 +401,7 @@ class Maker:
 def labelled(rounds: int = 14, seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
     """(text, [(start, end, kind)]): passages of a few sentences each."""
     m = Maker(seed)
-    lines = [x for x in SENTENCES.split("\n") if x]
+    lines = [*(x for x in SENTENCES.split("\n") if x), *HEADS]
     for _ in range(rounds):
         m.rng.shuffle(lines)
         at = 0
