@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from plumbline import ensemble as E
 from plumbline import explain as X
-from plumbline.dataset import Dataset
+from plumbline.dataset import Chain, Dataset
 from plumbline.models import classic as M
 from plumbline.models import trees as T
 from plumbline.operators import metrics as MT
 from plumbline.operators import profile as PR
+from plumbline.operators.generate import Arithmetic
+from plumbline.operators.scale import MinMax
 from plumbline.search import trials as TR
 from plumbline.session import table
 from plumbline.sources import tables as ST
@@ -382,6 +384,12 @@ def linear_importance(spark, d):
     return X.linear_importance(_separable(spark, d), _X, "b")
 
 
+@query("select * from (values (0, 'minmax'), (1, 'arithmetic')) t(step, operator)")
+def feature_origin(spark, d):
+    ds = Dataset.of(table(spark, d, "lineitem").select("l_quantity", "l_tax"))
+    return X.origin(Chain(MinMax(), Arithmetic()).fit_transform(ds))
+
+
 @query("""with t as (select distinct trial_id, session_id, perf, state from trial_runs)
 select session_id, count(*) as n, count(*) filter (state <> 0) as failed, max(perf) filter (state = 0 and isfinite(perf)) as best from t group by 1""")
 def summary(spark, d):

@@ -51,6 +51,18 @@ for _n, _k in (("random", 40), ("smac", 25), ("tpe", 30), ("hyperband", 3), ("bo
     Q[f"opt_{_n}"] = _strategy(_n, _k)
 
 
+@query()
+def opt_tlbo(spark, d):
+    """A search that starts from the trials of a task alike."""
+    space, f = bowl()
+    past = O.build("random", space, f, seed=9)
+    past.iterate(20)
+    x, y = np.array([space.vector(t.config) for t in past.history]), np.array([t.score for t in past.history])
+    o = O.build("tlbo", space, f, past=[(x, y)])
+    o.iterate(15)
+    return spark.createDataFrame([(o.best.config["algorithm"], bool(o.best.score > 0.9))], "algorithm string, good boolean")
+
+
 def _plan(number: int, n: int):
     def run(spark, d):
         space, f = bowl()

@@ -13,7 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.search.space import Config, SearchSpace, config_id
-from plumbline.search.surrogate import Forest, GaussianProcess, acquisition, density_ratio
+from plumbline.search.surrogate import Forest, GaussianProcess, RankedEnsemble, acquisition, density_ratio
 
 SUCCESS, TIMEOUT, ERROR, MEMORY, CRASHED = range(5)
 Evaluate = Callable[[Config, float], float]
@@ -109,11 +109,13 @@ class ModelSearch(Optimizer):
     """Sequential model-based search: a forest or process over past trials, the configuration of the highest acquisition next.
 
     The acquisition is maximised over random configurations and the neighbours of the best; every fourth suggestion is random.
+    ``past`` holds trials of other tasks (vectors, scores); their models then help as far as they rank this task's trials right.
     """
 
     surrogate: str = "forest"
     kind: str = "ei"
     start: int = 3
+    past: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def suggest(self, n: int) -> list[Config]:
         good = [t for t in self.history if t.status == SUCCESS and t.fidelity == 1.0]
@@ -121,7 +123,10 @@ class ModelSearch(Optimizer):
             return super().suggest(n)
         x = np.array([self.space.vector(t.config) for t in good])
         y = np.array([t.score for t in good])
-        model = (Forest(seed=self.seed) if self.surrogate == "forest" else GaussianProcess()).fit(x, y)
+        if self.past:
+            model = RankedEnsemble([GaussianProcess().fit(px, py) for px, py in self.past], seed=self.seed).fit(x, y)
+        else:
+            model = (Forest(seed=self.seed) if self.surrogate == "forest" else GaussianProcess()).fit(x, y)
         best = max(good, key=lambda t: t.score).config
         pool = [self.space.sample(self.rng, self.fixed) for _ in range(100)]
         pool += [c for c in self.space.neighbours(best, self.rng) if all(c.get(k) == v for k, v in self.fixed.items())]
@@ -264,4 +269,4 @@ def build(name: str, space: SearchSpace, evaluate: Evaluate, evaluation: str = "
     """A strategy by name; partial evaluation needs one that uses shares of the data."""
     if evaluation == "partial" and name not in ("hyperband", "bohb", "mfes"):
         name = "mfes"
-    return {"random": RandomSearch, "smac": ModelSearch, "tpe": TPE, "hyperband": Hyperband, "bohb": BOHB, "mfes": MFES}[name](space, evaluate, **kw)
+    return {"random": RandomSearch, "smac": ModelSearch, "tlbo": ModelSearch, "tpe": TPE, "hyperband": Hyperband, "bohb": BOHB, "mfes": MFES}[name](space, evaluate, **kw)
