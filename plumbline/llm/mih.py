@@ -16,11 +16,11 @@ from plumbline.session import cut, map_arrow, one_delivery, ship
 #: Vectors that the rotations are learned from, at most.
 SAMPLE = 20_000
 #: Substrings of a code, each with an index of its own.
-SUBSTRINGS = 16
+SUBSTRINGS = 20
 #: Vectors that share a substring's value, on average; a substring has log2(n / PER_VALUE) bits.
-PER_VALUE = 64
+PER_VALUE = 96
 #: Vectors and queries that one task holds of one index, at most on average.
-PER_TASK = 30_000
+PER_TASK = 100_000
 #: Bits in which a probed value of a substring may differ. All codes within a Hamming distance of
 #: SUBSTRINGS * (RADIUS + 1) - 1 of the query's code are reached so (pigeonhole).
 RADIUS = 1
