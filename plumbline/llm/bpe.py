@@ -161,7 +161,8 @@ def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, key: str = "doc_i
     dictionary = folded.select("_word", "_code")
     dictionary = F.broadcast(dictionary) if size <= BROADCAST_BYTES else dictionary.hint("merge")
     cut_up = half.select("_row", "_key", F.posexplode(pieces).alias("_pos", "_piece"))
-    cut_up = cut_up.select("_row", "_key", "_pos", F.when(F.col("_pos") > 0, F.substring_index("_piece", CLOSE, 1)).alias("_word"), F.substring_index("_piece", CLOSE, -1).alias("_rest"))
+    nobody = F.concat(F.lit(KEY + KEY), F.col("_row").cast("string"))  # a text's first piece has no word; a null would send all of them to one task
+    cut_up = cut_up.select("_row", "_key", "_pos", F.when(F.col("_pos") > 0, F.substring_index("_piece", CLOSE, 1)).otherwise(nobody).alias("_word"), F.substring_index("_piece", CLOSE, -1).alias("_rest"))
     coded = cut_up.join(dictionary, "_word", "left").select("_row", "_key", F.struct("_pos", F.concat(F.coalesce("_code", F.lit("")), "_rest").alias("s")).alias("_p"))
     whole = coded.groupBy("_row", "_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["s"]), "").alias("codes"))
     return whole.select(F.col("_key").alias(key), "codes")
