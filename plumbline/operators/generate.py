@@ -521,3 +521,19 @@ class TextVectors(Stage):
         sums = per.groupBy(self.key).agg(F.sum("tf").alias("_n"), *dims)
         mean = F.array(*[F.coalesce(F.col(f"s{i}") / F.col("_n"), F.lit(0.0)) for i in range(self.size)])
         return df.select(self.key).join(sums, self.key, "left").select(self.key, mean.alias("vector"))
+
+
+@dataclass
+class Embed(Stage):
+    """Texts or images as vectors by one's own model: ``embed`` takes a pandas series of cells and gives one list of
+    numbers for each. It runs in Arrow batches; a null cell stays null."""
+
+    embed: object = None
+    takes: tuple[str, ...] = ("text", "image", CATEGORICAL)
+    gives: str = "embedding"
+    mode: str = "replace"
+    name: str = "embed"
+
+    def columns(self, targets: list[str]) -> dict[str, Column]:
+        made = F.pandas_udf(self.embed, "array<float>")
+        return {f"{f}_vector": F.when(F.col(f).isNotNull(), made(F.coalesce(F.col(f), F.lit("")))) for f in targets}

@@ -42,6 +42,14 @@ class Standard(Stage):
         return {f: (F.col(f) - F.lit(self.state[f"mu|{f}"])) / F.lit(self.state[f"sd|{f}"] or 1.0) for f in targets}
 
 
+def unscaled(c: Column, stage: MinMax | Standard, feature: str) -> Column:
+    """A rescaled value on its old scale, by the state of the fitted stage."""
+    s = stage.state
+    if isinstance(stage, Standard):
+        return c * F.lit(s[f"sd|{feature}"] or 1.0) + F.lit(s[f"mu|{feature}"])
+    return c * F.lit(float((s[f"hi|{feature}"] - s[f"lo|{feature}"]) or 1)) + F.lit(s[f"lo|{feature}"])
+
+
 @dataclass
 class Robust(Stage):
     """(x - median) / (upper - lower quantile). Quantiles are fractions; ``percent`` reads them as percentages."""

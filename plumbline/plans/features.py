@@ -223,6 +223,13 @@ def norm_zscore(spark, d):
     return ds.df.select("event_id", F.round("value", 6).alias("v"))
 
 
+@query("select event_id, round(value, 6) as v from events")
+def unnorm(spark, d):
+    stage = R.Standard(targets=["value"])
+    ds = stage.fit_transform(Dataset.of(table(spark, d, "events"), ["value"], keep=("event_id",)))
+    return ds.df.select("event_id", F.round(R.unscaled(F.col("value"), stage, "value"), 6).alias("v"))
+
+
 @query("select event_id, max(value) over (partition by user_id order by event_id rows unbounded preceding) as best from events")
 def seq_cummax(spark, d):
     return S.with_running_max(table(spark, d, "events"), "value", F.col("event_id"), "event_id", "user_id").select("event_id", "best")
@@ -297,12 +304,28 @@ def cross(spark, d):
 
 
 @query("select " + checks_sql(["aa", "ab", "bb"], 2) + " from (select l_quantity * l_quantity as aa, l_quantity * l_tax as ab, l_tax * l_tax as bb from lineitem)")
-def poly(spark, d):
+def poly_cls(spark, d):
     ds = fitted(G.Polynomial(targets=["l_quantity", "l_tax"]), spark, d)
     new = {"aa": "l_quantity*l_quantity", "ab": "l_quantity*l_tax", "bb": "l_tax*l_tax"}
     return checks(ds.df.select(*[F.col(f"`{o}`").alias(n) for n, o in new.items()]), list(new), 2)
 
 
+@query("select " + checks_sql(["aa"], 2) + " from (select l_quantity * l_quantity as aa from lineitem)")
+def poly_rgs(spark, d):
+    """The column that a forest finds most important for a number label, squared."""
+    df = lineitem(spark, d, "l_quantity", "l_tax").withColumn("y", 3 * F.col("l_quantity"))
+    ds = G.Polynomial(top=1, classify=False).fit_transform(Dataset.of(df, label="y"))
+    return checks(ds.df.select(F.col("`l_quantity*l_quantity`").alias("aa")), ["aa"], 2)
+
+
+@query("select doc_id, coalesce(length(text), 0)::double as chars from documents")
+def text_embed_hook(spark, d):
+    """A model of one's own in the place of a large one: the length of a text as a vector of one number."""
+    ds = Dataset.of(table(spark, d, "documents").select("doc_id", "text"), ["text"], keep=("doc_id",))
+    out = G.Embed(embed=lambda cells: cells.str.len().map(lambda n: [float(n)])).fit_transform(ds)
+    return out.df.select("doc_id", F.coalesce(F.get("text_vector", F.lit(0)), F.lit(0.0)).cast("double").alias("chars"))
+
+
 @query("select round(sum(var_pop), 4) as total, true as ordered, 4 as k from (select unnest([var_pop(l_quantity), var_pop(l_tax), var_pop(l_discount), var_pop(l_linenumber)]) as var_pop from lineitem)")
 def pca(spark, d):
     stage = G.PCA(keep=0.999999)
