@@ -250,13 +250,13 @@ def containers(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKEN
     their own. Targets with a null or non-positive capacity hold nothing.
 
     Texts are counted where they are read; only (doc_id, count) is shuffled, by target and a hash, into groups
-    that fill about ``bins`` containers or hold ``items`` texts. A group is packed by itself; its last container may stay partly
+    of at most about ``items`` texts and at least half as many, unless fewer fill ``bins`` containers. A group is packed by itself; its last container may stay partly
     empty, so less than about 1 / ``bins`` of the space is lost to the division.
     """
     counts = cut(token_counts(documents, tokenizers))
     size = counts.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
     wanted = targets.where("capacity > 0").select(F.col("target_id").cast("int").alias("target_id"), F.col("capacity").cast("long").alias("capacity")).distinct()
-    chunks = F.greatest(F.lit(1), F.least(F.ceil(F.lit(size["n"] or 0) / (F.col("capacity") * bins)), F.lit(max(1, size["k"] // 512))), F.lit(-(-size["k"] // items)))
+    chunks = F.greatest(F.lit(1), F.least(F.ceil(F.lit(size["n"] or 0) / (F.col("capacity") * bins)), F.lit(max(1, size["k"] // (items // 2)))), F.lit(-(-size["k"] // items)))
     wanted = wanted.withColumn("chunks", chunks.cast("long")).orderBy("target_id", "capacity").limit(1001).collect()
     if len(wanted) > 1000:
         raise ValueError("more than 1000 targets")
