@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.dataset import CATEGORICAL, DISCRETE, NUMBERS, NUMERICAL, ORDINAL, Chain, Dataset, Stage, one_row
+from plumbline.operators.quantiles import exact_quantiles
 
 #: Texts that mean a missing value in a file.
 NULL_TOKENS = ["n/a", "na", "--", "-", "?"]
@@ -173,9 +174,11 @@ class Impute(Stage):
     def learn(self, ds: Dataset, targets: list[str]) -> dict:
         by_mode = [f for f in targets if self.strategy == "mode" or (self.strategy == "auto" and ds.kinds[f] in (CATEGORICAL, ORDINAL))]
         rest = [f for f in targets if f not in by_mode]
-        stat = F.avg if self.strategy == "mean" else (lambda c: F.percentile(c, F.lit(0.5)))
         clean = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
-        fill = one_row(ds.df, {f: stat(clean(f)) for f in rest})
+        if self.strategy == "mean":
+            fill = one_row(ds.df, {f: F.avg(clean(f)) for f in rest})
+        else:
+            fill = {f: v[0] if v else None for f, v in exact_quantiles(ds.df, {f: [0.5] for f in rest}).items()}
         return {"fill": {**fill, **modes(ds.df, by_mode)}, "types": {f: ds.df.schema[f].dataType for f in targets}, "by_mode": by_mode}
 
     def transform(self, ds: Dataset) -> Dataset:

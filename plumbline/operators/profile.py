@@ -38,12 +38,12 @@ def simple_features(ds: Dataset, classify: bool = True) -> dict[str, float]:
     for g in gaps[1:]:
         any_gap = any_gap | g
     exprs["rows"] = F.sum(any_gap.cast("long"))
-    for f in symbols:
-        exprs[f"s|{f}"] = F.count_distinct(f)
     for f in numbers:
         x = F.when(~missing(f, True), F.col(f).cast("double"))
         exprs[f"k|{f}"], exprs[f"w|{f}"] = F.kurtosis(x), F.skewness(x)
     got = one_row(ds.df, exprs)
+    # apart from the rest: a distinct count makes Spark expand every row
+    got |= one_row(ds.df, {f"s|{f}": F.count_distinct(f) for f in symbols})
     n, d = got["n"], len(ds.features)
     holes = [got[f"m{i}"] or 0 for i in range(d)]
     ln = lambda x: log(x) if x > 0 else -inf

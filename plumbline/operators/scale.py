@@ -11,6 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.dataset import DISCRETE, Dataset, Stage, one_row
+from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.stats import normal_quantile
 from plumbline.session import ship
 
@@ -61,8 +62,7 @@ class Robust(Stage):
 
     def learn(self, ds: Dataset, targets: list[str]) -> dict:
         k = 100 if self.percent else 1
-        qs = F.array(F.lit(self.low / k), F.lit(0.5), F.lit(self.high / k))
-        return {"q": one_row(ds.df, {f: F.percentile(f, qs) for f in targets})}
+        return {"q": exact_quantiles(ds.df, {f: [self.low / k, 0.5, self.high / k] for f in targets})}
 
     def columns(self, targets: list[str]) -> dict[str, Column]:
         out = {}
@@ -102,7 +102,7 @@ def interpolated(refs: np.ndarray, at: np.ndarray):
 class Quantile(Stage):
     """Values mapped by the empirical distribution to uniform or normal.
 
-    The references are exact quantiles of all rows (``percentile`` merges counts of distinct values, not rows). Inside a run of equal
+    The references are exact quantiles of all rows. Inside a run of equal
     references the map takes the middle of the run. The ends map to 0 and 1; normal ends are clipped at 1e-7.
     """
 
@@ -114,7 +114,7 @@ class Quantile(Stage):
         n = ds.df.count()
         k = max(2, min(self.n_quantiles, n))
         at = np.linspace(0, 1, k)
-        refs = one_row(ds.df, {f: F.percentile(f, F.array(*[F.lit(float(a)) for a in at])) for f in targets})
+        refs = exact_quantiles(ds.df, {f: at.tolist() for f in targets})
         return {"at": at, "refs": refs}
 
     def columns(self, targets: list[str]) -> dict[str, Column]:
@@ -142,8 +142,7 @@ class Bins(Stage):
     def learn(self, ds: Dataset, targets: list[str]) -> dict:
         if self.strategy == "uniform":
             return one_row(ds.df, {f"{a}|{f}": g(f) for f in targets for a, g in (("lo", F.min), ("hi", F.max))})
-        inner = [F.lit(k / self.n_bins) for k in range(self.n_bins + 1)]
-        return {"edges": one_row(ds.df, {f: F.percentile(f, F.array(*inner)) for f in targets})}
+        return {"edges": exact_quantiles(ds.df, {f: [k / self.n_bins for k in range(self.n_bins + 1)] for f in targets})}
 
     def columns(self, targets: list[str]) -> dict[str, Column]:
         out = {}
