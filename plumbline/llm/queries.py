@@ -11,7 +11,7 @@ from plumbline.llm.pack import containers
 from plumbline.llm.pii import find, found_items
 from plumbline.llm.splits import FEATURES, NUMBERS, TEXTS, overlap_report, overlapping_rows
 from plumbline.llm.topn import best_trials
-from plumbline.session import table
+from plumbline.session import spread, table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode(table(spark, d, "documents")).select("doc_id", bpe.ids(F.col("codes")).alias("ids"))
+    return bpe.encode(documents(spark, d)).select("doc_id", bpe.ids(F.col("codes")).alias("ids"))
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,15 +40,15 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return containers(table(spark, d, "documents"), table(spark, d, "pack_targets"))
+    return containers(documents(spark, d), table(spark, d, "pack_targets"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return found_items(table(spark, d, "documents"))
+    return found_items(documents(spark, d))
 
 
 def p8_masked(spark: SparkSession, d: str) -> DataFrame:
-    return find(table(spark, d, "documents")).select("doc_id", "text")
+    return find(documents(spark, d)).select("doc_id", "text")
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_masked": p8_masked}
