@@ -30,18 +30,16 @@ def simple_features(ds: Dataset, classify: bool = True) -> dict[str, float]:
     """Everything that one pass over the rows (and one count of classes) gives."""
     numbers = [f for f in ds.features if ds.kinds[f] in NUMBERS]
     symbols = [f for f in ds.features if ds.kinds[f] == CATEGORICAL]
-    exprs = {"n": F.count(F.lit(1))}
+    # cells are judged once, in a projection: the moments repeat their argument many times
     gaps = [missing(f, f in numbers) for f in ds.features]
-    for i, g in enumerate(gaps):
-        exprs[f"m{i}"] = F.sum(g.cast("long"))
     any_gap = gaps[0] if gaps else F.lit(False)
     for g in gaps[1:]:
         any_gap = any_gap | g
-    exprs["rows"] = F.sum(any_gap.cast("long"))
-    for f in numbers:
-        x = F.when(~missing(f, True), F.col(f).cast("double"))
-        exprs[f"k|{f}"], exprs[f"w|{f}"] = F.kurtosis(x), F.skewness(x)
-    got = one_row(ds.df, exprs)
+    clean = ds.df.select(any_gap.alias("row"), *[g.alias(f"g{i}") for i, g in enumerate(gaps)], *[F.when(~missing(f, True), F.col(f).cast("double")).alias(f"x{i}") for i, f in enumerate(numbers)])
+    exprs = {"n": F.count(F.lit(1)), "rows": F.count_if("row"), **{f"m{i}": F.count_if(f"g{i}") for i in range(len(gaps))}}
+    for i, f in enumerate(numbers):
+        exprs[f"k|{f}"], exprs[f"w|{f}"] = F.kurtosis(f"x{i}"), F.skewness(f"x{i}")
+    got = one_row(clean, exprs)
     # apart from the rest: a distinct count makes Spark expand every row
     got |= one_row(ds.df, {f"s|{f}": F.count_distinct(f) for f in symbols})
     n, d = got["n"], len(ds.features)
