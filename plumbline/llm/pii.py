@@ -353,7 +353,7 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _finder(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finder(model: Model, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,24 +365,26 @@ def _finder(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 read = [tokens(t or "") for t in texts]
                 found = [items(t or "", r[0], r[1], y) for t, r, y in zip(texts, read, decoder.labels(read))]
                 values = [[{"kind": k, "value": SPACE.sub(" ", t[s:e])} for s, e, k in f] for t, f in zip(texts, found)]
-                clean = [t if t is None else masked(t, f) for t, f in zip(texts, found)]
+                clean = [t if t is None else masked(t, f) for t, f in zip(texts, found)] if with_text else [None] * len(texts)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(clean, pa.string()), pa.array(values, kind)], names=["doc_id", "text", "items"])
 
     return run
 
 
-def find(documents: DataFrame, model: Model | None = None) -> DataFrame:
+def find(documents: DataFrame, model: Model | None = None, with_text: bool = True) -> DataFrame:
     """Each document as (doc_id, text, items): the text with every item replaced by [NAME], [EMAIL], [PHONE],
     [IDNUM] or [ADDRESS], the rest unchanged, and the items as (kind, value) in their order.
 
     ``value`` is the item as it stands in the text, each run of white space turned into one space. Null texts
     stay null and have no items, as have empty ones. Every row gives one row; other columns don't come out.
+    ``with_text=False`` leaves the text null, where only the items are wanted.
+
     The field is trained on the driver, once, from a labelled table that is part of this package and as large at every
     size of data; texts are read where they lie, without a shuffle.
     """
-    return map_arrow(documents.select("doc_id", "text"), _finder(model or trained()), "doc_id bigint, text string, items array<struct<kind: string, value: string>>")
+    return map_arrow(documents.select("doc_id", "text"), _finder(model or trained(), with_text), "doc_id bigint, text string, items array<struct<kind: string, value: string>>")
 
 
 def found_items(documents: DataFrame) -> DataFrame:
     """Distinct (doc_id, kind, value)."""
-    return find(documents).select("doc_id", F.explode(F.array_distinct("items")).alias("i")).select("doc_id", "i.kind", "i.value")
+    return find(documents, with_text=False).select("doc_id", F.explode(F.array_distinct("items")).alias("i")).select("doc_id", "i.kind", "i.value")
