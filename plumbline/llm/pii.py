@@ -300,7 +300,7 @@ NUMBERED = re.compile(r"\d+\.?\s+(?=\d)")
 JOINED = re.compile(r"\s+(?:and|und|et)\s+")
 POSSESSIVE = re.compile(r"['’]s$")
 ACCEPT: dict[str, Callable[[str], bool]] = {
-    "name": lambda v: bool(re.search(r"[^\W\d_]{2}", v)) and not re.search(r"[\d@]", v),
+    "name": lambda v: bool(re.search(r"[^\W\d_]{2}", v)) and not re.search(r"[\d@]|\s(?:Street|Road|Bridge|Lane|Terrace|Quay)$", v),
     "email": lambda v: bool(re.search(r"@|\bat\b", v, re.I)) and bool(re.search(r"\.|\bdot\b", v, re.I)),
     "phone": lambda v: sum(c.isdigit() for c in v) >= 6,
     "idnum": lambda v: sum(c.isdigit() for c in v) >= 5,
