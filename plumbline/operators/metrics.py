@@ -53,7 +53,8 @@ def auc(df: DataFrame) -> DataFrame:
     and over the ranges, so no task holds all scores.
     """
     counts = df.groupBy(F.col("probability").cast("double").alias("p")).agg(F.sum(F.when(_y() == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
-    ranged = counts.withColumn("b", F.floor(F.col("p") * 1024))
+    # a rising map of any score to at most 4,096 ranges
+    ranged = counts.withColumn("b", F.floor(F.col("p") / (1 + F.abs("p")) * 2048))
     blocks = ranged.groupBy("b").agg(F.sum("n").alias("bn"))
     before = blocks.select("b", F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ob"))
     inner = ranged.withColumn("oi", F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
