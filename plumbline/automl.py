@@ -19,7 +19,7 @@ from plumbline.operators.clean import encode_labels, label_codes, preprocess
 from plumbline.operators.metrics import score
 from plumbline.operators.split import folds, holdout, subsample
 from plumbline.search.blocks import plan
-from plumbline.search.space import Config, SearchSpace, categorical, integer, uniform
+from plumbline.search.space import Config, SearchSpace, categorical, config_id, integer, uniform
 
 #: name -> (parameters of the search, maker of the model); users add their own.
 CLASSIFIERS: dict[str, tuple[list, Callable]] = {
@@ -142,7 +142,10 @@ class AutoML:
         train = frame.where("not is_test").drop("is_test")
         if share < 1:
             train = subsample(train, self.key, share, on)
-        return self.score_of(self.pipeline(config, replace(ds, df=train)), replace(ds, df=frame.where("is_test").drop("is_test")))
+        fitted = self.pipeline(config, replace(ds, df=train))
+        if share == 1:  # an ensemble weighs its members by these
+            self.state["fitted"][config_id(config)] = fitted
+        return self.score_of(fitted, replace(ds, df=frame.where("is_test").drop("is_test")))
 
     def score_of(self, p: Pipeline, test: Dataset) -> float:
         out = p.predict(test).withColumnRenamed(test.label, "label")
@@ -156,7 +159,7 @@ class AutoML:
         algorithms = CLASSIFIERS if self.classify else REGRESSORS
         names = self.include_algorithms or list(algorithms)
         steps = {stage: (self.include_steps or {}).get(stage, list(options)) for stage, options in STAGES.items()}
-        self.state |= {"algorithms": {n: algorithms[n] for n in names}, "prep": prep, "data": ds, "label": label}
+        self.state |= {"fitted": {}, "algorithms": {n: algorithms[n] for n in names}, "prep": prep, "data": ds, "label": label}
         on = ds.label if self.classify else None
         if self.evaluation == "cv":
             self.state["folds"] = folds(ds.df, self.key, 5, on).persist()
@@ -176,8 +179,8 @@ class AutoML:
         if len(members) > 1:
             frame = self.state.get("split")
             if self.ensemble_method == "ensemble_selection" and frame is not None:
-                train, test = (replace(ds, df=frame.where(c).drop("is_test")) for c in ("not is_test", "is_test"))
-                parts = [self.votes(self.pipeline(t.config, train), test).withColumn("model_id", F.lit(i)) for i, t in enumerate(members)]
+                test = replace(ds, df=frame.where("is_test").drop("is_test"))
+                parts = [self.votes(self.state["fitted"][config_id(t.config)], test).withColumn("model_id", F.lit(i)) for i, t in enumerate(members)]
                 long = parts[0]
                 for p in parts[1:]:
                     long = long.unionByName(p)
