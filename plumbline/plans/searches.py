@@ -116,10 +116,19 @@ def automl_regressor(spark, d):
     return out.agg(F.count("*").alias("n"), (F.max(F.abs(F.col("prediction") - F.col("y"))) < 100).alias("learned"))
 
 
-def _drained(spark, frame, name_prefix: str):
-    """A stream run to its end; its result as a table in the shared folder."""
+def _drained(spark, frame, name_prefix: str, mode: str = "append"):
+    """A stream run to its end; its result as a table in the shared folder.
+
+    In append mode a window comes out only once the watermark has passed it. In complete mode all groups do, open ones
+    too, and no row is too late; each batch writes the result anew.
+    """
     base = f"{shared_folder(spark)}/stream-{name_prefix}-{uuid.uuid4().hex}"
-    q = frame.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
+    w = frame.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").start(f"{base}/out")
+    else:
+        spark.createDataFrame([], frame.schema).write.parquet(f"{base}/out")  # what a stream without rows gives
+        q = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start()
     q.awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{base}/out")
 
@@ -140,7 +149,7 @@ def streaming_scoring(spark, d):
 
 @query()
 def streaming_profile(spark, d):
-    return _drained(spark, profile_stream(_stream(spark, d, "events"), "ts", "value", "1 day"), "profile")
+    return _drained(spark, profile_stream(_stream(spark, d, "events"), "ts", "value", "1 day"), "profile", "complete")
 
 
 @query("select count(distinct row_id) as n from node_rows")
