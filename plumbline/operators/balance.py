@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.dataset import Dataset
+from plumbline.operators.neighbours import nearest
 from plumbline.operators.split import _ranked
-from plumbline.session import ship
+from plumbline.session import cut
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -57,74 +57,49 @@ def oversample(df: DataFrame, label: str, key: str, share: float = 0.6) -> DataF
     return whole.unionByName(few)
 
 
+def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A fixed copy with an _id that grows in the order of ``columns``."""
+    return cut(df.orderBy(*columns, "label").withColumn("_id", F.monotonically_increasing_id()))
+
+
 def smote(df: DataFrame, label: str, columns: list[str], k: int = 5, block: int = 4096, seed: int = 1, tomek: bool = True) -> DataFrame:
     """(label, columns, synthetic): rows with the smaller classes filled up to the largest by points between near rows of one class.
 
-    Neighbours are looked for inside blocks of about ``block`` rows of a class, laid out along the class's main direction, so no class
-    is collected in one task. With ``tomek``, rows that are mutual nearest neighbours across classes inside a block are then
-    left out. Rows with a null label or number don't take part.
+    A synthetic row lies between a row drawn from its class and one of that row's ``k`` nearest of the class. With ``tomek``, rows that are
+    mutual nearest neighbours across classes, of all rows then there, are left out. Both searches are exact, in blocks of about
+    ``block`` rows. Rows with a null label or a number that isn't finite don't take part; a class of one row has no neighbours and isn't filled up.
     """
-    d = len(columns)
-    clean = df.select(F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in columns]
+    clean = df.select(F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in columns]).where(reduce(lambda a, b: a & b, finite, F.col("label").isNotNull()))
     counts = {r["label"]: r["n"] for r in class_counts(clean, "label").collect()}
     if not counts:
         return clean.withColumn("synthetic", F.lit(False))
     top = max(counts.values())
-    need = {c: top - n for c, n in counts.items()}
-    stats = clean.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
-    axis = [1 / (stats[c] or 1.0) for c in columns]
-    place = sum(F.col(c) * float(a) for c, a in zip(columns, axis))
-    blocks = {c: max(1, round(n / block)) for c, n in counts.items()}
-    cuts = {r["label"]: r["q"] for r in clean.groupBy("label").agg(F.percentile_approx(place, [i / 64 for i in range(1, 64)], 1000).alias("q")).collect()}
-    grid = F.lit(0)
-    for c, q in cuts.items():
-        edges = sorted(set(q[:: max(1, 63 // blocks[c])])) if blocks[c] > 1 else []
-        grid = F.when(F.col("label") == c, sum(((place > float(e)).cast("int") for e in edges), F.lit(0))).otherwise(grid)
-    kk = {c: (k if n > k else max(1, n - 1)) for c, n in counts.items()}
-    schema = f"label string, {', '.join(f'`{c}` double' for c in columns)}, synthetic boolean"
-
-    def grow(t: pa.Table) -> pa.Table:
-        c = t["label"][0].as_py()
-        x = np.stack([t[n].to_numpy() for n in columns], axis=1)
-        order = np.lexsort(x.T)
-        x = x[order]
-        n = len(x)
-        want = round(need[c] * n / counts[c])
-        rng = np.random.default_rng([seed, n, want])
-        made = np.zeros((0, d))
-        if want and n > 1:
-            at = rng.integers(0, n, want)
-            near = np.empty((n, min(kk[c], n - 1)), np.int64)
-            for s in range(0, n, 512):
-                dist = ((x[s : s + 512, None] - x[None]) ** 2).sum(2) if d <= 8 else np.maximum((x[s : s + 512] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[s : s + 512] @ x.T, 0)
-                dist[np.arange(len(dist)), np.arange(s, s + len(dist))] = np.inf
-                near[s : s + 512] = np.argpartition(dist, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
-            other = near[at, rng.integers(0, near.shape[1], want)]
-            made = x[at] + rng.random((want, 1)) * (x[other] - x[at])
-        full = np.vstack([x, made])
-        return pa.table({"label": [c] * len(full), **{m: full[:, i] for i, m in enumerate(columns)}, "synthetic": [False] * n + [True] * len(made)})
-
-    ship(df.sparkSession)
-    grown = clean.withColumn("_b", grid).groupBy("label", "_b").applyInArrow(grow, schema)
+    need = {c: top - n for c, n in counts.items() if n > 1 and n < top}
+    rows = _numbered(clean, columns)
+    grown = rows.select("label", *columns, F.lit(False).alias("synthetic"))
+    if need:
+        small = cut(rows.where(F.col("label").isin(list(need))))
+        near = nearest(small, columns, k, "label", block)
+        ranked = _ranked(small, "_id", "label").select(F.col("label").alias("_l"), F.col("_rank").cast("long").alias("_r"), "_id", *[F.col(c).alias(f"_a{i}") for i, c in enumerate(columns)]).join(near, "_id")
+        spark = df.sparkSession
+        draw = lambda salt: F.pmod(F.xxhash64("label", "id", F.lit(seed), F.lit(salt)), F.lit(1 << 52))
+        draws = reduce(DataFrame.unionByName, [spark.range(m).select(F.lit(c).alias("label"), "id", F.lit(counts[c]).alias("_n")) for c, m in need.items()])
+        draws = draws.select("label", (draw(1) % F.col("_n") + 1).alias("_r"), draw(2).alias("_which"), (draw(3) / float(1 << 52)).alias("_gap"))
+        drawn = draws.join(ranked, (F.col("label") == F.col("_l")) & (draws["_r"] == ranked["_r"])).withColumn("_other", F.col("near")[(F.col("_which") % F.size("near")).cast("int")])
+        ends = small.select(F.col("_id").alias("_other"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(columns)])
+        made = drawn.join(ends, "_other").select("label", *[(F.col(f"_a{i}") + F.col("_gap") * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(c) for i, c in enumerate(columns)], F.lit(True).alias("synthetic"))
+        grown = grown.unionByName(made)
     if not tomek or len(counts) < 2:
         return grown
-    edges = sorted({round(float(e), 12) for q in cuts.values() for e in q[:: max(1, 63 // max(1, round(top * len(counts) / block)))]}) if top * len(counts) > block else []
-    shared = sum(((place > e).cast("int") for e in edges), F.lit(0))
-
-    def clear(t: pa.Table) -> pa.Table:
-        x = np.stack([t[n].to_numpy() for n in columns], axis=1)
-        y = np.array(t["label"].to_pylist())
-        order = np.lexsort(x.T)
-        x, y = x[order], y[order]
-        t = t.take(pa.array(order))
-        if len(x) < 2:
-            return t.select(["label", *columns, "synthetic"])
-        near = np.empty(len(x), np.int64)
-        for s in range(0, len(x), 512):
-            dist = np.maximum((x[s : s + 512] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[s : s + 512] @ x.T, 0)
-            dist[np.arange(len(dist)), np.arange(s, s + len(dist))] = np.inf
-            near[s : s + 512] = dist.argmin(axis=1)
-        link = (near[near] == np.arange(len(x))) & (y != y[near])
-        return t.select(["label", *columns, "synthetic"]).filter(pa.array(~link))
-
-    return grown.withColumn("_b", shared).groupBy("_b").applyInArrow(clear, schema)
+    return without_tomek_links(grown, columns, block)
+
+
+def without_tomek_links(df: DataFrame, columns: list[str], block: int = 4096) -> DataFrame:
+    """``df`` without the rows that are each other's nearest neighbour and differ in ``label``."""
+    rows = _numbered(df, columns)
+    near = nearest(rows, columns, 1, None, block).select("_id", F.col("near")[0].alias("_n"))
+    pairs = near.join(rows.select("_id", "label"), "_id")
+    back = pairs.select(F.col("_id").alias("_n"), F.col("_n").alias("_id"), F.col("label").alias("_l"))
+    links = pairs.join(back, ["_id", "_n"]).where("label != _l").select("_id")
+    return rows.join(links, "_id", "left_anti").select(*df.columns)

@@ -478,7 +478,7 @@ def oversample(spark, d):
 @query()
 def smote(spark, d):
     df = table(spark, d, "orders").select((F.col("o_orderkey") % 10 == 0).cast("int").alias("y"), "o_totalprice", F.col("o_custkey").cast("double").alias("cust"))
-    return B.smote(df, "y", ["o_totalprice", "cust"], tomek=False).groupBy("label").agg(F.count("*").alias("n"))
+    return B.smote(df, "y", ["o_totalprice", "cust"]).groupBy("label").agg(F.count("*").alias("n"))
 
 
 _RANK = "row_number() over (partition by {} order by md5(o_orderkey::varchar), o_orderkey)"

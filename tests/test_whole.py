@@ -1,7 +1,9 @@
 """Registered queries do the whole job: every row, step and option takes part."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from plumbline.operators import balance, neighbours
 from plumbline.plans import searches
 
 
@@ -12,3 +14,41 @@ def test_streaming_profile_has_the_last_window(spark, tmp_path):
     w = df.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg(F.col("value").isNull().cast("double")).alias("missing"))
     want = sorted(tuple(r) for r in w.select("w.start", "w.end", "n", "mean", "missing").collect())
     assert sorted(tuple(r) for r in searches.streaming_profile(spark, str(tmp_path)).collect()) == want and len(want) == 4
+
+
+def brute(x, k):
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
+def test_neighbours_and_tomek_links_across_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(1500, 2)) * [100, 1], 1)
+    x[:40] = x[0]  # equal points
+    x = x[np.lexsort(x.T[::-1])]
+    y = rng.integers(0, 2, len(x))
+    df = spark.createDataFrame([(i, str(b), float(a[0]), float(a[1])) for i, (a, b) in enumerate(zip(x, y))], "_id long, label string, a double, b double")
+    for k, group in ((1, None), (5, None), (5, "label")):
+        got = {r["_id"]: list(r["near"]) for r in neighbours.nearest(df, ["a", "b"], k, group, block=64).collect()}
+        for part in [np.arange(len(x))] if group is None else [np.flatnonzero(y == c) for c in (0, 1)]:
+            want = part[brute(x[part], k)]
+            assert all(got[i] == list(w) for i, w in zip(part, want))
+    near = brute(x, 1)[:, 0]
+    linked = (near[near] == np.arange(len(x))) & (y != y[near])
+    left = balance.without_tomek_links(df.select("label", "a", "b"), ["a", "b"], block=64)
+    want = sorted((str(c), *map(float, r)) for c, r in zip(y[~linked], x[~linked]))
+    assert linked.sum() > 100 and sorted(tuple(r) for r in left.collect()) == want
+
+
+def test_smote_fills_up_and_cleans_across_blocks(spark):
+    df = spark.range(900).select(F.when(F.col("id") % 5 == 0, 1).otherwise(0).alias("y"), F.rand(3).alias("a"), F.rand(4).alias("b"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    grown = balance.smote(df, "y", ["a", "b"], block=100, tomek=False)
+    assert {r.label: r.n for r in grown.groupBy("label").agg(F.count("*").alias("n")).collect()} == {"0": 720, "1": 720}
+    cleaned = sorted(tuple(r) for r in balance.smote(df, "y", ["a", "b"], block=100).collect())
+    rows = sorted(tuple(r) for r in grown.collect())
+    x, y = np.array([r[1:3] for r in rows]), np.array([r[0] for r in rows])
+    near = brute(x, 1)[:, 0]
+    linked = (near[near] == np.arange(len(x))) & (y != y[near])
+    assert linked.sum() and cleaned == [r for r, out in zip(rows, linked) if not out]
