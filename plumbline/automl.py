@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +16,19 @@ from plumbline.models import trees as T
 from plumbline.operators import generate as G
 from plumbline.operators import scale as R
 from plumbline.operators import select as L
+from plumbline.operators.balance import with_weights
 from plumbline.operators.clean import encode_labels, label_codes, preprocess
 from plumbline.operators.metrics import score
 from plumbline.operators.split import folds, holdout, subsample
 from plumbline.search.blocks import plan
 from plumbline.search.space import Config, SearchSpace, categorical, config_id, integer, uniform
+from plumbline.session import cut
+
+
+
+def _boosted(c: Config) -> dict:
+    return {"maxIter": c["lightgbm:rounds"], "stepSize": c["lightgbm:rate"], "maxDepth": c["lightgbm:depth"], "subsamplingRate": c["lightgbm:subsample"]}
+
 
 #: name -> (parameters of the search, maker of the model); users add their own.
 CLASSIFIERS: dict[str, tuple[list, Callable]] = {
@@ -33,6 +42,8 @@ CLASSIFIERS: dict[str, tuple[list, Callable]] = {
     "adaboost": ([integer("adaboost:rounds", 3, 20, 5), integer("adaboost:depth", 1, 8, 3)], lambda f, y, c: T.AdaBoost(f, y, n_estimators=c["adaboost:rounds"], depth=c["adaboost:depth"])),
     "liblinear_svc": ([uniform("liblinear_svc:C", 0.03, 32768, 1.0, log=True), categorical("liblinear_svc:loss", ["squared_hinge", "hinge"])], lambda f, y, c: M.Margin(f, y, C=c["liblinear_svc:C"], loss=c["liblinear_svc:loss"])),
     "libsvm_svc": ([uniform("libsvm_svc:C", 0.03, 32768, 1.0, log=True), uniform("libsvm_svc:gamma", 3e-5, 8, 0.1, log=True)], lambda f, y, c: T.KernelMachine(f, y, C=c["libsvm_svc:C"], gamma=c["libsvm_svc:gamma"])),
+    "knn": ([integer("knn:k", 1, 100, 1), categorical("knn:weights", ["uniform", "distance"]), categorical("knn:p", [1, 2], 2)], lambda f, y, c: M.NearestNeighbours(f, y, k=c["knn:k"], weights=c["knn:weights"], p=c["knn:p"])),
+    "lightgbm": ([integer("lightgbm:rounds", 5, 50, 10), uniform("lightgbm:rate", 0.01, 1.0, 0.1, log=True), integer("lightgbm:depth", 3, 10, 5), uniform("lightgbm:subsample", 0.5, 1.0, 0.8)], lambda f, y, c: T.GradientBoostingClassifier(f, y, params=_boosted(c))),
 }
 REGRESSORS: dict[str, tuple[list, Callable]] = {
     "ridge": ([uniform("ridge:alpha", 0.01, 32, 1.0, log=True)], lambda f, y, c: M.Ridge(f, y, alpha=c["ridge:alpha"])),
@@ -42,13 +53,23 @@ REGRESSORS: dict[str, tuple[list, Callable]] = {
     "gradient_boosting": ([integer("gradient_boosting:rounds", 5, 50, 10)], lambda f, y, c: T.GradientBoostingRegressor(f, y, params={"maxIter": c["gradient_boosting:rounds"]})),
     "adaboost": ([integer("adaboost:rounds", 3, 20, 5)], lambda f, y, c: T.AdaBoostR2(f, y, n_estimators=c["adaboost:rounds"])),
     "liblinear_svr": ([uniform("liblinear_svr:C", 0.03, 32768, 1.0, log=True)], lambda f, y, c: M.Margin(f, y, C=c["liblinear_svr:C"], loss="squared_epsilon")),
+    "libsvm_svr": ([uniform("libsvm_svr:C", 0.03, 32768, 1.0, log=True), uniform("libsvm_svr:gamma", 3e-5, 8, 0.1, log=True)], lambda f, y, c: T.KernelMachine(f, y, C=c["libsvm_svr:C"], gamma=c["libsvm_svr:gamma"], loss="squared_epsilon")),
+    "knn": ([integer("knn:k", 1, 100, 1), categorical("knn:weights", ["uniform", "distance"]), categorical("knn:p", [1, 2], 2)], lambda f, y, c: M.NearestNeighbours(f, y, k=c["knn:k"], weights=c["knn:weights"], p=c["knn:p"], regress=True)),
+    "lightgbm": ([integer("lightgbm:rounds", 5, 50, 10), uniform("lightgbm:rate", 0.01, 1.0, 0.1, log=True), integer("lightgbm:depth", 3, 10, 5), uniform("lightgbm:subsample", 0.5, 1.0, 0.8)], lambda f, y, c: T.GradientBoostingRegressor(f, y, params=_boosted(c))),
 }
 #: stage of a pipeline -> name -> maker of the step.
 STAGES: dict[str, dict[str, Callable[[bool], Stage | None]]] = {
-    "balancer": {"empty": lambda c: None, "weight_balancer": lambda c: None},
-    "preprocessor": {"empty": lambda c: None, "pca": lambda c: G.PCA(), "polynomial": lambda c: G.Polynomial(top=5, classify=c), "percentile": lambda c: L.Percentile(score="f_classif" if c else "f_regression"), "forest": lambda c: L.ForestSelector(classify=c, trees=10), "kbins": lambda c: R.Bins(), "nystroem": lambda c: G.Nystroem()},
+    "balancer": {"empty": lambda c: None, "weight_balancer": lambda c: None},  # no step: ``pipeline`` weighs the rows for the model
+    "preprocessor": {"empty": lambda c: None, "pca": lambda c: G.PCA(), "polynomial": lambda c: G.Polynomial(top=5, classify=c), "percentile": lambda c: L.Percentile(score="f_classif" if c else "f_regression"), "forest": lambda c: L.ForestSelector(classify=c, trees=10), "kbins": lambda c: R.Bins(), "nystroem": lambda c: G.Nystroem(),
+        "svd": lambda c: G.SVD(), "fast_ica": lambda c: G.FastICA(), "feature_agglomeration": lambda c: G.FeatureAgglomeration(), "random_fourier": lambda c: G.RandomFourier(), "tree_embedding": lambda c: G.TreeEmbedding(), "cross": lambda c: G.Cross(),
+        "univariate": lambda c: L.Univariate(score="f_classif" if c else "f_regression"), "linear": lambda c: L.LinearSelector()},
     "rescaler": {"empty": lambda c: None, "minmax": lambda c: R.MinMax(), "standard": lambda c: R.Standard(), "robust": lambda c: R.Robust(), "normalize": lambda c: R.Normalize(), "quantile": lambda c: R.Quantile(n_quantiles=50)},
 }
+#: classifiers whose weights follow the rule "tree" of ``class_weights``; the others follow "balanced".
+BY_TREE = {"adaboost", "random_forest", "extra_trees", "gradient_boosting", "lightgbm"}
+#: classifiers that know no weights, so a search doesn't put them together with the weight balancer.
+UNWEIGHTED = {"knn"}
+ENSEMBLES = ("ensemble_selection", "bagging", "blending", "stacking", "unnamed")
 
 
 def add_classifier(name: str, parameters: list, make: Callable) -> None:
@@ -87,6 +108,7 @@ def space_of(algorithms: dict[str, tuple[list, Callable]], steps: dict[str, list
     s.add(categorical("algorithm", list(algorithms)))
     for name, (parameters, _) in algorithms.items():
         s.add(*[replace(p, when=("algorithm", (name,))) for p in parameters])
+    s.forbidden.append(lambda c: c.get("fe:balancer") == "weight_balancer" and c.get("algorithm") in UNWEIGHTED)
     return s
 
 
@@ -94,7 +116,6 @@ def space_of(algorithms: dict[str, tuple[list, Callable]], steps: dict[str, list
 class Pipeline:
     chain: Chain
     model: M.Model
-    weighted: bool = False
 
     def predict(self, ds: Dataset) -> DataFrame:
         return self.model.predict(self.chain.transform(ds).df)
@@ -105,6 +126,10 @@ class AutoML:
     """``fit`` searches under a budget of trials; ``predict`` uses the best pipeline or an ensemble of the best.
 
     evaluation: holdout, cv or partial (shares of the data). Training data are prepared and cached once per search.
+
+    ensemble_method: None or one of ENSEMBLES, over the best ``ensemble_members`` trials (None: all that succeeded on all data). It learns from
+    predictions of rows that the members weren't fitted on: the hold-out, or all rows by folds under cv and for stacking, whose
+    members are the means of their fold models.
     """
 
     key: str
@@ -116,28 +141,41 @@ class AutoML:
     include_algorithms: list[str] | None = None
     include_steps: dict[str, list[str]] | None = None
     ensemble_method: str | None = None
-    ensemble_size: int = 50
+    ensemble_size: int = 50  # steps of ensemble selection
     parallel: int = 1
     seed: int = 1
     classify: bool = True
     state: dict = field(default_factory=dict)
+    ensemble_members: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.ensemble_method not in (None, *ENSEMBLES) or (self.ensemble_method == "unnamed" and not self.classify):
+            raise ValueError(f"no ensemble method {self.ensemble_method!r} for {'classes' if self.classify else 'numbers'}")
+        if not self.classify and "weight_balancer" in (self.include_steps or {}).get("balancer", []):
+            raise ValueError("weight_balancer is for classes")
 
     def pipeline(self, config: Config, train: Dataset) -> Pipeline:
         steps = [STAGES[k.removeprefix("fe:")][v](self.classify) for k, v in config.items() if k.startswith("fe:")]
         chain = Chain(*[s for s in steps if s is not None])
         ready = chain.fit_transform(train)
-        make = self.state["algorithms"][config["algorithm"]][1]
-        return Pipeline(chain, make(ready.of_kind(*NUMBERS), train.label, config).fit(ready.df))
+        name = config["algorithm"]
+        model = self.state["algorithms"][name][1](ready.of_kind(*NUMBERS), train.label, config)
+        if isinstance(model, M.NearestNeighbours):
+            model.key = self.key
+        if config.get("fe:balancer") == "weight_balancer":
+            if not hasattr(model, "weight"):
+                raise ValueError(f"{name} takes no weights")
+            ready = with_weights(ready, "tree" if name in BY_TREE else "balanced")
+            model.weight = ready.weight
+        return Pipeline(chain, model.fit(ready.df))
 
     def evaluate(self, config: Config, share: float) -> float:
         ds: Dataset = self.state["data"]
         on = ds.label if self.classify else None
         if self.evaluation == "cv":
-            frame, total = self.state["folds"], 0.0
-            for f in range(5):
-                train, test = (replace(ds, df=frame.where(c).drop("fold")) for c in (F.col("fold") != f, F.col("fold") == f))
-                total += self.score_of(self.pipeline(config, train), test)
-            return total / 5
+            fitted = self.by_folds(config)
+            self.state["fitted"][config_id(config)] = fitted
+            return sum(self.score_of(p, self.part("fold", f)) for f, p in enumerate(fitted)) / 5
         frame = self.state["split"]
         train = frame.where("not is_test").drop("is_test")
         if share < 1:
@@ -147,6 +185,18 @@ class AutoML:
             self.state["fitted"][config_id(config)] = fitted
         return self.score_of(fitted, replace(ds, df=frame.where("is_test").drop("is_test")))
 
+    def part(self, column: str, value: int | bool, equal: bool = True) -> Dataset:
+        """The rows of a fold, or of the hold-out, or the others."""
+        is_it = F.col(column) == F.lit(value)
+        return replace(self.state["data"], df=self.state["folds" if column == "fold" else "split"].where(is_it if equal else ~is_it).drop(column))
+
+    def by_folds(self, config: Config) -> list[Pipeline]:
+        """The pipeline fitted without each fold."""
+        if "folds" not in self.state:
+            ds = self.state["data"]
+            self.state["folds"] = folds(ds.df, self.key, 5, ds.label if self.classify else None).persist()
+        return [self.pipeline(config, self.part("fold", f, False)) for f in range(5)]
+
     def score_of(self, p: Pipeline, test: Dataset) -> float:
         out = p.predict(test).withColumnRenamed(test.label, "label")
         return score(out, self.metric)
@@ -154,11 +204,13 @@ class AutoML:
     def fit(self, df: DataFrame, label: str, features: list[str] | None = None) -> AutoML:
         ds = Dataset.of(df.where(F.col(label).isNotNull()), features, label, keep=(self.key,))
         if self.classify:
-            self.state["codes"] = label_codes(ds.df, label)
+            self.state["codes"] = cut(label_codes(ds.df, label))
+            self.state["classes"] = sorted(r["code"] for r in self.state["codes"].collect())
         ds, prep = preprocess(ds, self.classify)
+        ds = replace(ds, df=cut(ds.df))  # else each plan of each trial holds the plan of the preparation
         algorithms = CLASSIFIERS if self.classify else REGRESSORS
         names = self.include_algorithms or list(algorithms)
-        steps = {stage: (self.include_steps or {}).get(stage, list(options)) for stage, options in STAGES.items()}
+        steps = {stage: (self.include_steps or {}).get(stage, [o for o in options if self.classify or o not in ("weight_balancer", "linear")]) for stage, options in STAGES.items()}
         self.state |= {"fitted": {}, "algorithms": {n: algorithms[n] for n in names}, "prep": prep, "data": ds, "label": label}
         on = ds.label if self.classify else None
         if self.evaluation == "cv":
@@ -173,30 +225,48 @@ class AutoML:
         if search.best is None:
             raise RuntimeError("no trial succeeded: " + "; ".join(t.error for t in search.history[:3]))
         good = sorted([t for t in search.history if t.status == 0 and t.fidelity == 1.0], key=lambda t: -t.score)
-        members = good[:5] if self.ensemble_method and len(good) > 1 else [search.best]
-        self.state["members"] = [self.pipeline(t.config, ds) for t in members]
-        self.state["weights"] = {0: 1.0}
+        members = good[: self.ensemble_members] if self.ensemble_method and len(good) > 1 else [search.best]
+        self.state["rule"] = None
         if len(members) > 1:
-            frame = self.state.get("split")
-            if self.ensemble_method == "ensemble_selection" and frame is not None:
-                test = replace(ds, df=frame.where("is_test").drop("is_test"))
-                parts = [self.votes(self.state["fitted"][config_id(t.config)], test).withColumn("model_id", F.lit(i)) for i, t in enumerate(members)]
-                long = parts[0]
-                for p in parts[1:]:
-                    long = long.unionByName(p)
-                self.state["weights"] = E.greedy_selection(long, self.ensemble_size)
-            else:
-                self.state["weights"] = {i: 1 / len(members) for i in range(len(members))}
+            self.combine([t.config for t in members])
+        else:
+            self.state["members"] = [[self.pipeline(members[0].config, ds)]]
         return self
 
-    def votes(self, p: Pipeline, ds: Dataset) -> DataFrame:
-        """(row_id, label, prob): for classes one row per row and class."""
-        out = p.predict(ds)
-        if not self.classify:
-            return out.select(F.col(self.key).cast("string").alias("row_id"), F.col(ds.label).alias("label"), F.col("prediction").alias("prob"))
-        classes = [r["code"] for r in self.state["codes"].collect()]
-        each = out.withColumn("_c", F.explode(F.array(*[F.lit(c) for c in classes])))
-        return each.select(F.concat_ws("|", self.key, "_c").alias("row_id"), (F.col(ds.label) == F.col("_c")).cast("int").alias("label"), (F.col("prediction") == F.col("_c")).cast("double").alias("prob"))
+    def combine(self, configs: list[Config]) -> None:
+        """Members, and the rule (method, what it learnt) that puts them together."""
+        by_folds = self.evaluation == "cv" or self.ensemble_method == "stacking"
+        parts = []
+        tried = [self.state["fitted"].get(config_id(c)) if self.evaluation == "cv" or not by_folds else None for c in configs]
+        tried = [t if t is not None or not by_folds else self.by_folds(c) for t, c in zip(tried, configs)]
+        if self.ensemble_method != "bagging":
+            for i, t in enumerate(tried):
+                pairs = [(p, self.part("fold", f)) for f, p in enumerate(t)] if by_folds else [(t, self.part("is_test", True))]
+                parts += [self.votes([p], test).withColumn("model_id", F.lit(i)) for p, test in pairs]
+        long = cut(reduce(DataFrame.unionByName, parts)) if parts else None
+        learn = {
+            "ensemble_selection": lambda: E.greedy_selection(long, self.ensemble_size), "bagging": lambda: {i: 1 / len(configs) for i in range(len(configs))},
+            "blending": lambda: E.fit_meta(long), "stacking": lambda: E.fit_meta(long), "unnamed": lambda: E.accuracy_odds(long),
+        }
+        self.state["rule"] = self.ensemble_method, learn[self.ensemble_method]()
+        self.state["members"] = tried if self.ensemble_method == "stacking" else [[self.pipeline(c, self.state["data"])] for c in configs]
+
+    def votes(self, fitted: list[Pipeline], ds: Dataset) -> DataFrame:
+        """(row_id, label, prob): for classes one row per row and class, with the model's probability or else its vote; the mean of ``fitted``."""
+        classes = self.state["classes"] if self.classify else []
+        parts = []
+        for p in fitted:
+            out = p.predict(ds)
+            label = F.col(ds.label) if ds.label else F.lit(None)
+            if not self.classify:
+                parts.append(out.select(F.struct(F.col(self.key).alias("key")).alias("row_id"), label.cast("double").alias("label"), F.col("prediction").cast("double").alias("prob")))
+                continue
+            c = F.col("_c")
+            prob = F.coalesce(F.get("probability", c), F.lit(0.0)) if "probability" in out.columns else (F.col("prediction") == c).cast("double")
+            each = out.withColumn("_c", F.explode(F.array(*[F.lit(int(x)) for x in classes])))
+            parts.append(each.select(F.struct(F.col(self.key).alias("key"), c.alias("c")).alias("row_id"), (label == c).cast("int").alias("label"), prob.alias("prob")))
+        long = reduce(DataFrame.unionByName, parts)
+        return long if len(parts) == 1 else long.groupBy("row_id").agg(F.first("label").alias("label"), F.avg("prob").alias("prob"))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """(key, prediction) in the label's own values."""
@@ -205,19 +275,18 @@ class AutoML:
         raw = df.select(self.key, *features)
         given = Dataset.of(raw, features, None, keep=(self.key,), kinds=self.state["prep"].stages[0].state.get("kinds"))
         ready = self.state["prep"].transform(given)
-        outs = [(w, self.state["members"][i].predict(ready)) for i, w in self.state["weights"].items()]
-        if len(outs) == 1:
-            out = outs[0][1].select(self.key, "prediction")
+        members, (method, learnt) = self.state["members"], self.state["rule"] or (None, None)
+        if method is None:
+            out = members[0][0].predict(ready).select(self.key, "prediction")
         else:
-            long = None
-            for w, o in outs:
-                part = o.select(self.key, "prediction", F.lit(float(w)).alias("w"))
-                long = part if long is None else long.unionByName(part)
+            used = sorted(learnt) if isinstance(learnt, dict) else range(len(members))
+            long = reduce(DataFrame.unionByName, [self.votes(members[i], ready).withColumn("model_id", F.lit(i)) for i in used])
+            joined = E.apply_meta(learnt, long, self.classify) if method in ("blending", "stacking") else E.confidence_weighted(long, learnt) if method == "unnamed" else E.weighted(long, learnt)
             if self.classify:
-                v = long.groupBy(self.key, "prediction").agg(F.sum("w").alias("v"))
-                out = v.groupBy(self.key).agg(F.max(F.struct("v", (-F.col("prediction")).alias("c"))).alias("b")).select(self.key, (-F.col("b.c")).cast("int").alias("prediction"))
+                best = joined.groupBy(F.col("row_id.key").alias(self.key)).agg(F.max(F.struct("prob", (-F.col("row_id.c")).alias("c"))).alias("b"))
+                out = best.select(self.key, (-F.col("b.c")).cast("int").alias("prediction"))
             else:
-                out = long.groupBy(self.key).agg((F.sum(F.col("w") * F.col("prediction")) / F.sum("w")).alias("prediction"))
+                out = joined.select(F.col("row_id.key").alias(self.key), F.col("prob").alias("prediction"))
         if self.classify:
             codes = self.state["codes"]
             out = out.join(F.broadcast(codes), F.col("prediction") == F.col("code"), "left").select(self.key, F.col("value").alias("prediction"))
@@ -238,7 +307,8 @@ class AutoML:
             coded = encode_labels(ready.df, label, "_code")
             ready = replace(ready, df=coded.drop(label).withColumnRenamed("_code", label))
         best = sorted([t for t in self.state["search"].history if t.status == 0 and t.fidelity == 1.0], key=lambda t: -t.score)
-        self.state["members"] = [self.pipeline(t.config, ready) for t in best[: len(self.state["members"])]]
+        best = best[: len(self.state["members"])] if self.state["rule"] else [self.state["search"].best]
+        self.state["members"] = [[self.pipeline(t.config, ready)] for t in best]
         return self
 
     def trials_frame(self, spark) -> DataFrame:

@@ -56,14 +56,26 @@ def greedy_selection(predictions: DataFrame, size: int = 50) -> dict[int, float]
     return {m: float(c / best_counts.sum()) for m, c in zip(models, best_counts) if c}
 
 
+def _wide(predictions: DataFrame, models: list[int], label: bool) -> DataFrame:
+    parts = [F.max(F.when(F.col("model_id") == m, F.col("prob"))).alias(f"p{m}") for m in models]
+    return predictions.groupBy("row_id").agg(*([F.max("label").cast("double").alias("y")] if label else []), *parts)
+
+
+def fit_meta(predictions: DataFrame, share: float = 1.0) -> tuple[list[int], Model]:
+    """(models, a linear model over their predictions), fitted on a hashed share of the rows."""
+    models = sorted(r[0] for r in predictions.select("model_id").distinct().collect())
+    train = _wide(predictions, models, True).where(F.pmod(F.xxhash64("row_id"), F.lit(1000)) < int(share * 1000))
+    return models, Ridge([f"p{m}" for m in models], "y", alpha=1.0).fit(train)
+
+
+def apply_meta(meta: tuple[list[int], Model], predictions: DataFrame, clip: bool = True) -> DataFrame:
+    out = meta[1].predict(_wide(predictions, meta[0], False))
+    return out.select("row_id", (F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")) if clip else F.col("prediction")).alias("prob"))
+
+
 def blend(predictions: DataFrame, share: float = 0.8) -> DataFrame:
     """A linear model over the members' predictions, fitted on a hashed share of the rows, clipped to [0, 1]."""
-    models = sorted(r[0] for r in predictions.select("model_id").distinct().collect())
-    cols = [f"p{m}" for m in models]
-    wide = predictions.groupBy("row_id").agg(F.max("label").cast("double").alias("y"), *[F.max(F.when(F.col("model_id") == m, F.col("prob"))).alias(c) for m, c in zip(models, cols)])
-    train = wide.where(F.pmod(F.xxhash64("row_id"), F.lit(1000)) < int(share * 1000))
-    out = Ridge(cols, "y", alpha=1.0).fit(train).predict(wide)
-    return out.select("row_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")).alias("prob"))
+    return apply_meta(fit_meta(predictions, share), predictions)
 
 
 def stack(df: DataFrame, key: str, features: list[str], label: str, makers: list[Callable[[], Model]], k: int = 5) -> DataFrame:
@@ -108,10 +120,15 @@ def diverse_members(predictions: DataFrame, n: int, bins: int = 20) -> list[int]
     return sorted(models[min(g, key=lambda i: (float(np.linalg.norm(h[i] - h[g].mean(axis=0))), i))] for g in groups)
 
 
-def confidence_weighted(predictions: DataFrame) -> DataFrame:
-    """Members weighted by the log-odds of their accuracy and, row by row, by how certain they are."""
+def accuracy_odds(predictions: DataFrame) -> dict[int, float]:
+    """Log-odds of each member's accuracy."""
     acc = predictions.groupBy("model_id").agg(F.avg(((F.col("prob") > 0.5).cast("int") == F.col("label")).cast("double")).alias("a"))
-    odds = {r["model_id"]: float(np.log(max(r["a"], 1e-6) / max(1 - r["a"], 1e-6))) for r in acc.collect()}
+    return {r["model_id"]: float(np.log(max(r["a"], 1e-6) / max(1 - r["a"], 1e-6))) for r in acc.collect()}
+
+
+def confidence_weighted(predictions: DataFrame, odds: dict[int, float] | None = None) -> DataFrame:
+    """Members weighted by the log-odds of their accuracy, here or as given, and, row by row, by how certain they are."""
+    odds = accuracy_odds(predictions) if odds is None else odds
     base = reduce(lambda a, m: F.when(F.col("model_id") == m, max(odds[m], 1e-6)).otherwise(a), odds, F.lit(0.0))
     p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), "prob"))
     certain = 1 + (p * F.log2(p) + (1 - p) * F.log2(1 - p)) + 1e-9

@@ -64,14 +64,23 @@ def class_moments(df: DataFrame, features: list[str], label: str) -> dict[int, t
     return dict(sorted(out.items()))
 
 
+def class_mass(df: DataFrame, label: str, weight: str | None) -> dict[int, float]:
+    """class -> mean weight of its rows, 1 without weights; a class's moments times it are weighted ones, for weights that go by class."""
+    if not weight:
+        return {}
+    return {int(r[label]): float(r["w"]) for r in df.where(F.col(label).isNotNull()).groupBy(label).agg(F.avg(weight).alias("w")).collect()}
+
+
 @dataclass
 class LDA(Model):
-    """Linear discriminant: pooled covariance, shrunk by ``shrinkage`` toward its mean variance."""
+    """Linear discriminant: pooled covariance, shrunk by ``shrinkage`` toward its mean variance; ``weight`` goes by class."""
 
     shrinkage: float | None = None
+    weight: str | None = None
 
     def fit(self, df: DataFrame) -> LDA:
-        per = class_moments(df, self.features, self.label)
+        mass = class_mass(df, self.label, self.weight)
+        per = {c: (k * mass.get(c, 1), m, v) for c, (k, m, v) in class_moments(df, self.features, self.label).items()}
         n = sum(p[0] for p in per.values())
         pooled = sum(p[0] * p[2] for p in per.values()) / n
         if self.shrinkage:
@@ -97,12 +106,14 @@ class LDA(Model):
 
 @dataclass
 class QDA(Model):
-    """Quadratic discriminant: one covariance for each class, mixed with the identity by ``reg``."""
+    """Quadratic discriminant: one covariance for each class, mixed with the identity by ``reg``; ``weight`` goes by class."""
 
     reg: float = 0.0
+    weight: str | None = None
 
     def fit(self, df: DataFrame) -> QDA:
-        per = class_moments(df, self.features, self.label)
+        mass = class_mass(df, self.label, self.weight)
+        per = {c: (k * mass.get(c, 1), m, v) for c, (k, m, v) in class_moments(df, self.features, self.label).items()}
         n = sum(p[0] for p in per.values())
         self.state = {}
         for c, (k, m, cov) in per.items():
@@ -123,14 +134,17 @@ class QDA(Model):
 @dataclass
 class GaussianNB(Model):
     smoothing: float = 1e-9
+    weight: str | None = None  # goes by class, so it moves the priors only
 
     def fit(self, df: DataFrame) -> GaussianNB:
         x = [F.col(c).cast("double") for c in self.features]
         rows = df.where(F.col(self.label).isNotNull()).groupBy(self.label).agg(F.count("*").alias("n"), *[g(c).alias(f"{a}{i}") for i, c in enumerate(x) for a, g in (("m", F.avg), ("v", F.var_pop))]).collect()
         widest = one_row(df, {f"{i}": F.var_pop(c) for i, c in enumerate(x)})
         add = self.smoothing * max([v for v in widest.values() if v] or [1.0])
-        n = sum(r["n"] for r in rows)
-        self.state = {int(r[self.label]): (np.log(r["n"] / n), [(r[f"m{i}"], r[f"v{i}"] + add) for i in range(len(x))]) for r in rows}
+        mass = class_mass(df, self.label, self.weight)
+        per = {int(r[self.label]): r["n"] * mass.get(int(r[self.label]), 1) for r in rows}
+        n = sum(per.values())
+        self.state = {int(r[self.label]): (np.log(per[int(r[self.label])] / n), [(r[f"m{i}"], r[f"v{i}"] + add) for i in range(len(x))]) for r in rows}
         return self
 
     def scores(self) -> dict[int, Column]:
@@ -292,6 +306,7 @@ class Margin(Model):
     penalty: str = "l2"
     epsilon: float = 0.1
     steps: int = 60
+    weight: str | None = None  # of rows, 1 on average
 
     def __post_init__(self) -> None:
         self.regress = self.loss.startswith("epsilon") or self.loss.startswith("squared_epsilon")
@@ -310,6 +325,7 @@ class Margin(Model):
             else:
                 m = y * f
                 g = -y / (1 + F.exp(m)) if self.loss == "logistic" else F.when(m >= 1, 0.0).otherwise(-y * (2 * (1 - m) if self.loss == "squared_hinge" else 1.0))
+            g = g * F.col(self.weight) if self.weight else g
             got = one_row(df, {"b": F.avg(g), **{f"{i}": F.avg(g * zi) for i, zi in enumerate(z)}})
             step = rate if ("squared" in self.loss or self.loss == "logistic") else 1.0 / (1 + t)
             grad = np.array([got[f"{i}"] or 0.0 for i in range(d)])
@@ -330,7 +346,7 @@ class Margin(Model):
         got = one_row(df, {"n": F.count(F.lit(1)), "ys": F.stddev_pop(F.col(self.label).cast("double")), "ym": F.avg(F.col(self.label).cast("double")), **x})
         d = len(self.features)
         mean, scale = np.array([got[f"m{i}"] for i in range(d)]), np.array([got[f"s{i}"] or 1.0 for i in range(d)])
-        frame = df.select(*self.features, self.label).persist()
+        frame = df.select(*self.features, self.label, *([self.weight] if self.weight else [])).persist()
         try:
             if self.regress:
                 ys = got["ys"] or 1.0

@@ -88,9 +88,10 @@ class AdaBoost(Model):
     n_estimators: int = 10
     learning_rate: float = 1.0
     depth: int = 1
+    weight: str | None = None  # of rows at the start
 
     def fit(self, df: DataFrame) -> AdaBoost:
-        base = df.select(*self.features, F.col(self.label).cast("int").alias("_y")).where("_y is not null").withColumn("_w", F.lit(1.0)).persist()
+        base = df.select(*self.features, F.col(self.label).cast("int").alias("_y"), (F.col(self.weight) if self.weight else F.lit(1.0)).alias("_w")).where("_y is not null").persist()
         k = base.select("_y").distinct().count()
         self.state = {"trees": [], "classes": sorted(r[0] for r in base.select("_y").distinct().collect())}
         frame = base
@@ -215,6 +216,7 @@ class KernelMachine(Model):
     coef0: float = 1.0
     n_components: int = 30
     loss: str = "squared_hinge"
+    weight: str | None = None
 
     def fit(self, df: DataFrame) -> KernelMachine:
         from plumbline.dataset import Dataset
@@ -222,9 +224,10 @@ class KernelMachine(Model):
 
         self.classify = not self.loss.startswith(("epsilon", "squared_epsilon"))
         stage = Nystroem(targets=self.features, kernel=self.kernel, gamma=self.gamma, degree=self.degree, coef0=self.coef0, n_components=self.n_components)
-        ds = Dataset.of(df.select(*self.features, self.label), self.features, self.label)
+        kept = (self.weight,) if self.weight else ()
+        ds = Dataset.of(df.select(*kept, *self.features, self.label), self.features, self.label, keep=kept)
         mapped = stage.fit_transform(ds)
-        self.state = {"stage": stage, "machine": Margin(mapped.features, self.label, C=self.C, loss=self.loss).fit(mapped.df)}
+        self.state = {"stage": stage, "machine": Margin(mapped.features, self.label, C=self.C, loss=self.loss, weight=self.weight).fit(mapped.df)}
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Registered queries do the whole job: every row, step and option takes part."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from plumbline import automl
 from plumbline.operators import balance, neighbours
 from plumbline.plans import searches
 
@@ -52,3 +54,37 @@ def test_smote_fills_up_and_cleans_across_blocks(spark):
     near = brute(x, 1)[:, 0]
     linked = (near[near] == np.arange(len(x))) & (y != y[near])
     assert linked.sum() and cleaned == [r for r, out in zip(rows, linked) if not out]
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    rng = np.random.default_rng(3)
+    y = (rng.random(600) < 0.1).astype(int)
+    rows = [(i, float(rng.normal(1.2 * c)), float(rng.normal()), "rare" if c else "most", float(3 * c + rng.normal())) for i, c in enumerate(y)]
+    return spark.createDataFrame(rows, "id int, a double, b double, y string, t double").repartition(2).persist()
+
+
+@pytest.mark.parametrize("name", ["lda", "gaussian_nb", "random_forest", "liblinear_svc"])
+def test_weight_balancer_reaches_the_model(skewed, name):
+    rare = []
+    for balancer in ("empty", "weight_balancer"):
+        steps = {"balancer": [balancer], "preprocessor": ["empty"], "rescaler": ["empty"]}
+        a = automl.Classifier("id", trials=1, include_algorithms=[name], include_steps=steps).fit(skewed.drop("t"), "y")
+        rare.append(a.predict(skewed).where("prediction = 'rare'").count())
+        a.close()
+    assert rare[1] > 1.3 * rare[0] and rare[1] > 60
+
+
+def test_ensembles_do_as_named(skewed):
+    steps = {"balancer": ["empty"], "preprocessor": ["empty"], "rescaler": ["empty"]}
+    for method, evaluation in (("blending", "holdout"), ("stacking", "holdout"), ("unnamed", "holdout"), ("ensemble_selection", "cv")):
+        a = automl.Classifier("id", trials=2, evaluation=evaluation, include_algorithms=["gaussian_nb", "random_forest"], include_steps=steps, ensemble_method=method).fit(skewed.drop("t"), "y")
+        assert a.state["rule"][0] == method and a.score(skewed) > 0.88 and a.predict(skewed).count() == 600
+        assert method != "stacking" or [len(m) for m in a.state["members"]] == [5, 5]
+        assert method != "ensemble_selection" or sum(a.state["rule"][1].values()) == pytest.approx(1)
+        a.close()
+    r = automl.Regressor("id", trials=3, include_algorithms=["ridge"], include_steps=steps, ensemble_method="blending", ensemble_members=2).fit(skewed.drop("y"), "t")
+    assert len(r.state["members"]) == 2 and -r.score(skewed) < 2
+    with pytest.raises(ValueError):
+        automl.Classifier("id", ensemble_method="staking")
+    assert {"knn", "lightgbm", "libsvm_svr"} <= set(automl.REGRESSORS)
