@@ -47,7 +47,7 @@ class Optimizer:
     def __post_init__(self) -> None:
         self.rng = np.random.default_rng(self.seed)
         probe = np.random.default_rng(0)
-        self.limit = min(1500, len({config_id(self.space.sample(probe, self.fixed)) for _ in range(500)}) if self.space.parameters else 1)
+        self.limit = min(1500, len({config_id(self.space.sample(probe, self.fixed)) for _ in range(5000)}) if self.space.parameters else 1)
 
     def run(self, configs: list[Config], fidelity: float = 1.0) -> list[Trial]:
         def one(c: Config) -> Trial:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from plumbline import automl
 from plumbline.operators import balance, neighbours
 from plumbline.plans import searches
+from plumbline.search import optimizers
+from plumbline.search.space import SearchSpace, categorical, uniform
 
 
 def test_streaming_profile_has_the_last_window(spark, tmp_path):
@@ -88,3 +90,10 @@ def test_ensembles_do_as_named(skewed):
     with pytest.raises(ValueError):
         automl.Classifier("id", ensemble_method="staking")
     assert {"knn", "lightgbm", "libsvm_svr"} <= set(automl.REGRESSORS)
+
+
+def test_search_stops_at_1500_configurations():
+    space = SearchSpace([uniform("x", 0, 1)])
+    o = optimizers.build("random", space, lambda c, share: c["x"])
+    assert o.limit == 1500 and o.iterate(600) and len(o.history) == 600
+    assert optimizers.build("random", SearchSpace([categorical("a", [1, 2, 3])]), lambda c, share: 0.0).limit == 3
