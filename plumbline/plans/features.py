@@ -344,7 +344,7 @@ def svd(spark, d):
 
 @query()
 def fast_ica(spark, d):
-    ds = fitted(G.FastICA(n_components=2, max_iter=5), spark, d, ["l_quantity", "l_tax", "l_discount"])
+    ds = fitted(G.FastICA(n_components=2), spark, d, ["l_quantity", "l_tax", "l_discount"])
     return ds.df.agg(*[F.round(F.var_pop(f"ic{k}"), 4).alias(f"var{k}") for k in range(2)], F.round(F.corr("ic0", "ic1"), 4).alias("corr"))
 
 
@@ -434,7 +434,7 @@ def _kept(stage):
 Q["et_sel_cls"] = _kept(lambda: L.ForestSelector(trees=10))
 Q["et_sel_rgs"] = _kept(lambda: L.ForestSelector(classify=False, trees=10))
 Q["linsvc_sel"] = _kept(L.LinearSelector)
-Q["rfecv"] = _kept(lambda: L.RecursiveElimination(targets=["l_quantity", "l_tax"], folds=2))
+Q["rfecv"] = _kept(lambda: L.RecursiveElimination())
 _MI = """select '{c}' as feature, round(sum(n / t * ln(n * t / (nx * ny))), 6) as score from (select n, sum(n) over () as t, sum(n) over (partition by x) as nx, sum(n) over (partition by y) as ny
 from (select least(15, floor(({c} - lo) / ((hi - lo) / 16.0))) as x, l_quantity > 25 as y, count(*)::double as n from lineitem, (select min({c}) as lo, max({c}) as hi from lineitem) group by 1, 2))"""
 

@@ -123,7 +123,7 @@ def meta_pca(spark, d):
 def meta_landmarks(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_totalprice") > 250000).cast("int").alias("y"))
     ds = Dataset.of(df, ["o_totalprice"], "y", keep=("o_orderkey",))
-    return PR.as_frame(df, PR.landmarks(ds, "o_orderkey", k=2))
+    return PR.as_frame(df, PR.landmarks(ds, "o_orderkey"))
 
 
 # estimators
@@ -209,7 +209,7 @@ _BINARY = {"c_liblinear_svc", "c_libsvm_svc"}
 for _n, _m in _CLASSIFIERS.items():
     Q[_n] = _accuracy(_m, "b" if _n in _BINARY else "y")
 for _n, _m in {"i_balanced_bagging": "tree", "i_balanced_rf": "forest", "i_easy_ensemble": "boost", "i_rusboost": "boost"}.items():
-    Q[_n] = _accuracy(lambda y, b=_m: T.BalancedBag(_X, y, bags=2, base=b), "b")
+    Q[_n] = _accuracy(lambda y, b=_m: T.BalancedBag(_X, y, base=b), "b")
 _REGRESSORS = {
     "r_adaboost": lambda y: T.AdaBoostR2(_X, y, n_estimators=3, depth=5), "r_extra_trees": lambda y: T.ExtraTreesRegressor(_X, y, params={"numTrees": 5, "maxDepth": 7, "featureSubsetStrategy": "all"}), "r_random_forest": lambda y: T.RandomForestRegressor(_X, y, params={"numTrees": 5, "maxDepth": 7, "featureSubsetStrategy": "all"}),
     "r_gradient_boosting": lambda y: T.GradientBoostingRegressor(_X, y, params={"maxIter": 5}), "r_lightgbm": lambda y: T.GradientBoostingRegressor(_X, y, params={"maxIter": 5, "maxDepth": 6}),
@@ -305,10 +305,12 @@ def snk_config_id(spark, d):
 
 @query("select count(*) as n from orders")
 def snk_arff(spark, d):
-    """A frame written as Parquet and read again."""
+    """Meta-features written as Parquet and read again."""
     from plumbline.session import keep
 
-    return keep(table(spark, d, "orders").select("o_orderkey")).agg(F.count("*").alias("n"))
+    df = table(spark, d, "orders")
+    ds = Dataset.of(df, ["o_totalprice", "o_custkey", "o_orderpriority"], "o_orderstatus", keep=("o_orderkey",))
+    return keep(PR.as_frame(df, PR.simple_features(ds))).where("feature = 'NumberOfInstances'").select(F.col("value").cast("long").alias("n"))
 
 
 @query()

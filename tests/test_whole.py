@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline import automl
+from plumbline import automl, session
 from plumbline.operators import balance, neighbours
-from plumbline.plans import searches
+from plumbline.plans import features, measure, searches
 from plumbline.search import optimizers
 from plumbline.search.space import SearchSpace, categorical, uniform
 
@@ -97,3 +97,21 @@ def test_search_stops_at_1500_configurations():
     o = optimizers.build("random", space, lambda c, share: c["x"])
     assert o.limit == 1500 and o.iterate(600) and len(o.history) == 600
     assert optimizers.build("random", SearchSpace([categorical("a", [1, 2, 3])]), lambda c, share: 0.0).limit == 3
+
+
+def test_registered_with_the_operators_defaults(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 7, float(i), "12"[i % 2], "FOP"[i % 3]) for i in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    kept = []
+    monkeypatch.setattr(session, "keep", lambda df, real=session.keep: kept.append(df.columns) or real(df))
+    assert [tuple(r) for r in measure.snk_arff(spark, str(tmp_path)).collect()] == [(60,)] and kept == [["feature", "value"]]
+    asked = []
+    monkeypatch.setattr(measure.PR, "landmarks", lambda ds, key, k=5: asked.append(k) or {})
+    monkeypatch.setattr(measure.PR, "as_frame", lambda df, got: df)
+    measure.meta_landmarks(spark, str(tmp_path))
+    assert asked == [5]
+    made = []
+    monkeypatch.setattr(features.G, "FastICA", lambda **kw: made.append(kw) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        features.fast_ica(spark, str(tmp_path))
+    assert made == [{"n_components": 2}]
