@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe
+from plumbline.llm import bpe, pack
 from plumbline.llm.mih import similar_pairs
-from plumbline.llm.pack import containers
 from plumbline.llm.pii import find, found_items
 from plumbline.llm.splits import FEATURES, NUMBERS, TEXTS, overlap_report, overlapping_rows
 from plumbline.llm.topn import best_trials
@@ -40,7 +39,12 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return containers(documents(spark, d), table(spark, d, "pack_targets"))
+    return pack.containers(documents(spark, d), table(spark, d, "pack_targets"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each target are, and how far that is proved to be the best."""
+    return pack.report(documents(spark, d), table(spark, d, "pack_targets"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +55,7 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
     return find(documents(spark, d)).select("doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_masked": p8_masked}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_masked": p8_masked}
 
 P5_SQL = """
 with t as (select session_id, lower(trim(estimator_id, ' ' || chr(9))) as estimator_id, trial_id, perf, finished_at, config_id

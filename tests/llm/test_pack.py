@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm.pack import best_fit, containers, lower_bound, pack, token_counts
+from plumbline.llm.pack import Steps, best_fit, complete, containers, lower_bound, pack, report, token_counts
 
 
 def exact(sizes, capacity):
@@ -31,11 +31,11 @@ def exact(sizes, capacity):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 20), max_size=9))
 def test_small_packings_are_optimal(sizes):
-    bins = pack(sizes, 20)
+    bins, bound = pack(sizes, 20)
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 20 for b in bins)
     real = [s for s in sizes if s]
-    assert len(bins) == (exact(sizes, 20) if real else bool(sizes))
+    assert len(bins) == bound == (exact(sizes, 20) if real else bool(sizes))
     assert lower_bound(sorted(real, reverse=True), 20) <= exact(sizes, 20)
 
 
@@ -44,12 +44,40 @@ def test_beats_best_fit():
     better = 0
     for _ in range(30):
         sizes = sorted((rng.randint(100, 350) for _ in range(60)), reverse=True)
-        n, m = len(pack(sizes, 1000)), len(best_fit(sizes, 1000))
+        n, m = len(pack(sizes, 1000)[0]), len(best_fit(sizes, 1000))
         assert n <= m
         better += n < m
     assert better > 0
 
 
+def triples(n, seed):
+    """Sizes that fill ``n`` containers of 1,000 exactly, three to each."""
+    rng, out = random.Random(seed), []
+    while len(out) < 3 * n:
+        a = rng.randint(380, 490)
+        b = rng.randint(250, max(250, (1000 - a) // 2))
+        if 250 <= 1000 - a - b <= 500:
+            out += [a, b, 1000 - a - b]
+    return out
+
+
+def test_planted_packings_are_found_or_the_gap_is_stated():
+    for seed in range(3):
+        sizes = triples(20, seed)
+        bins, bound = pack(sizes, 1000, steps=10_000_000)
+        assert len(bins) == bound == 20
+    bins, bound = pack(triples(60, 0), 1000)
+    assert 60 <= bound <= len(bins) <= 62 < len(best_fit(sorted(triples(60, 0), reverse=True), 1000))
+
+
+def test_a_search_that_ends_shows_there_is_none():
+    # eight of 260 fit three to a container of 1,000, so they need three though their volume needs 2.08, then 2 of them beside two of 480
+    assert complete([260] * 8, 1000, 2, Steps(10_000)) is None
+    bins, bound = pack([360] * 5, 1000)
+    assert len(bins) == bound == 3
+    assert pack([0, 0], 5) == ([[0, 1]], 1) and pack([], 5) == ([], 0)
+
+
 def test_table(spark):
     texts = [None, "", " ", "one two three", "word " * 3000, "x"] + [f"text number {i} " * (i % 40) for i in range(300)]
     docs = spark.createDataFrame([*enumerate(texts), (4, texts[4]), (4, "other"), (None, "no id")], "doc_id long, text string").withColumn("container", F.lit(1))
@@ -70,5 +98,11 @@ def test_table(spark):
         n = max(v for (d, _), v in counts.items() if d == 4)
         assert long[-1][1] + long[-1][2] == n and all(p * capacity == s for p, s, _ in long)
         assert sum(fill.values()) / (capacity * len(fill)) > 0.85
+    told = {r.target_id: r for r in report(docs, targets, bins=4, items=64).collect()}
+    assert set(told) == {1, 2}
+    for r in told.values():
+        assert r.volume_bound <= r.n_containers and r.group_bound <= r.n_containers and r.n_proved <= r.n_groups
+        assert r.n_containers == len({x.container for x in rows if x.target_id == r.target_id})
+    assert report(docs, targets.limit(0)).count() == 0
     assert containers(docs.limit(0), targets).count() == 0
     assert containers(docs, targets.limit(0)).count() == 0
