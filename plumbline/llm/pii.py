@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,17 @@ from plumbline.session import map_arrow
 KINDS = ["name", "email", "phone", "idnum", "address"]
 LABELS = 1 + 2 * len(KINDS)  # outside; first and further token of each kind
 TOKEN = re.compile(r"(\+?[\w*█'’]+(?:[-./+][\w*█'’]+)*(?:@[^\s<>()\[\],;:\"&]*[\w*])?|[^\w\s])")
+#: Share of the words that training hides, strength of the penalty, and how often the table must show a key to make it known.
+FORGET, PENALTY, FEW = 0.15, 1e-5, 10
+#: What the score of a name gains where the same text shows the word as part of one elsewhere, and what one gains anywhere.
+AGAIN, LEAN = 4.0, 0.5
 #: Tokens whose words a token's label is judged by, beside its own.
 WINDOW = 3
-CLASSES = ["pad", "Xx", "XX", "X", "X.X", "X-X", "x", "9", "9.9", "x9", "@", "*", ".", ",", "(", ")", "[", "]", ";", ":", "—", "&", "?"]
-STREET = re.compile(r"(straße|strasse|str|weg|gasse|platz|allee)$")
+CLASSES = ["pad", "X", "X.X", "9", "9.9", "x9", "@", "*", ".", ",", "(", ")", "[", "]", ";", ":", "—", "&", "?", "<", ">", "/", "-", "'", "’"]
+#: How well public vocabularies know a word: 0 to 2 by the letters of its pieces, 3 as a word, 4 with a capital only.
+KNOWN = 5
+CLASSES += [f"{c}{k}" for c in ("Xx", "XX", "X-X", "x") for k in range(KNOWN)]
+TOKENIZERS = "/opt/tokenizers"
 GLUE = 4  # 1: no white space before the token; 2: a line break before it
 
 
@@ -28,10 +37,33 @@ def shape(token: str) -> str:
     """Letters as X and x in runs of one, digits one by one (0 where a number begins with it), the rest as it is."""
     s = re.sub(r"[0-9]+", lambda m: ("0" if m[0][0] == "0" else "9") + "9" * min(9, len(m[0]) - 1), token)
     s = re.sub(r"[^\W\d_]+", lambda m: "".join(dict.fromkeys("X" if c.isupper() else "x" for c in m[0])) if len(m[0]) > 1 else ("X" if m[0].isupper() else "x"), s)
-    return s[:40]
+    return s
 
 
-def coarse(token: str) -> str:
+class Vocabulary:
+    """How well the public vocabularies know a word. Names are rarely words of a vocabulary, or only with a capital."""
+
+    def __init__(self, tokenizers: str) -> None:
+        self.pieces: set[bytes] = set()
+        for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+            self.pieces |= {base64.b64decode(x.split()[0]) for x in Path(tokenizers, f"{name}.tiktoken").read_bytes().splitlines() if x}
+
+    def known(self, word: str) -> int:
+        low = word.lower()
+        if f" {low}".encode() in self.pieces:
+            return 3
+        if f" {low.capitalize()}".encode() in self.pieces:
+            return 4
+        raw, n, at = f" {low}".encode(), 0, 0
+        while at < len(raw):  # the longest piece, then the longest piece of the rest
+            end = min(len(raw), at + 24)
+            while end > at + 1 and raw[at:end] not in self.pieces:
+                end -= 1
+            at, n = end, n + 1
+        return min(2, max(0, len(word) // n - 2))
+
+
+def coarse(token: str, vocabulary: Vocabulary) -> str:
     if "*" in token or "█" in token:
         return "*"
     if "@" in token and len(token) > 1:
@@ -45,26 +77,55 @@ def coarse(token: str) -> str:
         return "?"
     if "." in token and token.upper() == token:
         return "X.X"
-    if "-" in token and any(c.isupper() for c in token):
-        return "X-X"
-    if token[0].isupper():
-        return "X" if len(token) == 1 else "XX" if token.upper() == token else "Xx"
-    return "x"
+    if token[0].isupper() and len(token) == 1:
+        return "X"
+    kind = "X-X" if "-" in token and any(c.isupper() for c in token) else "x" if not token[0].isupper() else "XX" if token.upper() == token else "Xx"
+    return f"{kind}{vocabulary.known(POSSESSIVE.sub("", token))}"
+
+
+def rough(token: str) -> str:
+    """The shape of a token that isn't a word, runs of digits as one."""
+    return re.sub(r"9+|09*", "9", shape(token)) + "~"
 
 
 class Reader:
-    """Tokens as numbers: known words with their case, else their shape, and a coarse class."""
+    """Tokens as numbers: known words with their case, known shapes, else rough shapes; their ending; and a coarse class.
+
+    ``counts`` are the keys of the labelled table; those seen less than FEW times aren't known.
+    """
+
+    def __init__(self, counts: dict[str, int], endings: dict[str, int], vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.keys = {"": 0} | {k: i + 1 for i, k in enumerate(sorted(k for k, n in counts.items() if n >= FEW))}
+        self.endings = {"": 0} | {e: i + 1 for i, e in enumerate(sorted(e for e, n in endings.items() if e and n >= FEW))}
+
+    @staticmethod
+    def word(token: str) -> str:
+        return f"{token.lower()}|{'U' if token.isupper() else 'C' if token[:1].isupper() else ''}"
+
+    @staticmethod
+    def choices(token: str) -> list[str]:
+        """Keys of a token, the most telling first."""
+        if token.isalpha():
+            return [Reader.word(token), f"{token.lower()}|"]
+        return [Reader.word(token), shape(token), rough(token)]
 
-    def __init__(self, words: set[str], keys: dict[str, int] | None = None) -> None:
-        self.words = words
-        self.keys = keys if keys is not None else {"": 0}
+    def key(self, token: str) -> int:
+        return next((self.keys[k] for k in self.choices(token) if k in self.keys), 0)
 
-    def key(self, token: str) -> str:
-        low = token.lower()
-        if low in self.words:
-            return f"{low}|{'U' if token.isupper() else 'C' if token[:1].isupper() else ''}"
-        street = STREET.search(low)
-        return shape(token) + (f"~{street[1]}" if street else "")
+    def hidden(self, token: str) -> int:
+        """The key of a token as if the table didn't know it."""
+        return 0 if token.isalpha() else self.keys.get(rough(token), 0)
+
+    def ending(self, token: str) -> int:
+        return self.endings.get(ending(token), 0)
+
+    def coarse(self, token: str) -> int:
+        return CLASSES.index(coarse(token, self.vocabulary))
+
+
+def ending(token: str) -> str:
+    return token[-3:].lower() if len(token) > 4 and token[-3:].isalpha() else ""
 
 
 def tokens(text: str) -> tuple[list[str], list[str]]:
@@ -75,9 +136,8 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
 
 def begins(toks: list[str], gaps: list[str]) -> np.ndarray:
     """Where each token begins."""
-    n = len(toks)
-    lengths = np.fromiter(map(len, toks), np.int64, n)
-    return np.cumsum(np.fromiter(map(len, gaps), np.int64, n + 1)[:n]) + np.cumsum(lengths) - lengths
+    lengths = np.array(list(map(len, toks)), np.int64)
+    return np.cumsum(np.array(list(map(len, gaps[: len(toks)])), np.int64)) + np.cumsum(lengths) - lengths
 
 
 def glue_of(gap: str) -> int:
@@ -85,10 +145,10 @@ def glue_of(gap: str) -> int:
 
 
 class Model:
-    """Weights of the field: per window place of known keys and of classes, of glue, and of label pairs."""
+    """Weights of the field: per window place of known keys, of classes and of endings, of glue, of two neighbouring classes, and of label pairs."""
 
-    def __init__(self, reader: Reader, key_w: np.ndarray, class_w: np.ndarray, glue_w: np.ndarray, pair_w: np.ndarray) -> None:
-        self.reader, self.key_w, self.class_w, self.glue_w, self.pair_w = reader, key_w, class_w, glue_w, pair_w
+    def __init__(self, reader: Reader, key_w: np.ndarray, class_w: np.ndarray, ending_w: np.ndarray, glue_w: np.ndarray, two_w: np.ndarray, pair_w: np.ndarray) -> None:
+        self.reader, self.key_w, self.class_w, self.ending_w, self.glue_w, self.two_w, self.pair_w = reader, key_w, class_w, ending_w, glue_w, two_w, pair_w
 
 
 ALLOWED = np.zeros((LABELS + 1, LABELS), bool)  # the last row: at the start
@@ -103,12 +163,19 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(rounds: int = 14, epochs: int = 14, seed: int = 0) -> Model:
+def _grouped(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, the sum of the rows of each)."""
+    order = np.argsort(ids, kind="stable")
+    held, starts = np.unique(ids[order], return_index=True)
+    return held, np.add.reduceat(rows[order], starts, axis=0)
+
+
+def train(rounds: int = 30, epochs: int = 6, seed: int = 0, tokenizers: str = TOKENIZERS) -> Model:
     """The field fitted to the labelled table: maximum likelihood with a small penalty, by Adam over padded batches."""
-    table = list(labelled(rounds))
     counts: dict[str, int] = {}
+    ends: dict[str, int] = {}
     read = []
-    for text, spans in table:
+    for text, spans in labelled(rounds):
         toks, gaps = tokens(text)
         begin, glue = begins(toks, gaps), np.array([glue_of(g) for g in gaps[:-1]], np.int64)
         label = np.zeros(len(toks), np.int64)
@@ -119,38 +186,42 @@ def train(rounds: int = 14, epochs: int = 14, seed: int = 0) -> Model:
                 label[inside[0]] -= 1
         read.append((toks, glue, label))
         for t in toks:
-            if not any(c.isdigit() or c in "*█@" for c in t):
-                counts[t.lower()] = counts.get(t.lower(), 0) + 1
-    reader = Reader({w for w, n in counts.items() if n >= 5})
+            for k in {*Reader.choices(t)}:
+                counts[k] = counts.get(k, 0) + 1
+            ends[ending(t)] = ends.get(ending(t), 0) + 1
+    reader = Reader(counts, ends, Vocabulary(tokenizers))
+    seen: dict[str, tuple[int, int, int, int]] = {}
     sequences = []
     for toks, glue, label in read:
-        ids = [reader.keys.setdefault(reader.key(t), len(reader.keys)) for t in toks]
-        sequences.append((np.array(ids), np.array([CLASSES.index(coarse(t)) for t in toks]), glue, label))
-    sequences = [s for s in sequences if len(s[0])]
+        if toks:
+            seen |= {t: (reader.key(t), reader.hidden(t), reader.coarse(t), reader.ending(t)) for t in toks if t not in seen}
+            sequences.append((np.array([seen[t] for t in toks]).T, glue, label))
     rng = np.random.default_rng(seed)
-    n_keys, places = len(reader.keys), 2 * WINDOW + 1
-    shapes = [(places, n_keys, LABELS), (places, len(CLASSES), LABELS), (2, GLUE, LABELS), (LABELS + 1, LABELS)]
+    places = 2 * WINDOW + 1
+    shapes = [(places, len(reader.keys), LABELS), (places, len(CLASSES), LABELS), (places, len(reader.endings), LABELS), (2, GLUE, LABELS), (2, len(CLASSES) ** 2, LABELS), (LABELS + 1, LABELS)]
     weights = [np.zeros(s) for s in shapes]
     first, second = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
-    step = 0
+    step, steps = 0, epochs * -(-len(sequences) // 96) + 1
     for _ in range(epochs):
-        order = sorted(rng.permutation(len(sequences)), key=lambda i: len(sequences[i][0]) // 8)
+        order = sorted(rng.permutation(len(sequences)), key=lambda i: len(sequences[i][1]) // 8)
         batches = [order[i : i + 96] for i in range(0, len(order), 96)]
         for b in rng.permutation(len(batches)):
             chosen = [sequences[i] for i in batches[b]]
-            n, longest = len(chosen), max(len(s[0]) for s in chosen)
-            keys, classes, glue = (np.zeros((n, longest + 2 * WINDOW), np.int64) for _ in range(3))
+            n, longest = len(chosen), max(len(s[1]) for s in chosen)
+            keys, classes, endings, glue = (np.zeros((n, longest + 2 * WINDOW), np.int64) for _ in range(4))
             label, mask = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
-            for r, (k, c, g, y) in enumerate(chosen):
+            for r, ((k, h, c, e), g, y) in enumerate(chosen):
                 at = slice(WINDOW, WINDOW + len(k))
-                keys[r, at] = np.where(rng.random(len(k)) < 0.08, 0, k)  # words that it doesn't know occur too
+                keys[r, at] = np.where(rng.random(len(k)) < FORGET, h, k)  # texts hold words that the table doesn't know
+                endings[r, at] = np.where(rng.random(len(k)) < FORGET, 0, e)
                 classes[r, at], glue[r, at] = c, g
                 label[r, : len(k)], mask[r, : len(k)] = y, True
             places_at = [slice(p, p + longest) for p in range(places)]
-            score = sum(weights[0][p][keys[:, s]] + weights[1][p][classes[:, s]] for p, s in enumerate(places_at))
+            score = sum(weights[0][p][keys[:, s]] + weights[1][p][classes[:, s]] + weights[2][p][endings[:, s]] for p, s in enumerate(places_at))
             glues = [glue[:, WINDOW : WINDOW + longest], glue[:, WINDOW + 1 : WINDOW + 1 + longest]]
-            score = score + weights[2][0][glues[0]] + weights[2][1][glues[1]]
-            pair = np.where(ALLOWED, weights[3], NEVER)
+            twos = [classes[:, WINDOW - 1 + k : WINDOW - 1 + k + longest] * len(CLASSES) + classes[:, WINDOW + k : WINDOW + k + longest] for k in (0, 1)]
+            score = score + weights[3][0][glues[0]] + weights[3][1][glues[1]] + weights[4][0][twos[0]] + weights[4][1][twos[1]]
+            pair = np.where(ALLOWED, weights[5], NEVER)
             forward = np.zeros((longest, n, LABELS))
             forward[0] = score[:, 0] + pair[LABELS]
             for t in range(1, longest):
@@ -173,20 +244,26 @@ def train(rounds: int = 14, epochs: int = 14, seed: int = 0) -> Model:
             np.add.at(gold_pairs, (label[:, :-1][mask[:, 1:]], label[:, 1:][mask[:, 1:]]), 1)
             np.add.at(gold_pairs[LABELS], label[:, 0], 1)
             gradients = [np.zeros(s) for s in shapes]
+            shifted = np.zeros((n, longest + 2 * WINDOW, places, LABELS))
             for p, s in enumerate(places_at):
-                np.add.at(gradients[0][p], keys[:, s].ravel(), diff)
-                np.add.at(gradients[1][p], classes[:, s].ravel(), diff)
+                shifted[:, s, p] = diff.reshape(n, longest, LABELS)
+            shifted = shifted.reshape(-1, places * LABELS)
+            for k, held in enumerate((keys, classes, endings)):
+                at, sums = _grouped(held.ravel(), shifted)
+                gradients[k][:, at] = sums.reshape(-1, places, LABELS).transpose(1, 0, 2)
             for k in (0, 1):
-                np.add.at(gradients[2][k], glues[k].ravel(), diff)
-            gradients[3] = (gold_pairs - pairs) * ALLOWED
+                for g, held in ((gradients[3], glues[k]), (gradients[4], twos[k])):
+                    at, sums = _grouped(held.ravel(), diff)
+                    g[k, at] = sums
+            gradients[5] = (gold_pairs - pairs) * ALLOWED
             step += 1
             for k, g in enumerate(gradients):
-                g = g / n - 1e-4 * weights[k]
+                g = g / n - PENALTY * weights[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                weights[k] += 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    weights[0][:, 0] = 0  # an unknown word is judged by its class
-    return Model(reader, *[w.astype(np.float32) for w in weights[:3]], np.where(ALLOWED, weights[3], NEVER).astype(np.float32))
+                weights[k] += 0.06 * (1 - step / steps) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    weights[1][WINDOW, :, 1:3] += LEAN
+    return Model(reader, *[w.astype(np.float32) for w in weights[:5]], np.where(ALLOWED, weights[5], NEVER).astype(np.float32))
 
 
 @lru_cache(maxsize=1)
@@ -202,8 +279,8 @@ class Decoder:
         self.slots: dict[str, int] = {}
         self.glues: dict[str, int] = {}
         self.by_key: dict[tuple, int] = {}
-        self.rows = [np.zeros((2 * WINDOW + 1, LABELS), np.float32) + model.class_w[:, 0]]
-        self.traits = [(False, False)]
+        self.rows = [model.key_w[:, 0] + model.class_w[:, 0] + model.ending_w[:, 0]]
+        self.traits = [(False, False, 0)]
         self.stack()
         pair = model.pair_w
         # what a label pair may gain over staying outside: with it, tokens that can't be part of an item are told apart exactly
@@ -211,18 +288,18 @@ class Decoder:
 
     def stack(self) -> None:
         self.emit = [np.ascontiguousarray(np.stack([r[p] for r in self.rows])) for p in range(2 * WINDOW + 1)]
-        self.stop, self.plain = (np.array([t[k] for t in self.traits]) for k in (0, 1))
+        self.stop, self.plain, self.coarse = (np.array([t[k] for t in self.traits]) for k in (0, 1, 2))
 
     def number(self, token: str) -> int:
-        """The row of a token's weights; as many rows as there are keys and classes, however many tokens."""
-        m = self.model
-        known, c = m.reader.keys.get(m.reader.key(token), 0), CLASSES.index(coarse(token))
-        plain = len(token) > 3 and token.islower() and not STREET.search(token)
-        key = (known, c, plain, token in ".;!?")
+        """The row of a token's weights; as many rows as there are keys, classes and endings that occur together, however many tokens."""
+        m, r = self.model, self.model.reader
+        known, end, c = r.key(token), r.ending(token), r.coarse(token)
+        plain = len(token) > 3 and token.islower()
+        key = (known, c, end, plain, token in ".;!?")
         if key not in self.by_key:
             self.by_key[key] = len(self.rows)
-            self.rows.append(m.key_w[:, known] + m.class_w[:, c])
-            self.traits.append((token in ".;!?", plain))
+            self.rows.append(m.key_w[:, known] + m.class_w[:, c] + m.ending_w[:, end])
+            self.traits.append((token in ".;!?", plain, c))
         if len(self.slots) > 500_000:
             self.slots.clear()
         self.slots[token] = self.by_key[key]
@@ -256,6 +333,10 @@ class Decoder:
             inner += rows.take(flat[p : p + n], axis=0)
         inner += self.model.glue_w[0].take(stuck[WINDOW : WINDOW + n], axis=0)
         inner += self.model.glue_w[1].take(stuck[WINDOW + 1 : WINDOW + 1 + n], axis=0)
+        kind = self.coarse.take(flat)
+        two = kind[:-1] * len(CLASSES) + kind[1:]
+        inner += self.model.two_w[0].take(two[WINDOW - 1 : WINDOW - 1 + n], axis=0)
+        inner += self.model.two_w[1].take(two[WINDOW : WINDOW + n], axis=0)
         heard = np.concatenate([[0], np.cumsum(score[:, 1:].max(axis=1) - score[:, 0] + 2 * self.gain > 0)])
         # a text is decoded in pieces that end with a sentence
         end = self.stop[flat]
@@ -266,11 +347,28 @@ class Decoder:
         begin, stop = ends[:-1], ends[1:]
         live = (stop > begin) & (heard[stop] > heard[begin]) & ~np.isin(begin, last[last != np.concatenate([first[1:], [-1]])])
         begin, stop = begin[live], stop[live]
-        order = np.argsort(stop - begin, kind="stable")
         out = np.zeros(len(flat), np.int64)
+        self.decode(score, begin, stop, out)
+        # a word that is part of a name at one place of a text likely is at the others
+        again = []
+        for (toks, _), b, e in zip(many, first, last):
+            at = np.flatnonzero((out[b:e] == 1) | (out[b:e] == 2)).tolist()
+            if at:
+                words = {w for i in at if len(toks[i]) > 3 and toks[i][0].isupper() for w in (toks[i], toks[i].upper(), toks[i].capitalize())}
+                again += [b + i for i, t in enumerate(toks) if t in words]
+        if again:
+            more = np.array(again)
+            more = more[out[more] == 0]
+            score[more, 1:3] += AGAIN
+            # pieces that hold such a word, those passed over before included
+            hit = np.unique(np.searchsorted(ends, more, side="right")) - 1
+            self.decode(score, ends[hit], ends[hit + 1], out)
+        return [out[b:e] for b, e in spans]
+
+    def decode(self, score: np.ndarray, begin: np.ndarray, stop: np.ndarray, out: np.ndarray) -> None:
+        order = np.argsort(stop - begin, kind="stable")
         for i in range(0, len(order), 1024):
             self.viterbi(score, begin[order[i : i + 1024]], (stop - begin)[order[i : i + 1024]], out)
-        return [out[b:e] for b, e in spans]
 
     def viterbi(self, score: np.ndarray, start: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
         """The best labels of pieces in the order of their size."""
@@ -285,7 +383,8 @@ class Decoder:
             ways = best[k:, None, :] + turned
             step = ways.argmax(axis=2)
             back[t, k:] = step
-            best[k:] = np.take_along_axis(ways, step[:, :, None], 2)[:, :, 0] + score[start[k:] + t]
+            won = ways.reshape(-1).take(step.ravel() + np.arange(0, ways.size, LABELS)).reshape(step.shape)
+            best[k:] = won + score[start[k:] + t]
         label = best.argmax(axis=1)
         rows = np.arange(len(start))
         for t in range(longest - 1, -1, -1):
@@ -300,7 +399,7 @@ NUMBERED = re.compile(r"\d+\.?\s+(?=\d)")
 JOINED = re.compile(r"\s+(?:and|und|et)\s+")
 POSSESSIVE = re.compile(r"['’]s$")
 ACCEPT: dict[str, Callable[[str], bool]] = {
-    "name": lambda v: bool(re.search(r"[^\W\d_]{2}", v)) and not re.search(r"[\d@]|\s(?:Street|Road|Bridge|Lane|Terrace|Quay)$", v),
+    "name": lambda v: bool(re.search(r"[^\W\d_]{2}", v)) and not re.search(r"[\d@]", v),
     "email": lambda v: bool(re.search(r"@|\bat\b", v, re.I)) and bool(re.search(r"\.|\bdot\b", v, re.I)),
     "phone": lambda v: sum(c.isdigit() for c in v) >= 6,
     "idnum": lambda v: sum(c.isdigit() for c in v) >= 5,
