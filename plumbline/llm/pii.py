@@ -6,6 +6,8 @@ import base64
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
+from operator import add
 from pathlib import Path
 
 import numpy as np
@@ -337,7 +339,8 @@ class Decoder:
         two = kind[:-1] * len(CLASSES) + kind[1:]
         inner += self.model.two_w[0].take(two[WINDOW - 1 : WINDOW - 1 + n], axis=0)
         inner += self.model.two_w[1].take(two[WINDOW : WINDOW + n], axis=0)
-        heard = np.concatenate([[0], np.cumsum(score[:, 1:].max(axis=1) - score[:, 0] + 2 * self.gain > 0)])
+        turned = np.ascontiguousarray(score.T)
+        heard = np.concatenate([[0], np.cumsum(turned[1:].max(axis=0) - turned[0] + 2 * self.gain > 0)])
         # a text is decoded in pieces that end with a sentence
         end = self.stop[flat]
         end[1:] &= self.plain[flat[:-1]]
@@ -430,13 +433,14 @@ def items(text: str, toks: list[str], gaps: list[str], label: np.ndarray) -> lis
     heads = np.flatnonzero(label % 2 == 1)
     if not len(heads):
         return []
-    begin = begins(toks, gaps)
-    for h in heads:
-        kind = int(label[h]) // 2
+    ends = list(accumulate(map(add, map(len, gaps), map(len, toks))))
+    marks = label.tolist()
+    for h in heads.tolist():
+        kind = marks[h] // 2
         last = h
-        while last + 1 < len(label) and label[last + 1] == label[h] + 1:
+        while last + 1 < len(marks) and marks[last + 1] == marks[h] + 1:
             last += 1
-        s, e = int(begin[h]), int(begin[last]) + len(toks[last])
+        s, e = ends[h] - len(toks[h]), ends[last]
         for s, e in exact(text, s, e, KINDS[kind]):
             value = text[s:e]
             if "*" not in value and "█" not in value and ACCEPT[KINDS[kind]](value):
