@@ -353,6 +353,9 @@ def _packed(documents: DataFrame, targets: DataFrame, tokenizers: str, bins: int
         return documents.sparkSession.createDataFrame([], PACKED + ", least bigint")
     each = F.explode(F.array(*[F.struct(F.lit(w["target_id"]).cast("int").alias("target_id"), F.lit(w["capacity"]).cast("long").alias("capacity"), F.lit(w["chunks"]).cast("long").alias("chunks")) for w in wanted]))
     rows = counts.select("doc_id", "mark", "n", each.alias("t")).select("t.target_id", "t.capacity", F.pmod(F.xxhash64("doc_id", "mark"), F.col("t.chunks")).alias("chunk"), "doc_id", "mark", "n")
+    # the rows are few bytes and long work, so the number of tasks follows the groups, not the bytes
+    groups, cores = sum(w["chunks"] for w in wanted), documents.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(max(1, min(groups, max(4 * cores, groups // 8))), "target_id", "capacity", "chunk")
     ship(documents.sparkSession)
     return rows.groupBy("target_id", "capacity", "chunk").applyInArrow(_pack_group(steps), PACKED + ", least bigint")
 
