@@ -58,6 +58,34 @@ def test_recall_with_split_indexes(spark):
     assert sum(len(set(want[t]) & set(got[t])) for t in v) / (5 * len(v)) > 0.9
 
 
+def test_every_code_within_the_radius_is_probed():
+    rng = np.random.default_rng(3)
+    code = mih.learn(rng.normal(size=(500, 32)), 6, 8)
+    x = rng.normal(size=(300, 32)).astype(np.float32)
+    whole, values = code.encode(x), code.values(x)
+    assert whole.shape == (300, 48) and code.substrings == 8
+    hamming = (whole[:, None] != whole[None]).sum(2)
+    for radius in (7, 15, 23):
+        masks = mih.ball(6, radius // 8)
+        reached = np.isin(values[:, None] ^ values[None], masks).any(2)
+        assert reached[hamming <= radius].all() and not reached.all()
+
+
+def test_a_radius_of_all_bits_is_exact(spark):
+    v = clustered(400, 9)
+    got = {r.task_id: [n.id for n in r.near] for r in mih.nearest(mih.usable_vectors(table(spark, v)), per_value=20, per_task=40, radius=1000).collect()}
+    assert got == brute(v)
+
+
+def test_hot_classes_give_the_same(spark):
+    v = clustered(90, 4)
+    names = list(v)
+    for t in names[:40]:
+        v[t] = v[names[0]]
+    got = {r.task_id: [n.id for n in r.near] for r in mih.nearest(mih.usable_vectors(table(spark, v)), per_value=1000, hot=20).collect()}
+    assert got == brute(v)
+
+
 def test_few(spark):
     assert mih.similar_pairs(table(spark, {}, [("x", None, None)])).count() == 0
     assert mih.similar_pairs(table(spark, {"a": np.ones(32)})).count() == 0
