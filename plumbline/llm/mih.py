@@ -19,12 +19,12 @@ SAMPLE = 20_000
 #: Substrings of a code, each with an index of its own.
 SUBSTRINGS = 8
 #: Vectors that share a substring's value, on average; a substring has log2(n / PER_VALUE) bits.
-PER_VALUE = 48
+PER_VALUE = 16
 #: Hamming distance within which every code is reached: some substring then differs in at most RADIUS // SUBSTRINGS
 #: bits (pigeonhole). As many as the code has bits make the search exact.
-RADIUS = 23
+RADIUS = 31
 #: Queries that one task holds of one index, at most on average, and how many times as many vectors.
-PER_TASK, SHARE = 50_000, 8
+PER_TASK, SHARE = 250_000, 2
 #: A class of equal vectors that holds more rows than this, and more than a thousandth of all, is hot; there are at most 1,000 such.
 HOT = 100_000
 
