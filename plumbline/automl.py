@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -45,6 +46,13 @@ CLASSIFIERS: dict[str, tuple[list, Callable]] = {
     "knn": ([integer("knn:k", 1, 100, 1), categorical("knn:weights", ["uniform", "distance"]), categorical("knn:p", [1, 2], 2)], lambda f, y, c: M.NearestNeighbours(f, y, k=c["knn:k"], weights=c["knn:weights"], p=c["knn:p"])),
     "lightgbm": ([integer("lightgbm:rounds", 5, 50, 10), uniform("lightgbm:rate", 0.01, 1.0, 0.1, log=True), integer("lightgbm:depth", 3, 10, 5), uniform("lightgbm:subsample", 0.5, 1.0, 0.8)], lambda f, y, c: T.GradientBoostingClassifier(f, y, params=_boosted(c))),
 }
+#: for imbalanced classes; a search looks at them where they are named.
+IMBALANCED: dict[str, tuple[list, Callable]] = {
+    "balanced_bagging": ([integer("balanced_bagging:bags", 3, 20, 5), integer("balanced_bagging:depth", 2, 10, 5)], lambda f, y, c: T.BalancedBag(f, y, bags=c["balanced_bagging:bags"], depth=c["balanced_bagging:depth"])),
+    "balanced_forest": ([integer("balanced_forest:bags", 3, 20, 5)], lambda f, y, c: T.BalancedBag(f, y, bags=c["balanced_forest:bags"], base="forest")),
+    "easy_ensemble": ([integer("easy_ensemble:bags", 3, 20, 5)], lambda f, y, c: T.BalancedBag(f, y, bags=c["easy_ensemble:bags"], base="boost")),
+    "rusboost": ([integer("rusboost:rounds", 5, 50, 10), integer("rusboost:depth", 1, 8, 3)], lambda f, y, c: T.RUSBoost(f, y, n_estimators=c["rusboost:rounds"], depth=c["rusboost:depth"])),
+}
 REGRESSORS: dict[str, tuple[list, Callable]] = {
     "ridge": ([uniform("ridge:alpha", 0.01, 32, 1.0, log=True)], lambda f, y, c: M.Ridge(f, y, alpha=c["ridge:alpha"])),
     "lasso": ([uniform("lasso:alpha", 0.01, 32, 1.0, log=True)], lambda f, y, c: M.Lasso(f, y, alpha=c["lasso:alpha"])),
@@ -68,7 +76,7 @@ STAGES: dict[str, dict[str, Callable[[bool], Stage | None]]] = {
 #: classifiers whose weights follow the rule "tree" of ``class_weights``; the others follow "balanced".
 BY_TREE = {"adaboost", "random_forest", "extra_trees", "gradient_boosting", "lightgbm"}
 #: classifiers that know no weights, so a search doesn't put them together with the weight balancer.
-UNWEIGHTED = {"knn"}
+UNWEIGHTED = {"knn", "balanced_bagging", "balanced_forest", "easy_ensemble", "rusboost"}
 ENSEMBLES = ("ensemble_selection", "bagging", "blending", "stacking", "unnamed")
 
 
@@ -147,6 +155,8 @@ class AutoML:
     classify: bool = True
     state: dict = field(default_factory=dict)
     ensemble_members: int | None = None
+    time_limit: float | None = None  # seconds for all trials
+    per_run_time_limit: float | None = None  # seconds for one trial, which is cancelled then
 
     def __post_init__(self) -> None:
         if self.ensemble_method not in (None, *ENSEMBLES) or (self.ensemble_method == "unnamed" and not self.classify):
@@ -208,8 +218,8 @@ class AutoML:
             self.state["classes"] = sorted(r["code"] for r in self.state["codes"].collect())
         ds, prep = preprocess(ds, self.classify)
         ds = replace(ds, df=cut(ds.df))  # else each plan of each trial holds the plan of the preparation
-        algorithms = CLASSIFIERS if self.classify else REGRESSORS
-        names = self.include_algorithms or list(algorithms)
+        algorithms = {**CLASSIFIERS, **IMBALANCED} if self.classify else REGRESSORS
+        names = self.include_algorithms or list(CLASSIFIERS if self.classify else REGRESSORS)
         steps = {stage: (self.include_steps or {}).get(stage, [o for o in options if self.classify or o not in ("weight_balancer", "linear")]) for stage, options in STAGES.items()}
         self.state |= {"fitted": {}, "algorithms": {n: algorithms[n] for n in names}, "prep": prep, "data": ds, "label": label}
         on = ds.label if self.classify else None
@@ -218,7 +228,7 @@ class AutoML:
         else:
             self.state["split"] = holdout(ds.df, self.key, 0.33, on).persist()
         space = space_of(self.state["algorithms"], steps)
-        search = plan(self.tree, space, self.evaluate, names, "mfes" if self.evaluation == "partial" else self.optimizer, seed=self.seed, parallel=self.parallel)
+        search = plan(self.tree, space, self.evaluate, names, "mfes" if self.evaluation == "partial" else self.optimizer, seed=self.seed, parallel=self.parallel, until=None if self.time_limit is None else time.time() + self.time_limit, per_run=self.per_run_time_limit)
         per = len(names) if self.tree in (1, 2) else 1
         search.iterate(1 if self.evaluation == "partial" else max(1, self.trials // per))
         self.state["search"] = search
@@ -270,18 +280,11 @@ class AutoML:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """(key, prediction) in the label's own values."""
-        ds: Dataset = self.state["data"]
-        label, features = self.state["label"], self.state["prep"].stages[0].state["keep"]
-        raw = df.select(self.key, *features)
-        given = Dataset.of(raw, features, None, keep=(self.key,), kinds=self.state["prep"].stages[0].state.get("kinds"))
-        ready = self.state["prep"].transform(given)
-        members, (method, learnt) = self.state["members"], self.state["rule"] or (None, None)
-        if method is None:
-            out = members[0][0].predict(ready).select(self.key, "prediction")
+        ready = self._ready(df)
+        if self.state["rule"] is None:
+            out = self.state["members"][0][0].predict(ready).select(self.key, "prediction")
         else:
-            used = sorted(learnt) if isinstance(learnt, dict) else range(len(members))
-            long = reduce(DataFrame.unionByName, [self.votes(members[i], ready).withColumn("model_id", F.lit(i)) for i in used])
-            joined = E.apply_meta(learnt, long, self.classify) if method in ("blending", "stacking") else E.confidence_weighted(long, learnt) if method == "unnamed" else E.weighted(long, learnt)
+            joined = self._joined(ready)
             if self.classify:
                 best = joined.groupBy(F.col("row_id.key").alias(self.key)).agg(F.max(F.struct("prob", (-F.col("row_id.c")).alias("c"))).alias("b"))
                 out = best.select(self.key, (-F.col("b.c")).cast("int").alias("prediction"))
@@ -290,13 +293,43 @@ class AutoML:
         if self.classify:
             codes = self.state["codes"]
             out = out.join(F.broadcast(codes), F.col("prediction") == F.col("code"), "left").select(self.key, F.col("value").alias("prediction"))
-        del ds, label
         return out
 
+    def classes(self) -> list:
+        """The labels in the order of their codes, as in ``predict_proba``."""
+        return [r["value"] for r in self.state["codes"].orderBy("code").collect()]
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """(key, probability): an array in the order of ``classes``, that adds up to 1."""
+        if not self.classify:
+            raise ValueError("numbers have no probabilities")
+        long = self._joined(self._ready(df))
+        each = long.groupBy(F.col("row_id.key").alias(self.key)).agg(F.array_sort(F.collect_list(F.struct(F.col("row_id.c").alias("c"), "prob"))).alias("p"))
+        return each.select(self.key, M.normal(F.transform("p", lambda p: F.greatest(p["prob"], F.lit(0.0)))).alias("probability"))
+
+    def _ready(self, df: DataFrame) -> Dataset:
+        features = self.state["prep"].stages[0].state["keep"]
+        given = Dataset.of(df.select(self.key, *features), features, None, keep=(self.key,), kinds=self.state["prep"].stages[0].state.get("kinds"))
+        return self.state["prep"].transform(given)
+
+    def _joined(self, ready: Dataset) -> DataFrame:
+        """(row_id, prob) of the ensemble, or of the one member."""
+        members, (method, learnt) = self.state["members"], self.state["rule"] or (None, None)
+        if method is None:
+            return self.votes(members[0], ready).select("row_id", "prob")
+        used = sorted(learnt) if isinstance(learnt, dict) else range(len(members))
+        long = reduce(DataFrame.unionByName, [self.votes(members[i], ready).withColumn("model_id", F.lit(i)) for i in used])
+        return E.apply_meta(learnt, long, self.classify) if method in ("blending", "stacking") else E.confidence_weighted(long, learnt) if method == "unnamed" else E.weighted(long, learnt)
+
     def score(self, df: DataFrame, metric: str | None = None) -> float:
         label = self.state["label"]
-        out = self.predict(df).join(df.select(self.key, F.col(label).alias("label")), self.key)
-        return score(out, metric or ("acc" if self.classify else "mse"))
+        metric = metric or ("acc" if self.classify else "mse")
+        truth = df.select(self.key, F.col(label).alias("label"))
+        out = self.predict(df).join(truth, self.key)
+        if metric in ("auc", "log_loss", "cross_entropy", "pac_score"):
+            codes = self.state["codes"]
+            out = self.predict_proba(df).join(truth.join(F.broadcast(codes), F.col("label") == F.col("value")).select(self.key, F.col("code").alias("label")), self.key)
+        return score(out, metric)
 
     def refit(self, df: DataFrame) -> AutoML:
         """The chosen pipelines fitted again on all of ``df``."""

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from plumbline.dataset import one_row
 from plumbline.operators.generate import EXPRESSIONS, moments, scatter
-from plumbline.session import map_arrow, ship
+from plumbline.session import ship
 
 
 @dataclass
 class Model:
-    """``features`` are number columns; ``label`` holds class codes from 0 or a number."""
+    """``features`` are number columns; ``label`` holds class codes from 0 or a number.
+
+    ``predict`` adds ``prediction``, and for classes ``probability``, an array by class code.
+    """
 
     features: list[str]
     label: str
@@ -41,6 +44,23 @@ def choose(scores: dict[int, Column]) -> Column:
     return (-best["c"]).cast("int")
 
 
+def softmax(scores: dict[int, Column]) -> Column:
+    """Shares by class code, from scores on the scale of a logarithm; an array in which classes that were never seen have 0."""
+    s = [scores[c] if c in scores else F.lit(None).cast("double") for c in range(max(scores) + 1)]
+    return normal(F.transform(F.array(*s), lambda x: F.coalesce(F.exp(x - F.array_max(F.array(*scores.values()))), F.lit(0.0))))
+
+
+def normal(shares: Column) -> Column:
+    """An array of shares, scaled to the sum 1; equal ones where all are 0."""
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.transform(shares, lambda x: x / total)).otherwise(F.transform(shares, lambda x: F.lit(1.0) / F.size(shares)))
+
+
+def by_class(values: dict[int, Column]) -> Column:
+    """The values as an array by class code, 0 for classes that aren't among them."""
+    return F.array(*[values[c] if c in values else F.lit(0.0) for c in range(max(values) + 1)])
+
+
 def class_moments(df: DataFrame, features: list[str], label: str) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     """class -> (n, mean, population covariance), in one pass."""
     if len(features) > EXPRESSIONS:
@@ -97,7 +117,7 @@ class LDA(Model):
         return {c: _dot(self.features, w, b) for c, (w, b) in self.state.items()}
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", choose(self.scores()))
+        return df.withColumn("prediction", choose(self.scores())).withColumn("probability", softmax(self.scores()))
 
     def project(self, df: DataFrame) -> DataFrame:
         """Coordinates along the discriminant directions."""
@@ -128,7 +148,7 @@ class QDA(Model):
         for c, (m, white, b) in self.state.items():
             parts = [_dot(self.features, white[:, i], float(-m @ white[:, i])) for i in range(white.shape[1])]
             scores[c] = reduce(lambda a, p: a - 0.5 * p * p, parts, F.lit(b))
-        return df.withColumn("prediction", choose(scores))
+        return df.withColumn("prediction", choose(scores)).withColumn("probability", softmax(scores))
 
 
 @dataclass
@@ -151,7 +171,7 @@ class GaussianNB(Model):
         return {c: reduce(lambda a, p: a - 0.5 * float(np.log(2 * np.pi * p[1][1])) - (F.col(p[0]) - float(p[1][0])) * (F.col(p[0]) - float(p[1][0])) / float(2 * p[1][1]), zip(self.features, stats), F.lit(float(prior))) for c, (prior, stats) in self.state.items()}
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", choose(self.scores()))
+        return df.withColumn("prediction", choose(self.scores())).withColumn("probability", softmax(self.scores()))
 
 
 def gram(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
@@ -281,7 +301,8 @@ class NearestNeighbours(Model):
     regress: bool = False
 
     def fit(self, df: DataFrame) -> NearestNeighbours:
-        self.state = {"rows": df.select(self.key, self.label, *self.features).where(F.col(self.label).isNotNull())}
+        rows = df.select(self.key, self.label, *self.features).where(F.col(self.label).isNotNull())
+        self.state = {"rows": rows, "top": None if self.regress else int(rows.agg(F.max(self.label)).first()[0] or 0)}
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -291,8 +312,10 @@ class NearestNeighbours(Model):
         if self.regress:
             out = near.groupBy("query").agg((F.sum(F.col("w") * F.col("carried")) / F.sum("w")).alias("prediction"))
         else:
-            votes = near.groupBy("query", "carried").agg(F.sum("w").alias("v"))
-            out = votes.groupBy("query").agg(F.max(F.struct("v", (-F.col("carried")).alias("c"))).alias("b")).select("query", (-F.col("b.c")).cast("int").alias("prediction"))
+            votes = near.groupBy("query", F.col("carried").cast("int").alias("carried")).agg(F.sum("w").alias("v"))
+            found = votes.groupBy("query").agg(F.max(F.struct("v", (-F.col("carried")).alias("c"))).alias("b"), F.map_from_entries(F.collect_list(F.struct("carried", "v"))).alias("m"), F.sum("v").alias("t"))
+            shares = F.transform(F.sequence(F.lit(0), F.lit(self.state["top"])), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)) / F.col("t"))
+            out = found.select("query", (-F.col("b.c")).cast("int").alias("prediction"), shares.alias("probability"))
         return df.join(out.withColumnRenamed("query", "_query"), F.col(self.key) == F.col("_query"), "left").drop("_query")
 
 
@@ -368,9 +391,5 @@ class Margin(Model):
         planes = {c: _dot(self.features, w, b) for c, (w, b) in self.state["planes"].items()}
         if len(self.state["classes"]) == 2:
             no, yes = self.state["classes"]
-            return df.withColumn("prediction", F.when(planes[yes] > 0, yes).otherwise(no))
-        return df.withColumn("prediction", choose(planes))
-
-
-def predict_frames(df: DataFrame, fn, schema) -> DataFrame:
-    return map_arrow(df, fn, schema)
+            planes = {no: -planes[yes], yes: planes[yes]}
+        return df.withColumn("prediction", choose(planes)).withColumn("probability", normal(by_class({c: 1 / (1 + F.exp(-2 * m)) for c, m in planes.items()})))

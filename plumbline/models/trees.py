@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from math import log
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
@@ -13,7 +16,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.models.classic import Margin, Model, choose
+from plumbline.models.classic import Model, by_class, choose, normal
+from plumbline.operators.generate import kernel_column, kernel_matrix, landmark_rows
+from plumbline.session import map_arrow
 
 
 def assembled(df: DataFrame, features: list[str], out: str = "_v") -> DataFrame:
@@ -40,6 +45,9 @@ class Wrapped(Model):
 
     def predict(self, df: DataFrame) -> DataFrame:
         out = self.state["model"].transform(assembled(df, self.features))
+        if self.classify and "probability" not in out.columns and "rawPrediction" in out.columns:  # one against rest
+            out = out.withColumn("probability", normal(F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))))
+            return out.withColumn("prediction", F.col("prediction").cast("int")).drop("_v", "rawPrediction")
         drop = [c for c in ("_v", "rawPrediction") if c in out.columns]
         if "probability" in out.columns and self.classify:
             out = out.withColumn("probability", vector_to_array("probability"))
@@ -89,19 +97,25 @@ class AdaBoost(Model):
     learning_rate: float = 1.0
     depth: int = 1
     weight: str | None = None  # of rows at the start
+    undersample: bool = False  # each tree learns from as many rows of each class as the smallest has, on average
+    seed: int = 1
 
     def fit(self, df: DataFrame) -> AdaBoost:
         base = df.select(*self.features, F.col(self.label).cast("int").alias("_y"), (F.col(self.weight) if self.weight else F.lit(1.0)).alias("_w")).where("_y is not null").persist()
-        k = base.select("_y").distinct().count()
-        self.state = {"trees": [], "classes": sorted(r[0] for r in base.select("_y").distinct().collect())}
+        sizes = {r["_y"]: r["count"] for r in base.groupBy("_y").count().collect()}
+        k, least = len(sizes), min(sizes.values())
+        self.state = {"trees": [], "classes": sorted(sizes)}
         frame = base
         try:
-            for _ in range(self.n_estimators):
-                tree = Tree(self.features, "_y", depth=self.depth, weight="_w").fit(frame)
+            for i in range(self.n_estimators):
+                part = frame.sampleBy("_y", {c: min(1.0, least / n) for c, n in sizes.items()}, seed=self.seed + i) if self.undersample else frame
+                tree = Tree(self.features, "_y", depth=self.depth, weight="_w").fit(part)
                 seen = tree.predict(frame)
                 got = seen.agg(F.sum("_w").alias("w"), F.sum(F.when(F.col("prediction") != F.col("_y"), F.col("_w")).otherwise(0.0)).alias("e")).first()
                 error = got["e"] / got["w"]
                 if error >= 1 - 1 / k:
+                    if not self.state["trees"]:
+                        self.state["trees"].append((tree, 1.0))
                     break
                 say = self.learning_rate * (log((1 - error) / max(error, 1e-10)) + log(k - 1))
                 self.state["trees"].append((tree, say))
@@ -121,7 +135,7 @@ class AdaBoost(Model):
         for i, (tree, say) in enumerate(self.state["trees"]):
             out = tree.predict(out).withColumnRenamed("prediction", f"_p{i}").drop("probability")
             votes = {c: v + F.when(F.col(f"_p{i}") == c, float(say)).otherwise(0.0) for c, v in votes.items()}
-        return out.withColumn("prediction", choose(votes)).drop(*[f"_p{i}" for i in range(len(self.state["trees"]))])
+        return out.withColumn("prediction", choose(votes)).withColumn("probability", normal(by_class(votes))).drop(*[f"_p{i}" for i in range(len(self.state["trees"]))])
 
 
 @dataclass
@@ -173,7 +187,8 @@ class AdaBoostR2(Model):
 class BalancedBag(Model):
     """Models on samples that take as many rows of each class as the smallest has, on average; probabilities are averaged.
 
-    ``base`` is "tree", "forest" or "boost": balanced bagging, balanced forests and easy ensembles.
+    ``base`` is "tree", "forest" or "boost": balanced bagging, balanced forests and easy ensembles. Boosting that samples before
+    each round is ``RUSBoost``.
     """
 
     bags: int = 5
@@ -200,14 +215,54 @@ class BalancedBag(Model):
         out = df
         votes: dict[int, Column] = {c: F.lit(0.0) for c in self.state["classes"]}
         for i, m in enumerate(self.state["models"]):
-            out = m.predict(out).withColumnRenamed("prediction", f"_bag{i}").drop("probability")
-            votes = {c: v + (F.col(f"_bag{i}") == c).cast("double") for c, v in votes.items()}
-        return out.withColumn("prediction", choose(votes)).drop(*[f"_bag{i}" for i in range(len(self.state["models"]))])
+            out = m.predict(out).drop("prediction").withColumnRenamed("probability", f"_bag{i}")
+            votes = {c: v + F.coalesce(F.get(f"_bag{i}", F.lit(c)), F.lit(0.0)) for c, v in votes.items()}
+        return out.withColumn("prediction", choose(votes)).withColumn("probability", normal(by_class(votes))).drop(*[f"_bag{i}" for i in range(len(self.state["models"]))])
+
+
+def RUSBoost(features: list[str], label: str, n_estimators: int = 10, depth: int = 3, seed: int = 1) -> AdaBoost:
+    """Boosting whose trees learn from balanced samples, drawn anew in each round; weights go by all rows."""
+    return AdaBoost(features, label, n_estimators=n_estimators, depth=depth, undersample=True, seed=seed)
+
+
+def _sums(features: list[str], points: np.ndarray, kernel: tuple, planes: list[np.ndarray], targets: list, epsilon: float) -> Callable:
+    """(plane, at, value) of each part of the table: loss, gradient and second derivatives of each plane, end to end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            x = np.stack([b[f].to_numpy(zero_copy_only=False) for f in features], axis=1).astype(float)
+            y, w = (b[c].to_numpy(zero_copy_only=False).astype(float) for c in ("_y", "_w"))
+            ok = np.isfinite(x).all(1) & np.isfinite(y)
+            z = np.column_stack([kernel_matrix(x[ok], points, *kernel), np.ones(ok.sum())])
+            y, w = y[ok], w[ok]
+            rows = []
+            for v, target in zip(planes, targets):
+                f = z @ v
+                if target is None:
+                    over = np.maximum(np.abs(f - y) - epsilon, 0)
+                    slope = 2 * np.sign(f - y) * over
+                else:
+                    sign = np.where(y == target, 1.0, -1.0)
+                    over = np.maximum(1 - sign * f, 0)
+                    slope = -2 * sign * over
+                active = z[over > 0] * w[over > 0, None]
+                rows.append(np.concatenate([[w.sum(), (w * over * over).sum()], z.T @ (w * slope), (2 * active.T @ z[over > 0]).ravel()]))
+            total = np.stack(rows) if total is None else total + np.stack(rows)
+        if total is not None:
+            plane, at = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(plane.ravel().astype(np.int32)), pa.array(at.ravel().astype(np.int32)), pa.array(total.ravel())], names=["plane", "at", "value"])
+
+    return run
 
 
 @dataclass
 class KernelMachine(Model):
-    """A kernel machine over landmark features: Nystroem, then a linear machine. Exact up to the landmarks' number."""
+    """A kernel machine over landmark features, for classes (squared hinge, one against rest) or numbers (squared loss beyond ``epsilon``).
+
+    Landmarks are a bounded sample of rows. Each Newton step is one pass over the rows in Arrow batches; what comes to the driver are sums
+    over n_components squared. The machine is one sum of kernels, so prediction is an expression.
+    """
 
     kernel: str = "rbf"
     C: float = 1.0
@@ -216,21 +271,77 @@ class KernelMachine(Model):
     coef0: float = 1.0
     n_components: int = 30
     loss: str = "squared_hinge"
+    epsilon: float = 0.1
+    steps: int = 20
     weight: str | None = None
 
+    def __post_init__(self) -> None:
+        if self.loss not in ("squared_hinge", "squared_epsilon"):
+            raise ValueError(f"no loss {self.loss!r}")
+        self.classify = self.loss == "squared_hinge"
+
     def fit(self, df: DataFrame) -> KernelMachine:
-        from plumbline.dataset import Dataset
-        from plumbline.operators.generate import Nystroem
-
-        self.classify = not self.loss.startswith(("epsilon", "squared_epsilon"))
-        stage = Nystroem(targets=self.features, kernel=self.kernel, gamma=self.gamma, degree=self.degree, coef0=self.coef0, n_components=self.n_components)
-        kept = (self.weight,) if self.weight else ()
-        ds = Dataset.of(df.select(*kept, *self.features, self.label), self.features, self.label, keep=kept)
-        mapped = stage.fit_transform(ds)
-        self.state = {"stage": stage, "machine": Margin(mapped.features, self.label, C=self.C, loss=self.loss, weight=self.weight).fit(mapped.df)}
+        rows = df.select(*[F.col(f).cast("double").alias(f) for f in self.features], F.col(self.label).cast("double").alias("_y"), (F.col(self.weight).cast("double") if self.weight else F.lit(1.0)).alias("_w")).where("_y is not null")
+        rows = rows.persist()
+        try:
+            points = landmark_rows(rows, self.features, self.n_components, 1)
+            kernel = (self.kernel, self.gamma, self.degree, self.coef0)
+            # the penalty is the norm in the kernel's space
+            norm = np.zeros((len(points) + 1, len(points) + 1))
+            norm[:-1, :-1] = kernel_matrix(points, points, *kernel)
+            classes = sorted(int(r[0]) for r in rows.select("_y").distinct().limit(1001).collect()) if self.classify else []
+            if len(classes) > 1000:
+                raise ValueError("more than 1,000 classes")
+            targets = (classes[1:] if len(classes) == 2 else classes) if self.classify else [None]
+            spread = rows.agg(F.stddev_pop("_y"), F.avg("_y")).first()
+            scale, centre = (1.0, 0.0) if self.classify else (spread[0] or 1.0, spread[1] or 0.0)
+            data = rows if self.classify else rows.withColumn("_y", (F.col("_y") - float(centre)) / float(scale))
+            width = len(points) + 1
+            planes = [np.zeros(width) for _ in targets]
+            best = [np.inf] * len(targets)
+            held = [p.copy() for p in planes]
+            move = [np.zeros(width) for _ in targets]
+            for _ in range(self.steps):
+                got = map_arrow(data, _sums(self.features, points, kernel, planes, targets, self.epsilon / scale), "plane int, at int, value double").groupBy("plane", "at").agg(F.sum("value").alias("v")).collect()
+                sums = np.zeros((len(targets), 2 + width + width * width))
+                for r in got:
+                    sums[r["plane"], r["at"]] = r["v"]
+                done = True
+                for i in range(len(targets)):
+                    n, loss, slope, second = sums[i, 0], sums[i, 1], sums[i, 2 : 2 + width], sums[i, 2 + width :].reshape(width, width)
+                    if not n:
+                        continue
+                    lam = 1.0 / (self.C * n)
+                    value = loss / n + lam * planes[i] @ norm @ planes[i]
+                    if value > best[i] + 1e-12:  # too far: half way back
+                        move[i] = move[i] / 2
+                        planes[i] = held[i] + move[i]
+                        done = done and np.abs(move[i]).max() < 1e-9
+                        continue
+                    better = best[i] - value
+                    best[i], held[i] = value, planes[i]
+                    slope = slope / n + 2 * lam * norm @ planes[i]
+                    move[i] = -np.linalg.lstsq(second / n + 2 * lam * norm + 1e-9 * np.eye(width), slope, rcond=None)[0]
+                    planes[i] = held[i] + move[i]
+                    done = done and better < 1e-7 * max(1.0, abs(value))
+                if done:
+                    break
+        finally:
+            rows.unpersist()
+        self.state = {"points": points, "classes": classes, "planes": {t: (p[:-1] * scale, float(p[-1] * scale + centre)) for t, p in zip(targets, held)}}
         return self
 
+    def margins(self) -> dict:
+        k = [kernel_column(self.features, p, self.kernel, self.gamma, self.degree, self.coef0) for p in self.state["points"]]
+        return {t: reduce(lambda a, x: a + x, [c * float(w) for c, w in zip(k, ws)], F.lit(b)) for t, (ws, b) in self.state["planes"].items()}
+
     def predict(self, df: DataFrame) -> DataFrame:
-        stage, machine = self.state["stage"], self.state["machine"]
-        new = stage.columns(self.features)
-        return machine.predict(df.select("*", *[c.alias(n) for n, c in new.items()])).drop(*new)
+        margins = self.margins()
+        if not self.classify:
+            return df.withColumn("prediction", margins[None])
+        classes = self.state["classes"]
+        if len(classes) == 2:
+            margins = {classes[0]: -margins[classes[1]], **margins}
+        if not margins:
+            return df.withColumn("prediction", F.lit(classes[0] if classes else None).cast("int")).withColumn("probability", by_class({classes[0]: F.lit(1.0)}) if classes else F.lit(None).cast("array<double>"))
+        return df.withColumn("prediction", choose(margins)).withColumn("probability", normal(by_class({c: 1 / (1 + F.exp(-2 * m)) for c, m in margins.items()})))

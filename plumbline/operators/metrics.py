@@ -72,10 +72,29 @@ def auc_multiclass(df: DataFrame, classes: list) -> DataFrame:
     return out.agg(F.avg("score").alias("score"))
 
 
+def _is_array(df: DataFrame) -> bool:
+    return df.schema["probability"].dataType.simpleString().startswith("array")
+
+
+def _of_label(df: DataFrame) -> Column:
+    """The probability given to a row's label: ``probability`` is that of label 1, or an array by class code."""
+    p = F.coalesce(F.get("probability", _y().cast("int")), F.lit(0.0)) if _is_array(df) else F.when(_y() == 1, F.col("probability")).otherwise(1 - F.col("probability"))
+    return F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p))
+
+
+def any_auc(df: DataFrame) -> DataFrame:
+    """``auc`` for a number or an array for two classes, ``auc_multiclass`` for more; an array is by class code."""
+    if not _is_array(df):
+        return auc(df)
+    most = df.agg(F.greatest(F.max(_y()), F.max(F.size("probability")) - 1)).first()[0]
+    if most is None or most <= 1:
+        return auc(df.select("label", F.get("probability", F.lit(1)).alias("probability")))
+    return auc_multiclass(df, list(range(int(most) + 1)))
+
+
 def log_loss(df: DataFrame) -> DataFrame:
-    """``probability`` of label 1."""
-    p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.when(_y() == 1, F.col("probability")).otherwise(1 - F.col("probability"))))
-    return df.agg((-F.avg(F.ln(p))).alias("score"))
+    """``probability`` of label 1, or an array by class code."""
+    return df.agg((-F.avg(F.ln(_of_label(df)))).alias("score"))
 
 
 def median_absolute_error(df: DataFrame) -> DataFrame:
@@ -85,10 +104,10 @@ def median_absolute_error(df: DataFrame) -> DataFrame:
 
 def pac(df: DataFrame) -> DataFrame:
     """exp(-log loss), scaled so that predicting the class shares gives 0 and certainty 1."""
-    loss = -F.avg(F.ln(F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.when(_y() == 1, F.col("probability")).otherwise(1 - F.col("probability"))))))
-    share = F.avg((_y() == 1).cast("double"))
-    prior = F.exp(F.when((share == 0) | (share == 1), 0.0).otherwise(share * F.ln(share) + (1 - share) * F.ln(1 - share)))
-    return df.agg(((F.exp(-loss) - prior) / F.when(prior == 1, 1.0).otherwise(1 - prior)).alias("score"))
+    each = df.groupBy("label").agg(F.count("*").alias("n"), F.sum(-F.ln(_of_label(df))).alias("loss"))
+    total = each.agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum(F.col("n") * F.ln("n")).alias("e"))
+    prior = F.exp(F.col("e") / F.col("n") - F.ln("n"))
+    return total.select(((F.exp(-F.col("loss") / F.col("n")) - prior) / F.when(prior == 1, 1.0).otherwise(1 - prior)).alias("score"))
 
 
 #: name -> (metric, larger is better)
@@ -98,7 +117,7 @@ METRICS: dict[str, tuple[Callable[[DataFrame], DataFrame], bool]] = {
     "f1": (f1_macro, True),
     "precision": (_agg("coalesce(try_divide(double(count_if(label = 1 and prediction = 1)), double(count_if(prediction = 1))), 0.0d)"), True),
     "recall": (_agg("coalesce(try_divide(double(count_if(label = 1 and prediction = 1)), double(count_if(label = 1))), 0.0d)"), True),
-    "auc": (auc, True),
+    "auc": (any_auc, True),
     "log_loss": (log_loss, False),
     "mse": (_agg("avg(pow(label - prediction, 2))"), False),
     "rmse": (_agg("sqrt(avg(pow(label - prediction, 2)))"), False),

@@ -208,8 +208,9 @@ _CLASSIFIERS = {
 _BINARY = {"c_liblinear_svc", "c_libsvm_svc"}
 for _n, _m in _CLASSIFIERS.items():
     Q[_n] = _accuracy(_m, "b" if _n in _BINARY else "y")
-for _n, _m in {"i_balanced_bagging": "tree", "i_balanced_rf": "forest", "i_easy_ensemble": "boost", "i_rusboost": "boost"}.items():
+for _n, _m in {"i_balanced_bagging": "tree", "i_balanced_rf": "forest", "i_easy_ensemble": "boost"}.items():
     Q[_n] = _accuracy(lambda y, b=_m: T.BalancedBag(_X, y, base=b), "b")
+Q["i_rusboost"] = _accuracy(lambda y: T.RUSBoost(_X, y), "b")
 _REGRESSORS = {
     "r_adaboost": lambda y: T.AdaBoostR2(_X, y, n_estimators=3, depth=5), "r_extra_trees": lambda y: T.ExtraTreesRegressor(_X, y, params={"numTrees": 5, "maxDepth": 7, "featureSubsetStrategy": "all"}), "r_random_forest": lambda y: T.RandomForestRegressor(_X, y, params={"numTrees": 5, "maxDepth": 7, "featureSubsetStrategy": "all"}),
     "r_gradient_boosting": lambda y: T.GradientBoostingRegressor(_X, y, params={"maxIter": 5}), "r_lightgbm": lambda y: T.GradientBoostingRegressor(_X, y, params={"maxIter": 5, "maxDepth": 6}),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -29,11 +31,50 @@ class Trial:
     error: str = ""
 
 
+class Watch:
+    """Cancels the Spark jobs that this thread starts inside the block once ``seconds`` are over; ``late`` tells whether it did.
+
+    Cancelling is repeated, for a trial may start another job after the first was cancelled.
+    """
+
+    def __init__(self, seconds: float | None) -> None:
+        self.seconds, self.late, self.over = seconds, False, threading.Event()
+
+    def __enter__(self) -> Watch:
+        session = SparkSession.getActiveSession()
+        if self.seconds is None:
+            return self
+        self.context = session.sparkContext if session else None
+        group = f"trial-{uuid.uuid4().hex}"
+        if self.context:
+            self.context.setJobGroup(group, "a trial of a search", interruptOnCancel=True)
+
+        def watch() -> None:
+            wait = self.seconds
+            while not self.over.wait(wait):
+                self.late, wait = True, 0.2
+                if self.context:
+                    self.context.cancelJobGroup(group)
+
+        self.thread = threading.Thread(target=watch, daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        if self.seconds is not None:
+            self.thread.join()
+            if self.context:
+                self.context.setLocalProperty("spark.jobGroup.id", None)
+                self.context.setLocalProperty("spark.job.interruptOnCancel", None)
+
+
 @dataclass
 class Optimizer:
     """Trials so far, and a strategy for the next ones. ``parallel`` trials run in driver threads, each a set of Spark jobs.
 
-    The search stops early once it has tried as many configurations as the space seems to have.
+    The search stops early once it has tried as many configurations as the space seems to have, and at the time ``until``.
+    A trial that takes longer than ``per_run`` seconds is cancelled, with its Spark jobs, and counts as TIMEOUT.
     """
 
     space: SearchSpace
@@ -43,6 +84,8 @@ class Optimizer:
     fixed: Config = field(default_factory=dict)
     history: list[Trial] = field(default_factory=list)
     spark: SparkSession | None = None
+    until: float | None = None
+    per_run: float | None = None
 
     def __post_init__(self) -> None:
         self.rng = np.random.default_rng(self.seed)
@@ -52,14 +95,21 @@ class Optimizer:
     def run(self, configs: list[Config], fidelity: float = 1.0) -> list[Trial]:
         def one(c: Config) -> Trial:
             began = time.time()
+            if self.until is not None and began >= self.until:
+                return Trial(c, float("-inf"), TIMEOUT, fidelity, 0.0, "no time left")
+            left = min((x for x in (self.per_run, self.until and self.until - began) if x is not None), default=None)
+            watch = Watch(left)
             try:
-                score, status, error = float(self.evaluate(c, fidelity)), SUCCESS, ""
+                with watch:
+                    score, status, error = float(self.evaluate(c, fidelity)), SUCCESS, ""
                 if not isfinite(score):
                     score, status = float("-inf"), ERROR
             except MemoryError as e:
                 score, status, error = float("-inf"), MEMORY, str(e)
             except Exception as e:  # a failed trial is a result of the search
-                score, status, error = float("-inf"), ERROR, f"{type(e).__name__}: {e}"[:500]
+                score, status, error = float("-inf"), TIMEOUT if watch.late else ERROR, f"{type(e).__name__}: {e}"[:500]
+            if watch.late and status == SUCCESS:
+                score, status, error = float("-inf"), TIMEOUT, "too slow"
             return Trial(c, score, status, fidelity, time.time() - began, error)
 
         if self.parallel > 1 and len(configs) > 1:
@@ -80,7 +130,7 @@ class Optimizer:
     def iterate(self, n: int = 1) -> bool:
         """Up to ``n`` more trials; False once the space is used up."""
         while n > 0:
-            if len(self.seen()) >= self.limit:
+            if len(self.seen()) >= self.limit or (self.until is not None and time.time() >= self.until):
                 return False
             batch = self.suggest(min(n, self.parallel))
             if not batch:

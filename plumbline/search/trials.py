@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import with_running_max
-from plumbline.models.classic import gram
 
 
 def finite(c: str | Column) -> Column:
@@ -51,39 +50,47 @@ def median_scores(trials: DataFrame) -> DataFrame:
     return trials.where(finite("score")).groupBy("dataset_id", "algorithm").agg(F.percentile("score", F.lit(0.5)).alias("score"))
 
 
-def advise(trial_runs: DataFrame, task_vectors: DataFrame, n: int = 5, algorithms: int = 64) -> DataFrame:
-    """The ``n`` algorithms most likely to do well on each known data set, by a model of pairwise wins on data set vectors.
+def advise(trial_runs: DataFrame, task_vectors: DataFrame, n: int = 5, algorithms: int = 64, alpha: float = 1.0) -> DataFrame:
+    """The ``n`` algorithms most likely to do well on each data set with a vector, by one model of wins for each pair of algorithms.
 
-    For each pair of algorithms a win is the sign of the difference of their median scores on a data set; the votes for an
-    algorithm are its wins predicted by a linear model on the vectors. Pairs that were never compared are skipped.
+    For each pair a win is the sign of the difference of their median scores on a data set, and a ridge model of the wins, with a free intercept
+    and the penalty ``alpha``, predicts it from the vector. The votes for an algorithm are the pairs it is predicted to win; a predicted draw is
+    one for the first name. Pairs that were never compared are skipped; equal votes go by name.
+
+    All pairs' moments come from one aggregation, k (k - 1) / 2 of d (d + 3) / 2 numbers, and the models are solved on the driver.
     """
     t = trial_runs.select("trial_id", "dataset_id", F.lower(F.trim("estimator_id", F.lit(" \t"))).alias("algorithm"), F.col("perf").alias("score")).distinct()
-    med = median_scores(t)
-    names = [r[0] for r in med.select("algorithm").where("algorithm is not null").distinct().orderBy("algorithm").limit(algorithms + 1).collect()]
+    med = median_scores(t).where("algorithm is not null")
+    names = [r[0] for r in med.select("algorithm").distinct().orderBy("algorithm").limit(algorithms + 1).collect()]
     if len(names) > algorithms:
         raise ValueError(f"more than {algorithms} algorithms")
-    good = task_vectors.where((F.size("dataset_embedding") == 32) & F.forall("dataset_embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    vec = good.groupBy("dataset_id").agg(*[F.avg(F.get("dataset_embedding", F.lit(i))).alias(f"v{i}") for i in range(32)])
+    d = 32
+    good = task_vectors.where((F.size("dataset_embedding") == d) & F.forall("dataset_embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    good = good.select("task_id", "dataset_id", "dataset_embedding").distinct()
+    vec = good.groupBy("dataset_id").agg(F.array(*[F.avg(F.get("dataset_embedding", F.lit(i)).cast("double")) for i in range(d)]).alias("v"))
     pairs = med.alias("a").join(med.alias("b"), "dataset_id").where(F.col("a.algorithm") < F.col("b.algorithm"))
     pairs = pairs.select("dataset_id", F.col("a.algorithm").alias("x"), F.col("b.algorithm").alias("y"), F.signum(F.col("a.score") - F.col("b.score")).alias("win"))
-    data = pairs.join(vec, "dataset_id").persist()
-    try:
-        cols = [f"v{i}" for i in range(32)]
-        # one ridge model of the win for all pairs together, on top of each pair's mean
-        mean = data.groupBy("x", "y").agg(F.avg("win").alias("m"))
-        rest = data.join(mean, ["x", "y"]).withColumn("r", F.col("win") - F.col("m"))
-        cov, with_y, centre, _, rows = gram(rest, cols, "r")
-        w = np.linalg.solve(cov + 0.1 * np.eye(32), with_y)
-        lean = sum((F.col(c) - float(m)) * float(x) for c, m, x in zip(cols, centre, w))
-        guess = vec.select("dataset_id", lean.alias("lean"))
-        votes = pairs.select("dataset_id", "x", "y").join(mean, ["x", "y"]).join(guess, "dataset_id")
-        won = F.col("m") + F.col("lean")
-        each = votes.select("dataset_id", F.explode(F.array(F.struct(F.col("x").alias("algorithm"), (won > 0).cast("int").alias("v")), F.struct(F.col("y").alias("algorithm"), (won <= 0).cast("int").alias("v")))).alias("e"))
-        total = each.groupBy("dataset_id", "e.algorithm").agg(F.sum("e.v").alias("votes"))
-        w2 = Window.partitionBy("dataset_id").orderBy(F.desc("votes"), "algorithm")
-        return total.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
-    finally:
-        data.unpersist()
+    at = [F.get("v", F.lit(i)) for i in range(d)]
+    sums = [F.sum("win"), *[F.sum(c) for c in at], *[F.sum(c * F.col("win")) for c in at], *[F.sum(at[i] * at[j]) for i in range(d) for j in range(i, d)]]
+    rows = pairs.join(vec, "dataset_id").groupBy("x", "y").agg(F.count("*").alias("n"), F.array(*sums).alias("s")).collect()
+    models = []
+    for r in sorted(rows, key=lambda r: (r["x"], r["y"])):
+        k, s = r["n"], np.array(r["s"], float)
+        mean, win = s[1 : 1 + d] / k, s[0] / k
+        second = np.zeros((d, d))
+        second[np.triu_indices(d)] = s[1 + 2 * d :]
+        second = second + np.triu(second, 1).T - k * np.outer(mean, mean)
+        w = np.linalg.solve(second + alpha * np.eye(d), s[1 + d : 1 + 2 * d] - k * win * mean)
+        models.append((r["x"], r["y"], [float(x) for x in w], float(win - w @ mean)))
+    if not models:
+        return vec.select("dataset_id", F.lit(None).cast("string").alias("algorithm"), F.lit(0).cast("long").alias("votes"), F.lit(0).alias("rank")).limit(0)
+    model = vec.sparkSession.createDataFrame(models, "x string, y string, w array<double>, b double")
+    lean = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.col("b"), lambda a, x: a + x)
+    votes = vec.join(F.broadcast(model)).select("dataset_id", F.when(F.round(lean, 9) >= 0, F.col("x")).otherwise(F.col("y")).alias("winner"), "x", "y")  # at most algorithms^2 / 2 models
+    each = votes.select("dataset_id", F.explode(F.array(F.struct(F.col("x").alias("algorithm"), (F.col("winner") == F.col("x")).cast("int").alias("v")), F.struct(F.col("y").alias("algorithm"), (F.col("winner") == F.col("y")).cast("int").alias("v")))).alias("e"))
+    total = each.groupBy("dataset_id", "e.algorithm").agg(F.sum("e.v").alias("votes"))
+    w2 = Window.partitionBy("dataset_id").orderBy(F.desc("votes"), "algorithm")
+    return total.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
 
 
 def nearest_datasets(task_vectors: DataFrame, target: list[float], k: int = 3) -> DataFrame:
