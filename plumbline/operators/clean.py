@@ -98,6 +98,21 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(how="all")
 
 
+class DropColumns(Stage):
+    """The named features go, and the label too if it is named; names that aren't there are left out."""
+
+    def __init__(self, columns: list[str]) -> None:
+        super().__init__(name="drop_columns")
+        self.columns = columns
+
+    def learn(self, ds: Dataset, targets: list[str]) -> dict:
+        return {}
+
+    def transform(self, ds: Dataset) -> Dataset:
+        gone = set(self.columns)
+        return replace(ds, df=ds.df.drop(*gone), kinds={f: k for f, k in ds.kinds.items() if f not in gone}, label=None if ds.label in gone else ds.label)
+
+
 class DropUninformative(Stage):
     """Columns that are all null go, and categorical ones where at least 80 % of the rows have values of their own."""
 

@@ -101,7 +101,8 @@ def drop_all_null_rows(spark, d):
 
 @query("select c_custkey, c_mktsegment from customer")
 def drop_cols(spark, d):
-    return table(spark, d, "customer").drop("c_name", "c_nationkey", "c_acctbal")
+    ds = Dataset.of(table(spark, d, "customer"), ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], keep=("c_custkey",))
+    return K.DropColumns(["c_name", "c_nationkey", "c_acctbal"]).fit_transform(ds).df
 
 
 @query("select sum(c_acctbal) as s, count(distinct c_mktsegment) as k, 2 as n_features from customer")
@@ -332,7 +333,7 @@ def pca(spark, d):
     ds = fitted(stage, spark, d, ["l_quantity", "l_tax", "l_discount", "l_linenumber"])
     v = [F.var_pop(f"pc{k}") for k in range(len(ds.features))]
     total = reduce(lambda a, b: a + b, v)
-    return ds.df.agg(F.round(total, 4).alias("total"), (v[0] >= v[1]).alias("ordered")).withColumn("k", F.lit(4 if len(ds.features) >= 2 else 0))
+    return ds.df.agg(F.round(total, 4).alias("total"), (v[0] >= v[1]).alias("ordered")).withColumn("k", F.lit(len(ds.features)))
 
 
 @query("""with g as (select avg(l_quantity * l_quantity) as a, avg(l_quantity * l_linenumber) as b, avg(l_linenumber * l_linenumber) as c from lineitem)
@@ -372,7 +373,7 @@ def nystroem(spark, d):
     return checks(ds.df, ["ny0", "ny7"])
 
 
-@query()
+@query("select 4.0::double as least, 4.0::double as most, count(*) as n from lineitem")  # one leaf in each of four trees
 def tree_embed(spark, d):
     ds = fitted(G.TreeEmbedding(n_trees=4, depth=2), spark, d, ["l_quantity", "l_tax"])
     rows = reduce(lambda a, b: a + b, [F.col(f"`{c}`") for c in ds.features])
@@ -402,7 +403,7 @@ _CHI = "select '{c}' as feature, round(sum(power(o - so * n / sn, 2) / (so * n /
 
 
 @query(" union all ".join(_CHI.format(c=c) for c in NUM))
-def univariate(spark, d):
+def chi2_scores(spark, d):
     return _scores(L.chi2_scores(lineitem(spark, d, *NUM, "l_returnflag"), NUM, "l_returnflag"), spark)
 
 
@@ -410,15 +411,44 @@ _ANOVA = "select '{c}' as feature, round((sum(n * power(m - mm, 2)) / (count(*)
 
 
 @query(" union all ".join(_ANOVA.format(c=c) for c in NUM))
-def percentile_cls(spark, d):
+def anova_scores(spark, d):
     return _scores(L.anova_scores(lineitem(spark, d, *NUM, "l_returnflag"), NUM, "l_returnflag"), spark)
 
 
 @query(" union all ".join(f"select '{c}' as feature, round(power(corr({c}, l_extendedprice), 2) / (1 - power(corr({c}, l_extendedprice), 2)) * (count(*) - 2), 6) as score from lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
-def percentile_rgs(spark, d):
+def regression_scores(spark, d):
     return _scores(L.regression_scores(lineitem(spark, d), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"), spark)
 
 
+def _selected(stage, sql: str):
+    """The features that a selector keeps, against the scores in SQL."""
+
+    def run(spark, d):
+        ds = Dataset.of(lineitem(spark, d, *NUM, "l_returnflag") if stage().score != "f_regression" else lineitem(spark, d), NUM, "l_returnflag" if stage().score != "f_regression" else "l_extendedprice")
+        return spark.createDataFrame([(f,) for f in stage().fit_transform(ds).features], "feature string")
+
+    return run, f"select feature from ({sql}) s {{}}"
+
+
+# two degrees of freedom, so the chance of a larger chi2 is exp(-chi2 / 2)
+_CHI_ALL, _ANOVA_ALL = " union all ".join(_CHI.format(c=c) for c in NUM), " union all ".join(_ANOVA.format(c=c) for c in NUM)
+_REGRESSION_ALL = " union all ".join(f"select '{c}' as feature, round(power(corr({c}, l_extendedprice), 2) / (1 - power(corr({c}, l_extendedprice), 2)) * (count(*) - 2), 6) as score from lineitem" for c in NUM if c != "l_extendedprice")
+for _n, _stage, _all, _where in (
+    ("univariate", lambda: L.Univariate(score="chi2", alpha=0.05), _CHI_ALL, "where exp(-score / 2) < 0.05"),
+    ("univariate_fdr", lambda: L.Univariate(score="chi2", mode_of_test="fdr", alpha=0.05), _CHI_ALL, f"qualify exp(-score / 2) <= max(case when exp(-score / 2) <= 0.05 * r / {len(NUM)} then exp(-score / 2) end) over ()"),
+    ("univariate_fwe", lambda: L.Univariate(score="chi2", mode_of_test="fwe", alpha=0.05), _CHI_ALL, f"where exp(-score / 2) < 0.05 / {len(NUM)}"),
+    ("percentile_cls", lambda: L.Percentile(score="f_classif", percentile=50), _ANOVA_ALL, f"order by score desc limit {max(1, len(NUM) // 2)}"),
+):
+    Q[_n], _text = _selected(_stage, f"select *, row_number() over (order by score desc) as r from ({_all}) a")
+    SQL[_n] = _text.format(_where)
+
+
+@query(f"select feature from ({_REGRESSION_ALL}) s order by score desc limit 1")
+def percentile_rgs(spark, d):
+    ds = Dataset.of(lineitem(spark, d), [c for c in NUM if c != "l_extendedprice"], "l_extendedprice")
+    return spark.createDataFrame([(f,) for f in L.Percentile(score="f_regression", percentile=50).fit_transform(ds).features], "feature string")
+
+
 def _labelled(spark, d) -> Dataset:
     return Dataset.of(lineitem(spark, d).select("*", (F.col("l_quantity") > 25).cast("int").alias("y")), label="y")
 

@@ -85,6 +85,32 @@ for _n, (_src, _sql) in _METRIC_SQL.items():
     SQL[f"metric_{_n}"] = _sql
 
 
+# predictions as arrays by class
+
+_ARRAY = """(select label, [a / (a + b + c), b / (a + b + c), c / (a + b + c)] as probability from
+(select (case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end) as label, 1.0 + (o_orderkey * 37) % 101 as a, 1.0 + (o_orderkey * 11) % 67 as b, 1.0 + (o_orderkey * 5) % 13 as c from orders))"""
+
+
+def _array(spark, d):
+    k = F.col("o_orderkey")
+    a, b, c = 1.0 + k * 37 % 101, 1.0 + k * 11 % 67, 1.0 + k * 5 % 13
+    return table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("label"), F.array(a / (a + b + c), b / (a + b + c), c / (a + b + c)).alias("probability"))
+
+
+_ARRAY_SQL = {
+    "auc": f"""with p as {_ARRAY}, e as (select c, (label = c)::int as y, probability[c + 1] as s from p, (select unnest([0, 1, 2]) as c)),
+r as (select c, y, rank() over (partition by c order by s) + (count(*) over (partition by c, s) - 1) / 2.0 as r from e),
+a as (select (sum(r) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0) / (count(*) filter (y = 1) * count(*) filter (y = 0)) as a from r group by c)
+select round(avg(a), 6) as score from a""",
+    "log_loss": f"with p as {_ARRAY} select round(-avg(ln(probability[label + 1])), 6) as score from p",
+    "pac_score": f"""with p as {_ARRAY}, t as (select exp(avg(ln(probability[label + 1]))) as e from p), s as (select exp(sum(n / t * ln(n / t))) as q from (select count(*) as n, sum(count(*)) over () as t from p group by label))
+select round((e - q) / (1 - q), 6) as score from t, s""",
+}
+for _n, _sql in _ARRAY_SQL.items():
+    Q[f"metric_{_n}_by_class"] = lambda spark, d, n=_n: MT.METRICS[n][0](_array(spark, d)).select(F.round("score", 6).alias("score"))
+    SQL[f"metric_{_n}_by_class"] = _sql
+
+
 # meta-features
 
 
@@ -298,7 +324,9 @@ def snk_topk(spark, d):
     return TR.top_k(t, 50).select("algorithm", "trial_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query("""with t as (select distinct trial_id, session_id, config from trial_runs),
+k as (select session_id, trial_id, list_sort(list_transform(json_keys(config), lambda k: k || '-' || coalesce(case when contains(json_extract_string(config, '$.' || k), '.') then round(try_cast(json_extract_string(config, '$.' || k) as double), 5)::varchar end, json_extract_string(config, '$.' || k), 'null'))) as id from t where config is not null)
+select s.session_id, coalesce(n, 0) as n_configs from (select distinct session_id from t) s left join (select session_id, count(distinct id) as n from k group by 1) c on s.session_id is not distinct from c.session_id""")
 def snk_config_id(spark, d):
     t = table(spark, d, "trial_runs").select("trial_id", "session_id", "config").distinct()
     return TR.config_ids(t, "config").groupBy("session_id").agg(F.count_distinct("config_sha1").alias("n_configs"))
@@ -319,7 +347,7 @@ def snk_model(spark, d):
     return ST.model_round_trip(_separable(spark, d), _X, "b")
 
 
-@query()
+@query("select count(*) as n, min(len(embedding)) as size from embeddings")
 def src_emb_index(spark, d):
     return ST.word_vectors(spark, ST.write_lines(table(spark, d, "embeddings").select(F.concat_ws(" ", F.concat(F.lit("w"), F.col("vec_id")), F.concat_ws(" ", F.transform("embedding", lambda x: x.cast("string")))).alias("value")))).agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("size"))
 
@@ -350,9 +378,12 @@ def ens_selection(spark, d):
     return spark.createDataFrame(list(E.greedy_selection(_members(spark, d), size=2).items()), "model_id int, weight double")
 
 
-@query()
+@query(f"""with p as (select row_id, max(label)::double as y, max(prob) filter (model_id = 0) as a, max(prob) filter (model_id = 1) as b from {_MEMBERS} where model_id < 2 group by 1),
+m as (select count(*) as n, avg(y) as my, avg(a) as ma, avg(b) as mb, covar_pop(a, a) as aa, covar_pop(a, b) as ab, covar_pop(b, b) as bb, covar_pop(a, y) as ay, covar_pop(b, y) as by_ from p),
+w as (select *, ((bb + 1.0 / n) * ay - ab * by_) / ((aa + 1.0 / n) * (bb + 1.0 / n) - ab * ab) as wa, ((aa + 1.0 / n) * by_ - ab * ay) / ((aa + 1.0 / n) * (bb + 1.0 / n) - ab * ab) as wb from m)
+select row_id, round(greatest(0, least(1, my + wa * (a - ma) + wb * (b - mb))), 6) as prob from p, w""")
 def ens_blending(spark, d):
-    return E.blend(_members(spark, d)).agg(F.count("*").alias("n"), (F.min("prob") >= 0).alias("lo"), (F.max("prob") <= 1).alias("hi"))
+    return E.blend(_members(spark, d).where("model_id < 2"), share=1.0).select("row_id", F.round("prob", 6).alias("prob"))
 
 
 @query()
@@ -367,9 +398,12 @@ def ens_model_distance(spark, d):
     return E.sign_distances(_members(spark, d)).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query(f"""with p as {_MEMBERS}, a as (select model_id, avg(((prob > 0.5)::int = label)::int) as a from p group by 1),
+w as (select model_id, greatest(1e-6, ln(greatest(a, 1e-6) / greatest(1 - a, 1e-6))) as w from a), q as (select p.*, greatest(1e-12, least(1 - 1e-12, prob)) as c from p),
+e as (select row_id, prob, w * (1 + c * log2(c) + (1 - c) * log2(1 - c) + 1e-9) as w from q join w using (model_id))
+select row_id, round(sum(prob * w) / sum(w), 6) as prob from e group by 1""")
 def ens_unnamed(spark, d):
-    return E.confidence_weighted(_members(spark, d)).agg(F.count("*").alias("n"), (F.min("prob") >= 0).alias("lo"), (F.max("prob") <= 1).alias("hi"))
+    return E.confidence_weighted(_members(spark, d)).select("row_id", F.round("prob", 6).alias("prob"))
 
 
 @query("select 'l_quantity' as original, 'l_tax' as other, round(corr(l_quantity, l_tax), 6) as corr from lineitem union all select 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) from lineitem")

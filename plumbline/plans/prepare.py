@@ -49,4 +49,19 @@ m as (
 select distinct row_id, feature from m
 where missing and (node_id, feature) in (select (node_id, feature) from m where not missing)
 """
-SQL = {"p1_found": P1_SQL}
+_MISSING = P1_SQL[P1_SQL.index("cell is null") : P1_SQL.index(" as missing")]
+_V = ",\n".join(f"case when not ({_MISSING.replace('cell', f).replace('[i]', f'[{i + 1}]')}) then {f} end as v{i}" for i, f in enumerate(CELLS))
+_SEEN = "case when v{i} is not null then {{'t': recorded_at, 'v': v{i}}} end"
+_NEAR = ", ".join(f"last_value({_SEEN.format(i=i)} ignore nulls) over before as p{i}, first_value({_SEEN.format(i=i)} ignore nulls) over after as n{i}" for i in range(len(CELLS)))
+_GAP = "(abs(epoch_us({c}.t) - epoch_us(recorded_at)) / 1e6)"
+_DONOR = ", ".join(f"case when node_id is not null and v{i} is null then case when p{i} is null or {_GAP.format(c=f'n{i}')} < {_GAP.format(c=f'p{i}')} then coalesce(n{i}, p{i}) else p{i} end end as d{i}" for i in range(len(CELLS)))
+_OUT = ", ".join(f"coalesce(v{i}, d{i}.v) as {f}, v{i} is null as {f}_missing, d{i} is not null as {f}_filled, {_GAP.format(c=f'd{i}')} as {f}_distance" for i, f in enumerate(CELLS))
+P1_FILLED_SQL = f"""
+with r as (select distinct row_id, node_id, dataset_id, recorded_at, {', '.join(CELLS)} from node_rows where row_id is not null),
+v as (select row_id, node_id, recorded_at, {_V} from r left join datasets d using (dataset_id)),
+o as (select *, {_NEAR} from v
+      window before as (partition by node_id order by recorded_at nulls first, row_id rows between unbounded preceding and current row),
+             after as (partition by node_id order by recorded_at nulls first, row_id rows between current row and unbounded following)),
+e as (select *, {_DONOR} from o)
+select row_id, node_id, recorded_at, {_OUT} from e"""
+SQL = {"p1_found": P1_SQL, "p1_filled": P1_FILLED_SQL}
