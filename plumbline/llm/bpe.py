@@ -1,5 +1,8 @@
 """Byte-level BPE as Spark expressions: a fold of ranked merges over the bytes of distinct words.
 
+The fold looks at all neighbours before each merge, so its time grows with the square of a word's length. Words of more than
+LONG bytes, such as an encoded file without blanks, are merged with a heap in Arrow batches instead; both give the same tokens.
+
 A token is written as one character: a single byte b as U+00b, a merged token as the character whose
 code point is its id (256 and up, below the surrogates). A merge of all occurrences of a pair, from
 left to right, is then a plain string replacement, the rank of a merge is the order of its character,
@@ -8,15 +11,18 @@ and an encoded text is a string with one character per token.
 
 from __future__ import annotations
 
+import heapq
 import json
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut, keep
+from plumbline.session import cut, keep, map_arrow
 
 TOKENIZERS = "/opt/tokenizers"
 #: The public tokenizer's way to cut a text into words, with Unicode white space spelled out for Java.
@@ -26,6 +32,8 @@ OPEN, CLOSE, KEY = "\uE000", "\uE001", "\uE002"
 BUCKETS = 1 << 14
 #: So many of the most frequent words that aren't one token are looked up in a literal table too.
 FREQUENT = 1 << 14
+#: Bytes of a word that the fold takes on.
+LONG = 128
 #: A dictionary of distinct unknown words up to this many bytes is broadcast, a larger one joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -113,6 +121,39 @@ def _merge_all(word: Column, v: Vocabulary) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)["s"]
 
 
+def merge_long(word: str, ranks: dict[str, str]) -> str:
+    """The merges of the fold in n log n steps: a heap of mergeable neighbours, the lowest rank first, then the leftmost.
+
+    A merged token is newer than its parts, so no merge makes a pair of a lower rank.
+    """
+    at, after, before = list(word), [*range(1, len(word)), -1], [-1, *range(len(word) - 1)]
+    heap = [(m, i, a + b) for i, (a, b) in enumerate(zip(word, word[1:])) if (m := ranks.get(a + b))]
+    heapq.heapify(heap)
+    while heap:
+        merged, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if j < 0 or not at[i] or at[i] + at[j] != pair:
+            continue
+        at[i], at[j] = merged, ""
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for left in (before[i], i):
+            if left >= 0 and after[left] >= 0 and (m := ranks.get(at[left] + at[after[left]])):
+                heapq.heappush(heap, (m, left, at[left] + at[after[left]]))
+    return "".join(at)
+
+
+def _long_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = dict(vocabulary(path).merges)
+        for b in batches:
+            codes = pa.array([merge_long(w, ranks) for w in b["_bytes"].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b["_word"], b["_n"], codes], names=["_word", "_n", "_code"])
+
+    return run
+
+
 def _look(maps: Column, key: Column) -> Column:
     return F.try_element_at(F.get(maps, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
 
@@ -150,7 +191,10 @@ def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, key: str = "doc_i
     unknown = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, CLOSE, 1))
     counted = drafts.select(F.explode(unknown).alias("_word")).groupBy("_word").agg(F.count("*").alias("_n"))
     spelled = F.when(F.startswith("_word", F.lit(KEY)), F.substr("_word", F.lit(2))).otherwise(_bytes_of(F.col("_word")))
-    folded = cut(counted.select("_word", "_n", spelled.alias("_bytes")).select("_word", "_n", _merge_all(F.col("_bytes"), v).alias("_code")))
+    spelled_out = cut(counted.select("_word", "_n", spelled.alias("_bytes")))
+    is_long = F.length("_bytes") > LONG
+    long_words = map_arrow(spelled_out.where(is_long), _long_words(f"{tokenizers}/byte_bpe_50k.json"), "_word string, _n bigint, _code string")
+    folded = cut(spelled_out.where(~is_long).select("_word", "_n", _merge_all(F.col("_bytes"), v).alias("_code")).unionByName(long_words))
     frequent = Vocabulary.maps([(r["_word"], r["_code"]) for r in folded.orderBy(F.desc("_n"), "_word").limit(FREQUENT).collect()])
 
     def known(p: Column) -> Column:

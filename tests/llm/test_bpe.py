@@ -39,3 +39,21 @@ def test_shuffled_dictionary(spark, monkeypatch):
     enc = reference()
     assert got == {1: enc.encode_ordinary("Werdrouthis Teloux"), 2: enc.encode_ordinary("Teloux Teloux"), 3: []}
     assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_long_words(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (127, 128, 129, 1000, 100_000)] + ["".join(rng.choice("0123456789") for _ in range(50_000)), "ab" * 30_000, "é" * 5000, "x" + "-" * 9999]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    enc = reference()
+    for r in bpe.encode(docs).select("doc_id", bpe.ids(F.col("codes")).alias("ids")).collect():
+        assert r.ids == enc.encode_ordinary(texts[r.doc_id]), texts[r.doc_id][:20]
+    v = bpe.vocabulary(f"{bpe.TOKENIZERS}/byte_bpe_50k.json")
+    ranks = dict(v.merges)
+    for word in ["a", "ab", "aaaa", "Werdrouthis" * 3] + ["".join(rng.choice("abc") for _ in range(60)) for _ in range(200)]:
+        slow = word
+        while any(p in ranks for p in map("".join, zip(slow, slow[1:]))):
+            best = min(p for p in map("".join, zip(slow, slow[1:])) if p in ranks and ranks[p] == min(ranks[q] for q in map("".join, zip(slow, slow[1:])) if q in ranks))
+            slow = slow.replace(best, ranks[best])
+        assert bpe.merge_long(word, ranks) == slow
