@@ -34,8 +34,6 @@ BUCKETS = 1 << 14
 FREQUENT = 1 << 14
 #: Bytes of a word that the fold takes on.
 LONG = 128
-#: A dictionary of distinct unknown words up to this many bytes is broadcast, a larger one joined by shuffle.
-BROADCAST_BYTES = 64 << 20
 
 
 def byte_letters() -> list[str]:
@@ -177,8 +175,7 @@ def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, key: str = "doc_i
     Words that are one token are looked up in a literal table, which is as large as the vocabulary.
     Only the distinct other words are folded, each once; they grow far slower than the texts. Of those the
     FREQUENT most frequent ones, counted over all documents, are looked up in a literal table as well. The
-    rest, which no longer has hot words, is joined: by broadcast behind a check of the dictionary's size, by shuffle
-    beyond it.
+    rest, which no longer has hot words, is joined by shuffle, at every size the same way.
     """
     v = vocabulary(f"{tokenizers}/byte_bpe_50k.json")
     single = Vocabulary.maps(v.words)
@@ -201,9 +198,7 @@ def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, key: str = "doc_i
         return F.coalesce(F.concat(_look(frequent, F.substring_index(p, CLOSE, 1)), F.substring_index(p, CLOSE, -1)), F.concat(F.lit(OPEN), p))
 
     half = drafts.select("_row", "_key", F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(known(p))), "").alias("_draft"))
-    size = folded.agg(F.sum(F.octet_length("_word") + F.octet_length("_code") + 64)).first()[0] or 0
-    dictionary = folded.select("_word", "_code")
-    dictionary = F.broadcast(dictionary) if size <= BROADCAST_BYTES else dictionary.hint("merge")
+    dictionary = folded.select("_word", "_code").hint("merge")
     cut_up = half.select("_row", "_key", F.posexplode(pieces).alias("_pos", "_piece"))
     nobody = F.concat(F.lit(KEY + KEY), F.col("_row").cast("string"))  # a text's first piece has no word; a null would send all of them to one task
     cut_up = cut_up.select("_row", "_key", "_pos", F.when(F.col("_pos") > 0, F.substring_index("_piece", CLOSE, 1)).otherwise(nobody).alias("_word"), F.substring_index("_piece", CLOSE, -1).alias("_rest"))

@@ -31,8 +31,7 @@ def test_same_ids_and_round_trip(spark):
         assert r.back == text
 
 
-def test_shuffled_dictionary(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "BROADCAST_BYTES", -1)
+def test_words_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(bpe, "FREQUENT", 1)
     docs = spark.createDataFrame([(1, "Werdrouthis Teloux"), (2, "Teloux Teloux"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.ids for r in bpe.encode(docs).select("doc_id", bpe.ids(F.col("codes")).alias("ids")).collect()}
