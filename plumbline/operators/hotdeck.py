@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.cells import is_missing, lower_tokens
-from plumbline.session import cut, one_delivery
+from plumbline.session import keep, one_delivery
 
 
 def hot_deck(rows: DataFrame, missing: dict[str, Column], group: str, time: str, key: str) -> DataFrame:
@@ -26,13 +26,13 @@ def hot_deck(rows: DataFrame, missing: dict[str, Column], group: str, time: str,
     A group may hold a third of all rows: the records are range-partitioned by (group, time, key),
     so a large group spreads over many tasks. Each task fills inside its own range with windows, and what
     crosses a boundary is one first and one last observed record per feature and range. The
-    ranges come from a sample, so they are cut once and read from the checkpoint twice.
+    ranges come from a sample, so they are written once, as a Parquet table, and read twice.
     """
     features = list(missing)
     base = rows.select(
         F.col(key).alias("_key"), F.col(group).alias("_group"), F.col(time).alias("_time"), *[F.when(~missing[f], F.col(f)).alias(f"v{i}") for i, f in enumerate(features)]
     )
-    ranged = cut(base.repartitionByRange("_group", "_time", "_key").withColumn("_range", F.spark_partition_id()))
+    ranged = keep(base.repartitionByRange("_group", "_time", "_key").withColumn("_range", F.spark_partition_id()))
 
     forward = Window.partitionBy("_range", "_group").orderBy(F.col("_time").asc_nulls_first(), F.col("_key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     backward = Window.partitionBy("_range", "_group").orderBy(F.col("_time").desc_nulls_last(), F.col("_key").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _kept: list[str] = []
+_cleaning: set[str] = set()
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -55,20 +58,21 @@ def shared_folder(spark: SparkSession) -> str:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
         sc.setCheckpointDir(folder)
+    if sc.applicationId not in _cleaning:
+        # Spark's cleaner then removes a checkpoint once no plan refers to it
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        _cleaning.add(sc.applicationId)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that later stages read one fixed copy.
-
-    Spark removes the files once nothing refers to them, where its cleaner is set to.
-    """
+    """``df`` written to the shared folder, so that later stages read one fixed copy. Spark removes the files once nothing refers to them."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as a Parquet table: for wide texts, which it holds compressed. ``tidy`` removes it."""
+    """As ``cut``, but as a Parquet table, which is smaller and read by column. ``tidy`` removes it, at the end of the program at the latest, unless the session is stopped before."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _kept.append(path)
@@ -83,6 +87,16 @@ def tidy(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@atexit.register
+def _tidy_at_exit() -> None:
+    sc = SparkContext._active_spark_context
+    if _kept and sc is not None and sc._jsc is not None:
+        try:
+            tidy(SparkSession.builder.getOrCreate())
+        except Exception:  # the session is gone already
+            pass
+
+
 def one_delivery(df: DataFrame, key: str, arrival: str, columns: list[str]) -> DataFrame:
     """One row per ``key``: of records delivered more than once, the first to arrive.
 
