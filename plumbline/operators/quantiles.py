@@ -9,26 +9,25 @@ from pyspark.sql import functions as F
 
 from plumbline.dataset import one_row
 
-#: Bins of a histogram, and rows that one bin may hold before it is cut again.
-BINS, ROWS = 4096, 1_000_000
+#: Bins of a histogram, rows that one bin may hold before it is cut again, and cuts that are tried.
+BINS, ROWS, CUTS = 4096, 1_000_000, 12
 
 
-def _bin(v: Column, lo: Column, hi: Column, n: int) -> Column:
-    at = F.floor((v - lo) / (hi - lo) * n)
-    return F.when(hi > lo, F.greatest(F.lit(0), F.least(F.lit(n - 1), at))).otherwise(0).cast("int")
-
-
-def _held(cells: DataFrame, keys: list[str]) -> list:
-    """(keys, n, lo, hi) of each cell: at most BINS per column or cut cell."""
-    return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy(*keys).collect()
+def _bin(v: Column, lo: Column, hi: Column, by_size: bool) -> Column:
+    """The bin of a value between two ends, of equal widths on a line or, ``by_size``, on a scale of logarithms. Both rise with the value, so order is kept."""
+    if by_size:
+        v, lo, hi = (F.signum(x) * F.log1p(F.abs(x)) for x in (v, lo, hi))
+    at = F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * BINS)  # halves, for the whole width may overflow
+    return F.when(hi > lo, F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at))).otherwise(0).cast("int")
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float] | None]:
     """column -> its values at the wanted shares; None for a column without a number.
 
-    Null, NaN and infinite values don't count. A histogram of equal widths gives the bin of each order statistic; bins that hold
-    one value need no more, bins of more than ROWS rows are cut once more, and inside the bins left the rows are ranked. So no task holds a
-    column, and what comes to the driver is histograms and the order statistics themselves.
+    Null, NaN and infinite values don't count. A histogram of equal widths gives the bin of each order statistic. Bins that hold
+    one value need no more. Bins of more than ROWS rows are cut again, by turns on a scale of logarithms and on a line, until few rows or one value
+    are left, and inside the bins left the rows are ranked. So no task holds a column, and what comes to the driver is histograms and the
+    order statistics themselves.
     """
     cols = list(wanted)
     if not cols:
@@ -38,53 +37,44 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str,
     live = [i for i in range(len(cols)) if ends[f"n{i}"]]
     ranks = {i: sorted({r for q in wanted[cols[i]] for r in (floor((ends[f"n{i}"] - 1) * q), ceil((ends[f"n{i}"] - 1) * q))}) for i in live}
     values: dict[tuple[int, int], float] = {}
+    spark = df.sparkSession
+    cells, cut = None, 0
     if live:
-        cell = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), number(cols[i]).alias("v"), _bin(number(cols[i]), F.lit(ends[f"lo{i}"]), F.lit(ends[f"hi{i}"]), BINS).alias("b")) for i in live])).alias("c")
+        cell = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i).alias("g"), _bin(number(cols[i]), F.lit(ends[f"lo{i}"]), F.lit(ends[f"hi{i}"]), False).alias("b"), number(cols[i]).alias("v")) for i in live])).alias("c")
         cells = df.select(cell).select("c.*").where("v is not null")
-        open_: list[tuple[int, int, int, list[int]]] = []  # column, bin, ranks before it, wanted ranks in it
-        heavy: list[tuple[int, int, int, list[int], float, float]] = []
-
-        def settle(rows, key, before: dict, need: dict, keep) -> None:
-            for r in rows:
-                k, first, n = key(r), before[key(r)], r["n"]
-                inside = [x for x in need[k] if first <= x < first + n]
-                before[k] = first + n
-                rest = []
-                for x in inside:
-                    if r["lo"] == r["hi"] or x == first:
-                        values[(r["i"], x)] = r["lo"]
-                    elif x == first + n - 1:
-                        values[(r["i"], x)] = r["hi"]
-                    else:
-                        rest.append(x)
-                if rest:
-                    keep(r, first, rest)
-
-        def first_level(r, first, rest) -> None:
-            if r["n"] > ROWS:
-                heavy.append((r["i"], r["b"], first, rest, r["lo"], r["hi"]))
+    before, need = dict.fromkeys(live, 0), ranks  # of a group: rows before the bin at hand, order statistics that are looked for
+    while cells is not None:
+        todo, heavy = [], []
+        # at most BINS bins of a column, or of a bin that is cut again
+        for r in cells.groupBy("i", "g", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("i", "g", "b").collect():
+            first, n = before[r["g"]], r["n"]
+            before[r["g"]] += n
+            rest = []
+            for x in need[r["g"]]:
+                if not first <= x < first + n:
+                    continue
+                if r["lo"] == r["hi"] or x == first:
+                    values[(r["i"], x)] = r["lo"]
+                elif x == first + n - 1:
+                    values[(r["i"], x)] = r["hi"]
+                else:
+                    rest.append(x)
+            if rest and n > ROWS and cut < CUTS:
+                heavy.append((r["i"], r["g"], r["b"], len(heavy), float(r["lo"]), float(r["hi"]), first, rest))
             else:
-                open_.append((r["i"], r["b"], first, rest))
-
-        settle(_held(cells, ["i", "b"]), lambda r: r["i"], dict.fromkeys(live, 0), ranks, first_level)
-        spark = df.sparkSession
-        final = cells.select("i", "b", F.lit(0).alias("s"), "v")
-        todo = [(i, b, 0, x - first, x) for i, b, first, rest in open_ for x in rest]
-        if heavy:
-            again = spark.createDataFrame([(i, b, float(lo), float(hi)) for i, b, _, _, lo, hi in heavy], "hi_i int, hi_b int, lo double, hi double")
-            finer = cells.join(F.broadcast(again), (F.col("i") == F.col("hi_i")) & (F.col("b") == F.col("hi_b")))
-            finer = finer.select("i", "b", _bin(F.col("v"), F.col("lo"), F.col("hi"), BINS).alias("s"), "v")
-            deep: list[tuple[int, int, int, int, list[int]]] = []
-            settle(_held(finer, ["i", "b", "s"]), lambda r: (r["i"], r["b"]), {(i, b): first for i, b, first, *_ in heavy}, {(i, b): rest for i, b, _, rest, *_ in heavy}, lambda r, first, rest: deep.append((r["i"], r["b"], r["s"], first, rest)))
-            todo += [(i, b, s, x - first, x) for i, b, s, first, rest in deep for x in rest]
-            final = final.join(F.broadcast(again), (F.col("i") == F.col("hi_i")) & (F.col("b") == F.col("hi_b")), "left_anti").unionByName(finer)
+                todo += [(r["i"], r["g"], r["b"], x - first, x) for x in rest]
         if todo:
-            plan = spark.createDataFrame(todo, "pi int, pb int, ps int, at int, x long")
-            asked = plan.select("pi", "pb", "ps").distinct()
-            on = [(F.col("i") == F.col("pi")), (F.col("b") == F.col("pb")), (F.col("s") == F.col("ps"))]
-            ranked = final.join(F.broadcast(asked), on, "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("i", "b", "s").orderBy("v")) - 1)
-            for r in ranked.join(F.broadcast(plan), [*on, F.col("r") == F.col("at")]).select("i", "x", "v").collect():
+            plan = spark.createDataFrame(todo, "i int, g int, b int, at int, x long")
+            inside = cells.join(F.broadcast(plan.select("i", "g", "b").distinct()), ["i", "g", "b"])
+            ranked = inside.withColumn("at", F.row_number().over(Window.partitionBy("i", "g", "b").orderBy("v")) - 1)
+            for r in ranked.join(F.broadcast(plan), ["i", "g", "b", "at"]).select("i", "x", "v").collect():
                 values[(r["i"], r["x"])] = r["v"]
+        if not heavy:
+            break
+        again = F.broadcast(spark.createDataFrame([h[:6] for h in heavy], "i int, g int, b int, next int, lo double, hi double"))
+        cut += 1
+        cells = cells.join(again, ["i", "g", "b"]).select("i", F.col("next").alias("g"), _bin(F.col("v"), F.col("lo"), F.col("hi"), cut % 2 == 1).alias("b"), "v")
+        before, need = {h[3]: h[6] for h in heavy}, {h[3]: h[7] for h in heavy}
     out: dict[str, list[float] | None] = {}
     for i, c in enumerate(cols):
         if i not in ranks:

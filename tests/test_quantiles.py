@@ -23,3 +23,16 @@ def test_against_numpy(spark, monkeypatch, rows):
     one = quantiles.exact_quantiles(df.limit(1), {"a": [0.5]})["a"]
     assert len(one) == 1
     assert quantiles.exact_quantiles(df.limit(0), {"a": [0.5]}) == {"a": None}
+
+
+def test_far_outliers_leave_no_large_bin(spark, monkeypatch):
+    """Values that equal widths can't tell apart are cut again on other scales; the number of cuts makes no difference."""
+    monkeypatch.setattr(quantiles, "ROWS", 500)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=19_000), rng.normal(size=990) * 1e-30, [1e300, 1e150, -1e307, 1e307, 5e-324]])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    qs = [0.0, 0.01, 0.25, 0.5, 0.51, 0.975, 1.0]
+    got = quantiles.exact_quantiles(df, {"v": qs})["v"]
+    assert np.allclose(got, np.quantile(x, qs), rtol=1e-9, atol=0)
+    monkeypatch.setattr(quantiles, "CUTS", 2)
+    assert np.allclose(quantiles.exact_quantiles(df, {"v": qs})["v"], got, rtol=0, atol=0)
