@@ -38,7 +38,7 @@ CLASSIFIERS: dict[str, tuple[list, Callable]] = {
     "gaussian_nb": ([], lambda f, y, c: M.GaussianNB(f, y)),
     "logistic_regression": ([uniform("logistic_regression:C", 0.03, 10, 1.0, log=True)], lambda f, y, c: T.LogisticRegression(f, y, params={"regParam": 1e-3 / c["logistic_regression:C"], "maxIter": 50})),
     "random_forest": ([integer("random_forest:trees", 5, 40, 10), integer("random_forest:depth", 3, 10, 5)], lambda f, y, c: T.RandomForestClassifier(f, y, params={"numTrees": c["random_forest:trees"], "maxDepth": c["random_forest:depth"]})),
-    "extra_trees": ([integer("extra_trees:trees", 5, 40, 10)], lambda f, y, c: T.ExtraTreesClassifier(f, y, params={"numTrees": c["extra_trees:trees"]})),
+    "extra_trees": ([integer("extra_trees:trees", 5, 40, 10)], lambda f, y, c: T.ExtraTrees(f, y, trees=c["extra_trees:trees"])),
     "gradient_boosting": ([integer("gradient_boosting:rounds", 5, 50, 10), uniform("gradient_boosting:rate", 0.01, 1.0, 0.1, log=True)], lambda f, y, c: T.GradientBoostingClassifier(f, y, params={"maxIter": c["gradient_boosting:rounds"], "stepSize": c["gradient_boosting:rate"]})),
     "adaboost": ([integer("adaboost:rounds", 3, 20, 5), integer("adaboost:depth", 1, 8, 3)], lambda f, y, c: T.AdaBoost(f, y, n_estimators=c["adaboost:rounds"], depth=c["adaboost:depth"])),
     "liblinear_svc": ([uniform("liblinear_svc:C", 0.03, 32768, 1.0, log=True), categorical("liblinear_svc:loss", ["squared_hinge", "hinge"])], lambda f, y, c: M.Margin(f, y, C=c["liblinear_svc:C"], loss=c["liblinear_svc:loss"])),
@@ -57,7 +57,7 @@ REGRESSORS: dict[str, tuple[list, Callable]] = {
     "ridge": ([uniform("ridge:alpha", 0.01, 32, 1.0, log=True)], lambda f, y, c: M.Ridge(f, y, alpha=c["ridge:alpha"])),
     "lasso": ([uniform("lasso:alpha", 0.01, 32, 1.0, log=True)], lambda f, y, c: M.Lasso(f, y, alpha=c["lasso:alpha"])),
     "random_forest": ([integer("random_forest:trees", 5, 40, 10), integer("random_forest:depth", 3, 10, 5)], lambda f, y, c: T.RandomForestRegressor(f, y, params={"numTrees": c["random_forest:trees"], "maxDepth": c["random_forest:depth"]})),
-    "extra_trees": ([integer("extra_trees:trees", 5, 40, 10)], lambda f, y, c: T.ExtraTreesRegressor(f, y, params={"numTrees": c["extra_trees:trees"]})),
+    "extra_trees": ([integer("extra_trees:trees", 5, 40, 10)], lambda f, y, c: T.ExtraTrees(f, y, trees=c["extra_trees:trees"], regress=True)),
     "gradient_boosting": ([integer("gradient_boosting:rounds", 5, 50, 10)], lambda f, y, c: T.GradientBoostingRegressor(f, y, params={"maxIter": c["gradient_boosting:rounds"]})),
     "adaboost": ([integer("adaboost:rounds", 3, 20, 5)], lambda f, y, c: T.AdaBoostR2(f, y, n_estimators=c["adaboost:rounds"])),
     "liblinear_svr": ([uniform("liblinear_svr:C", 0.03, 32768, 1.0, log=True)], lambda f, y, c: M.Margin(f, y, C=c["liblinear_svr:C"], loss="squared_epsilon")),

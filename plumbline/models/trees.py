@@ -65,8 +65,6 @@ def _one_vs_rest(binary):
 
 RandomForestClassifier = _wrapper("RandomForestClassifier", lambda p: C.RandomForestClassifier(seed=1, **p), True)
 RandomForestRegressor = _wrapper("RandomForestRegressor", lambda p: R.RandomForestRegressor(seed=1, **p), False)
-ExtraTreesClassifier = _wrapper("ExtraTreesClassifier", lambda p: C.RandomForestClassifier(seed=1, bootstrap=False, **p), True)
-ExtraTreesRegressor = _wrapper("ExtraTreesRegressor", lambda p: R.RandomForestRegressor(seed=1, bootstrap=False, **p), False)
 GradientBoostingClassifier = _wrapper("GradientBoostingClassifier", lambda p: _one_vs_rest(C.GBTClassifier(seed=1, **p)), True)
 GradientBoostingRegressor = _wrapper("GradientBoostingRegressor", lambda p: R.GBTRegressor(seed=1, **p), False)
 LogisticRegression = _wrapper("LogisticRegression", lambda p: C.LogisticRegression(standardization=False, **p), True)
@@ -89,6 +87,150 @@ class Tree(Wrapped):
         return super().predict(df)
 
 
+@dataclass
+class ExtraTrees(Model):
+    """Extremely randomised trees: a node draws one threshold for each of a few features, evenly between the ends its ancestors left, and keeps the best.
+
+    All trees grow together, a level at a time. A level is one pass over the rows in Arrow batches; what comes to the driver are the
+    counts (or sums) on both sides of each drawn threshold: trees * 2^depth * candidates * classes numbers at most. Every tree sees all rows. ``weight`` counts rows.
+    Nulls go with the small values.
+    """
+
+    trees: int = 10
+    depth: int = 6
+    candidates: int | None = None  # None: the root of the number of features for classes, all of them for numbers
+    regress: bool = False
+    weight: str | None = None
+    seed: int = 1
+
+    def fit(self, df: DataFrame) -> ExtraTrees:
+        self.classify = not self.regress
+        rng = np.random.default_rng(self.seed)
+        d = len(self.features)
+        rows = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(self.features)], F.col(self.label).cast("double").alias("_y"), (F.col(self.weight).cast("double") if self.weight else F.lit(1.0)).alias("_w")).where("_y is not null").persist()
+        try:
+            ends = rows.agg(F.count("*").alias("n"), F.max("_y").alias("top"), *[g(f"x{i}").alias(f"{n}{i}") for i in range(d) for n, g in (("lo", F.min), ("hi", F.max))]).first()
+            if not ends["n"]:
+                raise ValueError("no rows with a label")
+            width = 3 if self.regress else int(ends["top"]) + 1
+            k = min(d, self.candidates or (d if self.regress else max(1, round(d**0.5))))
+            lo, hi = (np.array([0.0 if ends[f"{n}{i}"] is None else ends[f"{n}{i}"] for i in range(d)]) for n in ("lo", "hi"))
+            splits = [{} for _ in range(self.trees)]  # node -> (feature, threshold); the children of node i are 2i and 2i + 1
+            leaves = [{} for _ in range(self.trees)]
+            gains = np.zeros(d)
+            boxes = [{1: (lo, hi)} for _ in range(self.trees)]
+            for level in range(self.depth):
+                drawn = []
+                for t in range(self.trees):
+                    for node, (a, b) in boxes[t].items():
+                        open_ = np.flatnonzero(b > a)
+                        chosen = rng.permutation(open_)[:k]
+                        cuts = [(int(f), float(rng.uniform(a[f], b[f]))) for f in chosen]
+                        drawn.append((t, node, cuts + [(-1, 0.0)] * (k - len(cuts))))
+                if not drawn:
+                    break
+                sums = self._counted(rows, splits, drawn, k, width)
+                following = [{} for _ in range(self.trees)]
+                for (t, node, cuts), got in zip(drawn, sums):
+                    whole = got[0].sum(axis=0)
+                    leaves[t][node] = whole
+                    best = max(((self._loss(whole) - self._loss(g[0]) - self._loss(g[1]), -i) for i, (g, (f, _)) in enumerate(zip(got, cuts)) if f >= 0 and self._size(g[0]) > 0 and self._size(g[1]) > 0), default=(0.0, 0))
+                    if best[0] <= 1e-12 * max(1.0, abs(self._loss(whole))):
+                        continue
+                    f, cut_at = cuts[-best[1]]
+                    gains[f] += best[0]
+                    splits[t][node] = (f, cut_at)
+                    a, b = boxes[t][node]
+                    for side in (0, 1):
+                        leaves[t][2 * node + side] = got[-best[1]][side]
+                        if level + 1 < self.depth and self._loss(got[-best[1]][side]) > 1e-12:
+                            low, high = a.copy(), b.copy()
+                            (high if side == 0 else low)[f] = cut_at
+                            following[t][2 * node + side] = (low, high)
+                boxes = following
+        finally:
+            rows.unpersist()
+        self.state = {"splits": splits, "leaves": leaves, "width": width, "gains": gains / max(gains.sum(), 1e-300)}
+        return self
+
+    def importances(self) -> dict[str, float]:
+        return dict(zip(self.features, self.state["gains"].tolist()))
+
+    def _size(self, s: np.ndarray) -> float:
+        return float(s[0] if self.regress else s.sum())
+
+    def _loss(self, s: np.ndarray) -> float:
+        """Rows times their variance, or times the Gini impurity."""
+        n = self._size(s)
+        if n <= 0:
+            return 0.0
+        return float(s[2] - s[1] * s[1] / n) if self.regress else float(n - (s * s).sum() / n)
+
+    def _value(self, s: np.ndarray) -> list[float]:
+        return [float(s[1] / s[0])] if self.regress else [float(x) for x in s / s.sum()]
+
+    def _counted(self, rows: DataFrame, splits: list[dict], drawn: list, k: int, width: int) -> np.ndarray:
+        """[drawn node, candidate, side, class or moment]."""
+        regress, d, trees = self.regress, len(self.features), self.trees
+        of_tree = [{node: at for at, (t, node, _) in enumerate(drawn) if t == tree} for tree in range(trees)]
+        feature = np.array([[f for f, _ in cuts] for _, _, cuts in drawn])
+        level_cut = np.array([[c for _, c in cuts] for _, _, cuts in drawn])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(drawn) * k * 2 * width)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = np.stack([b[f"x{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(d)], axis=1)
+                y, w = (b[c].to_numpy(zero_copy_only=False).astype(float) for c in ("_y", "_w"))
+                for t in range(trees):
+                    if not of_tree[t]:
+                        continue
+                    node = np.ones(len(x), np.int64)
+                    for parent, (f, cut_at) in sorted(splits[t].items()):
+                        at = node == parent
+                        node[at] = 2 * parent + (x[at, f] > cut_at)
+                    at = np.array([of_tree[t].get(n, -1) for n in range(int(node.max()) + 1)])[node]
+                    live = np.flatnonzero(at >= 0)
+                    at = at[live]
+                    for c in range(k):
+                        side = x[live, feature[at, c]] > level_cut[at, c]
+                        key = ((at * k + c) * 2 + side) * width
+                        if regress:
+                            for m, value in enumerate((w[live], w[live] * y[live], w[live] * y[live] ** 2)):
+                                total += np.bincount(key + m, value, len(total))
+                        else:
+                            total += np.bincount(key + y[live].astype(np.int64), w[live], len(total))
+            held = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int64)), pa.array(total[held])], names=["at", "value"])
+
+        out = np.zeros(len(drawn) * k * 2 * width)
+        for r in map_arrow(rows, run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("v")).collect():
+            out[r["at"]] = r["v"]
+        return out.reshape(len(drawn), k, 2, width)
+
+    def _leaf(self, t: int, node: int, ends: list[int]) -> Column:
+        if node not in self.state["splits"][t]:
+            ends.append(node)
+            return F.lit(len(ends) - 1)
+        f, cut_at = self.state["splits"][t][node]
+        low = self._leaf(t, 2 * node, ends)
+        return F.when(F.col(self.features[f]).cast("double") > cut_at, self._leaf(t, 2 * node + 1, ends)).otherwise(low)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        out, votes = df, None
+        for t in range(self.trees):
+            ends: list[int] = []
+            out = out.withColumn(f"_leaf{t}", self._leaf(t, 1, ends))
+            values = [self._value(self.state["leaves"][t][e]) for e in ends]
+            mine = [F.get(F.lit([v[c] for v in values]), F.col(f"_leaf{t}")) for c in range(len(values[0]))]
+            votes = mine if votes is None else [a + b for a, b in zip(votes, mine)]
+        gone = [f"_leaf{t}" for t in range(self.trees)]
+        if self.regress:
+            return out.withColumn("prediction", votes[0] / self.trees).drop(*gone)
+        return out.withColumn("prediction", choose(dict(enumerate(votes)))).withColumn("probability", normal(by_class(dict(enumerate(votes))))).drop(*gone)
+
+
 @dataclass
 class AdaBoost(Model):
     """SAMME: trees on reweighted rows, weights as an expression over the rows, never collected."""

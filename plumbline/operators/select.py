@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.dataset import NUMBERS, Dataset, Stage, one_row
-from plumbline.operators.generate import importances
 from plumbline.operators.stats import chi2_tail, f_tail
 
 
@@ -151,14 +150,16 @@ class Percentile(Selector):
 
 @dataclass
 class ForestSelector(Selector):
-    """Columns whose importance in a forest is at least the mean."""
+    """Columns whose importance in extremely randomised trees is at least the mean."""
 
     classify: bool = True
     trees: int = 100
     name: str = "forest"
 
     def keep(self, ds: Dataset, targets: list[str]) -> set[str]:
-        gain = importances(ds, targets, self.classify, self.trees)
+        from plumbline.models.trees import ExtraTrees
+
+        gain = ExtraTrees(targets, ds.label, trees=self.trees, regress=not self.classify).fit(ds.df).importances()
         mean = sum(gain.values()) / len(gain)
         return {c for c, g in gain.items() if g >= mean}
 

@@ -226,7 +226,7 @@ def _close(make, label="t", floor=0.8):
 
 
 _CLASSIFIERS = {
-    "c_adaboost": lambda y: T.AdaBoost(_X, y, n_estimators=4, depth=2), "c_extra_trees": lambda y: T.ExtraTreesClassifier(_X, y, params={"numTrees": 5}), "c_random_forest": lambda y: T.RandomForestClassifier(_X, y, params={"numTrees": 5}),
+    "c_adaboost": lambda y: T.AdaBoost(_X, y, n_estimators=4, depth=2), "c_extra_trees": lambda y: T.ExtraTrees(_X, y, trees=5), "c_random_forest": lambda y: T.RandomForestClassifier(_X, y, params={"numTrees": 5}),
     "c_gradient_boosting": lambda y: T.GradientBoostingClassifier(_X, y, params={"maxIter": 3, "maxDepth": 3}), "c_lightgbm": lambda y: T.GradientBoostingClassifier(_X, y, params={"maxIter": 3, "maxDepth": 4, "subsamplingRate": 0.8}),
     "c_logistic": lambda y: T.LogisticRegression(_X, y, params={"maxIter": 50}),
     "c_liblinear_svc": lambda y: M.Margin(_X, y, steps=25), "c_libsvm_svc": lambda y: T.KernelMachine(_X, y, gamma=0.01, n_components=20),
@@ -238,7 +238,7 @@ for _n, _m in {"i_balanced_bagging": "tree", "i_balanced_rf": "forest", "i_easy_
     Q[_n] = _accuracy(lambda y, b=_m: T.BalancedBag(_X, y, base=b), "b")
 Q["i_rusboost"] = _accuracy(lambda y: T.RUSBoost(_X, y), "b")
 _REGRESSORS = {
-    "r_adaboost": lambda y: T.AdaBoostR2(_X, y, n_estimators=3, depth=5), "r_extra_trees": lambda y: T.ExtraTreesRegressor(_X, y, params={"numTrees": 5, "maxDepth": 7, "featureSubsetStrategy": "all"}), "r_random_forest": lambda y: T.RandomForestRegressor(_X, y, params={"numTrees": 5, "maxDepth": 7, "featureSubsetStrategy": "all"}),
+    "r_adaboost": lambda y: T.AdaBoostR2(_X, y, n_estimators=3, depth=5), "r_extra_trees": lambda y: T.ExtraTrees(_X, y, trees=5, depth=7, regress=True), "r_random_forest": lambda y: T.RandomForestRegressor(_X, y, params={"numTrees": 5, "maxDepth": 7, "featureSubsetStrategy": "all"}),
     "r_gradient_boosting": lambda y: T.GradientBoostingRegressor(_X, y, params={"maxIter": 5}), "r_lightgbm": lambda y: T.GradientBoostingRegressor(_X, y, params={"maxIter": 5, "maxDepth": 6}),
     "r_liblinear_svr": lambda y: M.Margin(_X, y, loss="squared_epsilon", C=100.0, steps=40), "r_libsvm_svr": lambda y: T.KernelMachine(_X, y, loss="squared_epsilon", C=100.0, gamma=0.001, n_components=20),
 }

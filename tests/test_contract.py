@@ -26,7 +26,7 @@ def three(spark):
 
 MODELS = [
     lambda: classic.LDA(X, "y"), lambda: classic.QDA(X, "y"), lambda: classic.GaussianNB(X, "y"), lambda: classic.Margin(X, "y", steps=20), lambda: classic.NearestNeighbours(X, "y", key="id", k=5), lambda: trees.KernelMachine(X, "y", gamma=0.5),
-    lambda: trees.AdaBoost(X, "y", n_estimators=4, depth=3), lambda: trees.BalancedBag(X, "y", bags=2), lambda: trees.RUSBoost(X, "y", n_estimators=4), lambda: trees.GradientBoostingClassifier(X, "y", params={"maxIter": 3}), lambda: trees.RandomForestClassifier(X, "y", params={"numTrees": 5}),
+    lambda: trees.AdaBoost(X, "y", n_estimators=4, depth=3), lambda: trees.BalancedBag(X, "y", bags=2), lambda: trees.RUSBoost(X, "y", n_estimators=4), lambda: trees.GradientBoostingClassifier(X, "y", params={"maxIter": 3}), lambda: trees.RandomForestClassifier(X, "y", params={"numTrees": 5}), lambda: trees.ExtraTrees(X, "y", trees=8, depth=6),
 ]
 
 
@@ -96,6 +96,26 @@ def test_rusboost_samples_before_each_round(spark):
     assert all(r.r > 0.8 for r in got)
 
 
+def test_extra_trees_count_what_they_say(three):
+    """Each leaf holds the shares of the rows that reach it, thresholds are drawn anew in each tree, and noise has little importance."""
+    df = three.withColumn("noise", F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0)
+    m = trees.ExtraTrees([*X, "noise"], "y", trees=6, depth=5, candidates=2).fit(df)
+    assert len({s[1] for s in m.state["splits"]}) == 6
+    rows = np.array(df.select(*X, "noise", "y").collect(), float)
+    for splits, leaves in zip(m.state["splits"], m.state["leaves"]):
+        node = np.ones(len(rows), int)
+        for parent, (f, cut) in sorted(splits.items()):
+            at = node == parent
+            node[at] = 2 * parent + (rows[at, f] > cut)
+        for n in set(node):
+            assert list(leaves[n]) == list(np.bincount(rows[node == n, 3].astype(int), minlength=3))
+    gain = m.importances()
+    assert sum(gain.values()) == pytest.approx(1) and gain["noise"] < min(gain["a"], gain["b"])
+    assert m.predict(df).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] > 0.85
+    r = trees.ExtraTrees(X, "t", trees=10, depth=7, regress=True).fit(df).predict(df)
+    assert r.agg(1 - F.avg(F.pow(F.col("prediction") - F.col("t"), 2)) / F.var_pop("t")).first()[0] > 0.9
+
+
 def test_kernel_machine_against_numpy(three):
     """At the solution the objective's slope is zero, and circles and waves are learnt."""
     m = trees.KernelMachine(X, "t", gamma=0.5, C=100.0, loss="squared_epsilon").fit(three)
