@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, pack
 from plumbline.llm.mih import similar_pairs
 from plumbline.llm.pii import find, found_items
-from plumbline.llm.splits import FEATURES, NUMBERS, TEXTS, overlap_report, overlapping_rows
+from plumbline.llm.splits import FEATURES, NUMBERS, TEXTS, overlap_classes, overlap_report, overlapping_rows
 from plumbline.llm.topn import best_trials
 from plumbline.session import spread, table
 
@@ -38,6 +38,11 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(table(spark, d, "split_rows"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of classes of equal records that overlap, each named by its smallest row id."""
+    return overlap_classes(table(spark, d, "split_rows"))[0]
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.containers(documents(spark, d), table(spark, d, "pack_targets"))
 
@@ -55,7 +60,7 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
     return find(documents(spark, d)).select("doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_masked": p8_masked}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p3_classes": p3_classes, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_masked": p8_masked}
 
 P5_SQL = """
 with t as (select session_id, lower(trim(estimator_id, ' ' || chr(9))) as estimator_id, trial_id, perf, finished_at, config_id
@@ -80,6 +85,9 @@ P3_SQL = _P3 + "select least(ra, rb) as row_a, greatest(ra, rb) as row_b from p
 P3_REPORT_SQL = _P3 + f"""
 select split, source, count(distinct rb) as n_rows, count(*) as n_pairs, count(*) filter (agree = {len(FEATURES)}) as n_equal_pairs
 from p where agree >= 10 group by split, source"""
+_KEY = ", ".join(["dataset_id", "split = 'train'", *FEATURES])
+P3_CLASSES_SQL = _P3.replace("p as (select a.row_id", f"""c as (select *, min(row_id) over (partition by {_KEY}) as class_row, count(*) over (partition by {_KEY}) as size from s where split in ('train', 'test', 'valid') and dataset_id is not null and row_id is not null),
+p as (select a.row_id""").replace("select a.row_id as ra, b.row_id as rb, b.split, b.source,", "select a.row_id as ra, b.row_id as rb, a.size as n_train, b.size as n_eval,").replace("from s a join s b on", "from c a join c b on a.row_id = a.class_row and b.row_id = b.class_row and") + "select ra as train_row, rb as eval_row, agree, n_train, n_eval from p where agree >= 10"
 P2_SQL = """
 with u as (select distinct task_id, dataset_embedding as v from task_vectors
            where len(dataset_embedding) = 32 and len(list_filter(dataset_embedding, lambda x: x is not null and isfinite(x))) = 32),
@@ -88,4 +96,4 @@ d as (select a.task_id as q, b.task_id as t, sum((a.x - b.x) * (a.x - b.x)) as d
 r as (select q, t, row_number() over (partition by q order by d, t) as n from d)
 select distinct least(q, t) as task_a, greatest(q, t) as task_b from r where n <= 5
 """
-SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_report": P3_REPORT_SQL, "p5_found": P5_SQL}
+SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_report": P3_REPORT_SQL, "p3_classes": P3_CLASSES_SQL, "p5_found": P5_SQL}

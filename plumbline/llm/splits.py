@@ -23,6 +23,8 @@ SHARED = len(CHUNKS) - (len(FEATURES) - NEED)
 #: Width of a number's cell as a logarithm. A value lies within the tolerance of a second cell with
 #: probability 0.1, so probes stay few.
 CELL = 0.1
+#: Rows that a class of equal records, or a part of it, holds in a join.
+HOT = 100_000
 #: -ln(1 - TOLERANCE), rounded up.
 REACH = 0.00502
 
@@ -111,12 +113,45 @@ def overlaps(split_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.withColumn("overlap", F.col("agree") / len(FEATURES)), rows
 
 
-def overlapping_rows(split_rows: DataFrame) -> DataFrame:
-    """The overlaps as pairs of rows: (train_row, eval_row, split, source, agree, overlap)."""
+def hot_classes(rows: DataFrame, hot: int = HOT) -> dict[str, int]:
+    """Classes with more than ``hot`` rows and more than a thousandth of all, so at most 1,000, and into how many parts they are dealt."""
+    sizes = rows.groupBy("_class").count()
+    limit = F.greatest(F.lit(hot), F.lit(rows.count() // 1000))
+    return {r["_class"]: -(-r["count"] // hot) for r in sizes.where(F.col("count") > limit).collect()}
+
+
+def spread_join(classes: DataFrame, rows: DataFrame, key: str, row: str, parts: dict[str, int]) -> DataFrame:
+    """The join of ``classes`` with the rows of each class on ``key``; the rows of a hot class are dealt into parts by ``row``, for each of which its classes stand once more."""
+    if not parts:
+        return classes.join(rows, key)
+    n = F.coalesce(F.try_element_at(F.create_map(*[x for c, k in parts.items() for x in (F.lit(c), F.lit(k))]), F.col(key)), F.lit(1))
+    left = classes.withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1)))
+    return left.join(rows.withColumn("_part", F.pmod(F.xxhash64(row), n).cast("int")), [key, "_part"]).drop("_part")
+
+
+def overlapping_rows(split_rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """The overlaps as pairs of rows: (train_row, eval_row, split, source, agree, overlap). ``overlap_classes`` doesn't list the rows of copies."""
     found, rows = overlaps(split_rows)
+    parts = hot_classes(rows, hot)
     a = rows.select(F.col("_class").alias("train_class"), F.col("row_id").alias("train_row"))
     b = rows.select(F.col("_class").alias("eval_class"), F.col("row_id").alias("eval_row"), "split", "source")
-    return found.join(a, "train_class").join(b, "eval_class").select("train_row", "eval_row", "split", "source", "agree", "overlap")
+    pairs = spread_join(spread_join(found, a, "train_class", "train_row", parts), b, "eval_class", "eval_row", parts)
+    return pairs.select("train_row", "eval_row", "split", "source", "agree", "overlap")
+
+
+def overlap_classes(split_rows: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Overlaps between classes of equal records without listing their rows.
+
+    First table: (train_row, eval_row, agree, n_train, n_eval), one row per pair of classes, each named by its smallest row id, with the number of its rows. Second table:
+    (row_id, class_row, train), one row per record that takes part. Classes with no overlap stand in the second table only.
+    """
+    found, rows = overlaps(split_rows)
+    sizes = rows.groupBy("_class").agg(F.min("row_id").alias("class_row"), F.count("*").alias("n"))
+    a = sizes.select(F.col("_class").alias("train_class"), F.col("class_row").alias("train_row"), F.col("n").alias("n_train"))
+    b = sizes.select(F.col("_class").alias("eval_class"), F.col("class_row").alias("eval_row"), F.col("n").alias("n_eval"))
+    pairs = found.join(a, "train_class").join(b, "eval_class").select("train_row", "eval_row", "agree", "n_train", "n_eval")
+    members = spread_join(sizes.select("_class", "class_row"), rows.select("_class", "row_id", F.col("_train").alias("train")), "_class", "row_id", hot_classes(rows, hot))
+    return pairs, members.select("row_id", "class_row", "train")
 
 
 def overlap_report(split_rows: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from plumbline.llm.splits import FEATURES, overlap_report, overlapping_rows
+from plumbline.llm.splits import FEATURES, overlap_classes, overlap_report, overlapping_rows
 
 SCHEMA = "row_id long, dataset_id string, split string, source string, " + ", ".join(f"n{i} double" for i in range(8)) + ", " + ", ".join(f"c{i} string" for i in range(4)) + ", y string"
 
@@ -65,3 +65,20 @@ def test_copies_and_empty(spark):
     assert overlapping_rows(df).count() == 31 * 30
     assert [tuple(r) for r in overlap_report(df).collect()] == [("test", "s", 31, 930, 900)]
     assert overlapping_rows(df.limit(0)).count() == 0
+
+
+def test_classes_and_hot_copies(spark):
+    rng = random.Random(11)
+    rows = make(rng)
+    last = max(r[0] for r in rows if r[0] is not None)
+    copy = next(r for r in rows if r[0] is not None and r[1] is not None and r[2] is not None and r[2].strip(" \t").lower() == "train")
+    rows += [(last + 1 + i, *copy[1:]) for i in range(40)] + [(last + 100 + i, copy[1], "test", *copy[3:]) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("loaded_at", F.lit(None).cast("timestamp"))
+    want = brute(rows)
+    got = {(r.train_row, r.eval_row): r.agree for r in overlapping_rows(df, hot=8).collect()}
+    assert got == want
+    pairs, members = overlap_classes(df, hot=8)
+    of = {r.row_id: r.class_row for r in members.collect()}
+    listed = {(r.train_row, r.eval_row): r for r in pairs.collect()}
+    assert {(of[a], of[b]): n for (a, b), n in want.items()} == {k: r.agree for k, r in listed.items()}
+    assert sum(r.n_train * r.n_eval for r in listed.values()) == len(want)
