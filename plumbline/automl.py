@@ -17,7 +17,7 @@ from plumbline.models import trees as T
 from plumbline.operators import generate as G
 from plumbline.operators import scale as R
 from plumbline.operators import select as L
-from plumbline.operators.balance import with_weights
+from plumbline.operators.balance import is_imbalanced, smote, with_weights
 from plumbline.operators.clean import encode_labels, label_codes, preprocess
 from plumbline.operators.metrics import score
 from plumbline.operators.split import folds, holdout, subsample
@@ -67,7 +67,7 @@ REGRESSORS: dict[str, tuple[list, Callable]] = {
 }
 #: stage of a pipeline -> name -> maker of the step.
 STAGES: dict[str, dict[str, Callable[[bool], Stage | None]]] = {
-    "balancer": {"empty": lambda c: None, "weight_balancer": lambda c: None},  # no step: ``pipeline`` weighs the rows for the model
+    "balancer": {"empty": lambda c: None, "weight_balancer": lambda c: None, "data_balancer": lambda c: None, "smote_balancer": lambda c: None},  # no steps: ``pipeline`` weighs the training rows or fills them up
     "preprocessor": {"empty": lambda c: None, "pca": lambda c: G.PCA(), "polynomial": lambda c: G.Polynomial(top=5, classify=c), "percentile": lambda c: L.Percentile(score="f_classif" if c else "f_regression"), "forest": lambda c: L.ForestSelector(classify=c, trees=10), "kbins": lambda c: R.Bins(), "nystroem": lambda c: G.Nystroem(),
         "svd": lambda c: G.SVD(), "fast_ica": lambda c: G.FastICA(), "feature_agglomeration": lambda c: G.FeatureAgglomeration(), "random_fourier": lambda c: G.RandomFourier(), "tree_embedding": lambda c: G.TreeEmbedding(), "cross": lambda c: G.Cross(),
         "univariate": lambda c: L.Univariate(score="f_classif" if c else "f_regression"), "linear": lambda c: L.LinearSelector()},
@@ -77,6 +77,8 @@ STAGES: dict[str, dict[str, Callable[[bool], Stage | None]]] = {
 BY_TREE = {"adaboost", "random_forest", "extra_trees", "gradient_boosting", "lightgbm"}
 #: classifiers that know no weights, so a search doesn't put them together with the weight balancer.
 UNWEIGHTED = {"knn", "balanced_bagging", "balanced_forest", "easy_ensemble", "rusboost"}
+#: balancers that fill up the smaller classes by SMOTE, the second only where the classes are imbalanced; a search tries them where they are named.
+FILLING = ("data_balancer", "smote_balancer")
 ENSEMBLES = ("ensemble_selection", "bagging", "blending", "stacking", "unnamed")
 
 
@@ -117,6 +119,7 @@ def space_of(algorithms: dict[str, tuple[list, Callable]], steps: dict[str, list
     for name, (parameters, _) in algorithms.items():
         s.add(*[replace(p, when=("algorithm", (name,))) for p in parameters])
     s.forbidden.append(lambda c: c.get("fe:balancer") == "weight_balancer" and c.get("algorithm") in UNWEIGHTED)
+    s.forbidden.append(lambda c: c.get("fe:balancer") in FILLING and c.get("algorithm") == "knn")  # synthetic rows have no key
     return s
 
 
@@ -161,8 +164,8 @@ class AutoML:
     def __post_init__(self) -> None:
         if self.ensemble_method not in (None, *ENSEMBLES) or (self.ensemble_method == "unnamed" and not self.classify):
             raise ValueError(f"no ensemble method {self.ensemble_method!r} for {'classes' if self.classify else 'numbers'}")
-        if not self.classify and "weight_balancer" in (self.include_steps or {}).get("balancer", []):
-            raise ValueError("weight_balancer is for classes")
+        if not self.classify and set((self.include_steps or {}).get("balancer", [])) - {"empty"}:
+            raise ValueError("balancers are for classes")
 
     def pipeline(self, config: Config, train: Dataset) -> Pipeline:
         steps = [STAGES[k.removeprefix("fe:")][v](self.classify) for k, v in config.items() if k.startswith("fe:")]
@@ -177,6 +180,10 @@ class AutoML:
                 raise ValueError(f"{name} takes no weights")
             ready = with_weights(ready, "tree" if name in BY_TREE else "balanced")
             model.weight = ready.weight
+        if config.get("fe:balancer") in FILLING and (config["fe:balancer"] == "data_balancer" or is_imbalanced(ready.df, train.label).first()[0]):
+            numbers = ready.of_kind(*NUMBERS)
+            grown = smote(ready.df, train.label, numbers)
+            ready = replace(ready, df=cut(grown.select(*numbers, F.col("label").cast("int").alias(train.label))))
         return Pipeline(chain, model.fit(ready.df))
 
     def evaluate(self, config: Config, share: float) -> float:
@@ -220,7 +227,7 @@ class AutoML:
         ds = replace(ds, df=cut(ds.df))  # else each plan of each trial holds the plan of the preparation
         algorithms = {**CLASSIFIERS, **IMBALANCED} if self.classify else REGRESSORS
         names = self.include_algorithms or list(CLASSIFIERS if self.classify else REGRESSORS)
-        steps = {stage: (self.include_steps or {}).get(stage, [o for o in options if self.classify or o not in ("weight_balancer", "linear")]) for stage, options in STAGES.items()}
+        steps = {stage: (self.include_steps or {}).get(stage, [o for o in options if o not in FILLING and (self.classify or o not in ("weight_balancer", "linear"))]) for stage, options in STAGES.items()}
         self.state |= {"fitted": {}, "algorithms": {n: algorithms[n] for n in names}, "prep": prep, "data": ds, "label": label}
         on = ds.label if self.classify else None
         if self.evaluation == "cv":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.dataset import Dataset
+from plumbline.models.classic import Margin, Ridge
 from plumbline.operators.generate import importances
 from plumbline.operators.select import linear_weights
 
@@ -32,6 +33,16 @@ def linear_importance(df: DataFrame, features: list[str], label: str) -> DataFra
     return _frame(df, {f: w[f] * (sd[f] or 0.0) for f in features})
 
 
+def linear_impact(df: DataFrame, features: list[str], label: str, classify: bool = True, alpha: float = 1.0) -> DataFrame:
+    """Signed weights of a linear model, each times the deviation of its column: for numbers of ridge regression, for two classes of a logistic machine towards the second."""
+    model = (Margin(features, label, loss="logistic") if classify else Ridge(features, label, alpha=alpha)).fit(df)
+    if classify and len(model.state["classes"]) != 2:
+        raise ValueError("signs need two classes")
+    w = next(iter(model.state["planes"].values()))[0] if classify else model.state["w"]
+    sd = df.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
+    return _frame(df, {f: float(x) * (sd[f] or 0.0) for f, x in zip(features, w)})
+
+
 def origin(ds: Dataset) -> DataFrame:
     """The steps that a dataset went through, in order."""
     return ds.df.sparkSession.createDataFrame(list(enumerate(ds.history)), "step int, operator string")

@@ -421,6 +421,13 @@ def linear_importance(spark, d):
     return X.linear_importance(_separable(spark, d), _X, "b")
 
 
+@query("""with s as (select count(*) as n, var_pop(l_quantity) as a, covar_pop(l_quantity, l_tax) as b, var_pop(l_tax) as c, covar_pop(l_quantity, l_extendedprice) as p, covar_pop(l_tax, l_extendedprice) as q from lineitem),
+r as (select a as va, c as vc, a + 10.0 / n as a, b, c + 10.0 / n as c, p, q from s)
+select 'l_quantity' as feature, round(sqrt(va) * (c * p - b * q) / (a * c - b * b), 3) as value from r union all select 'l_tax', round(sqrt(vc) * (a * q - b * p) / (a * c - b * b), 3) from r""")
+def linear_impact(spark, d):
+    return X.linear_impact(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], "l_extendedprice", classify=False, alpha=10.0).withColumn("value", F.round("value", 3))
+
+
 @query("select * from (values (0, 'minmax'), (1, 'arithmetic')) t(step, operator)")
 def feature_origin(spark, d):
     ds = Dataset.of(table(spark, d, "lineitem").select("l_quantity", "l_tax"))

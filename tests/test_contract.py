@@ -154,3 +154,26 @@ def test_advice_follows_a_planted_rule(spark):
     assert right >= 38
     empty = spark.createDataFrame([], "trial_id long, dataset_id string, estimator_id string, perf double")
     assert trials.advise(empty, spark.createDataFrame(vectors, "task_id string, dataset_id string, dataset_embedding array<float>")).count() == 0
+
+
+def test_filling_balancers_change_what_is_learnt(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b), int(a + 0.5 * b > 1.9)) for i, (a, b) in enumerate(rng.normal(size=(900, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    recall = {}
+    for name in ("empty", "data_balancer", "smote_balancer"):
+        m = automl.Classifier("id", trials=1, include_algorithms=["lda"], include_steps={**STEPS, "balancer": [name]}).fit(df, "y")
+        got = m.predict(df).join(df.where("y = 1"), "id")
+        recall[name] = got.agg(F.avg((F.col("prediction") == 1).cast("double"))).first()[0]
+    assert recall["data_balancer"] > recall["empty"] and recall["smote_balancer"] == recall["data_balancer"]
+    with pytest.raises(ValueError):
+        automl.Regressor("id", include_steps={"balancer": ["data_balancer"]})
+
+
+def test_signed_impact(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(float(a), float(b), int(a - 2 * b + 0.3 * e > 0)) for a, b, e in rng.normal(size=(500, 3))], "a double, b double, y int")
+    from plumbline.explain import linear_impact
+
+    got = {r.feature: r.value for r in linear_impact(df, ["a", "b"], "y").collect()}
+    assert got["a"] > 0 > got["b"] and abs(got["b"]) > abs(got["a"])
