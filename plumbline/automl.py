@@ -170,7 +170,11 @@ class AutoML:
     def pipeline(self, config: Config, train: Dataset) -> Pipeline:
         steps = [STAGES[k.removeprefix("fe:")][v](self.classify) for k, v in config.items() if k.startswith("fe:")]
         chain = Chain(*[s for s in steps if s is not None])
-        ready = chain.fit_transform(train)
+        ready = train
+        for stage in chain.stages:
+            ready = stage.fit_transform(ready)
+            if isinstance(stage, G.Nystroem):  # costly expressions, which later steps and the fit would evaluate in each of their passes
+                ready = replace(ready, df=cut(ready.df))
         name = config["algorithm"]
         model = self.state["algorithms"][name][1](ready.of_kind(*NUMBERS), train.label, config)
         if isinstance(model, M.NearestNeighbours):
