@@ -269,8 +269,10 @@ class AutoML:
             "ensemble_selection": lambda: E.greedy_selection(long, self.ensemble_size), "bagging": lambda: {i: 1 / len(configs) for i in range(len(configs))},
             "blending": lambda: E.fit_meta(long), "stacking": lambda: E.fit_meta(long), "unnamed": lambda: E.accuracy_odds(long),
         }
-        self.state["rule"] = self.ensemble_method, learn[self.ensemble_method]()
-        self.state["members"] = tried if self.ensemble_method == "stacking" else [[self.pipeline(c, self.state["data"])] for c in configs]
+        learnt = learn[self.ensemble_method]()
+        self.state["rule"] = self.ensemble_method, learnt
+        # members without a weight have no part in the result and aren't fitted again
+        self.state["members"] = tried if self.ensemble_method == "stacking" else [[self.pipeline(c, self.state["data"])] if i in learnt or not isinstance(learnt, dict) else None for i, c in enumerate(configs)]
 
     def votes(self, fitted: list[Pipeline], ds: Dataset) -> DataFrame:
         """(row_id, label, prob): for classes one row per row and class, with the model's probability or else its vote; the mean of ``fitted``."""
@@ -352,7 +354,7 @@ class AutoML:
             ready = replace(ready, df=coded.drop(label).withColumnRenamed("_code", label))
         best = sorted([t for t in self.state["search"].history if t.status == 0 and t.fidelity == 1.0], key=lambda t: -t.score)
         best = best[: len(self.state["members"])] if self.state["rule"] else [self.state["search"].best]
-        self.state["members"] = [[self.pipeline(t.config, ready)] for t in best]
+        self.state["members"] = [[self.pipeline(t.config, ready)] if m else None for t, m in zip(best, self.state["members"])]
         return self
 
     def trials_frame(self, spark) -> DataFrame:

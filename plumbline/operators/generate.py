@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.dataset import CATEGORICAL, DISCRETE, Dataset, Stage, one_row
 from plumbline.functions.scalar import BINARY, UNARY, text_tokens
@@ -378,6 +380,13 @@ def kernel_matrix(a: np.ndarray, b: np.ndarray, kernel: str, gamma: float, degre
     return np.tanh(inner) if kernel == "sigmoid" else inner**degree
 
 
+def kernel_rows(x: np.ndarray, points: np.ndarray, kernel: str, gamma: float, degree: int, coef0: float) -> np.ndarray:
+    """As ``kernel_column``, for all rows and points: a point at a time, and distances from differences."""
+    if kernel == "rbf":
+        return np.stack([np.exp(-gamma * ((x - p) ** 2).sum(1)) for p in points], axis=1)
+    return np.hstack([kernel_matrix(x, p[None], kernel, gamma, degree, coef0) for p in points])
+
+
 def kernel_column(columns: list[str], point: np.ndarray, kernel: str, gamma: float, degree: int, coef0: float) -> Column:
     """The kernel of a row and a fixed point, as an expression."""
     total = lambda parts: reduce(lambda a, b: a + b, parts)
@@ -411,10 +420,37 @@ class Nystroem(Stage):
         u, s, _ = np.linalg.svd(kernel_matrix(points, points, self.kernel, self.gamma, self.degree, self.coef0))
         return {"points": points, "map": u @ np.diag(1 / np.sqrt(np.maximum(s, 1e-12))) @ u.T}
 
+    def weights(self) -> tuple[str, np.ndarray, np.ndarray]:
+        """(prefix of the new columns, weights of the landmarks' kernels for each of them, what is added)."""
+        return "ny", self.state["map"].T, np.zeros(len(self.state["points"]))
+
+    def transform(self, ds: Dataset) -> Dataset:
+        """All new columns from one matrix of kernels a batch; as expressions each column would hold all kernels once more, and later steps would repeat them."""
+        targets = self.state["targets"]
+        if not targets:
+            return ds
+        _, w, add = self.weights()
+        points, kernel = self.state["points"], (self.kernel, self.gamma, self.degree, self.coef0)
+        rest = [*ds.keep, *([ds.label] if ds.label else []), *([ds.weight] if ds.weight else []), *(ds.features if self.mode != "only_new" else [])]
+        fields = [T.StructField(f.name, f.dataType) for f in ds.df.select(*rest).schema.fields]
+        new = [f"_new{i}" for i in range(w.shape[1])]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in b.columns[len(rest) :]], axis=1)
+                gaps = np.stack([c.is_null().to_numpy(zero_copy_only=False) for c in b.columns[len(rest) :]], axis=1)
+                if kernel[0] == "chi2":  # takes the larger of a cell and 0
+                    x[gaps], gaps = 0.0, np.zeros_like(gaps)
+                gap = gaps.any(axis=1)
+                out = kernel_rows(x, points, *kernel) @ w + add
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *[pa.array(out[:, i], mask=gap) for i in range(len(new))]], names=[*rest, *new])
+
+        wide = ds.df.select(*rest, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(targets)])
+        return super().transform(replace(ds, df=map_arrow(wide, run, T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in new]]))))
+
     def columns(self, targets: list[str]) -> dict[str, Column]:
-        k = F.array(*[kernel_column(targets, p, self.kernel, self.gamma, self.degree, self.coef0) for p in self.state["points"]])
-        dot = lambda w: F.aggregate(F.zip_with(k, F.lit([float(x) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return {f"ny{i}": dot(self.state["map"][i]) for i in range(len(self.state["points"]))}
+        prefix, w, _ = self.weights()
+        return {f"{prefix}{i}": F.col(f"_new{i}") for i in range(w.shape[1])}
 
 
 @dataclass
@@ -434,16 +470,10 @@ class KernelPCA(Nystroem):
         values, vectors = np.maximum(values[::-1][:axes], 1e-12), _signed(vectors[:, ::-1])[:, :axes]
         return {"points": points, "axes": vectors / np.sqrt(values), "rows": rows, "mean": k.mean()}
 
-    def columns(self, targets: list[str]) -> dict[str, Column]:
+    def weights(self) -> tuple[str, np.ndarray, np.ndarray]:
         s = self.state
-        k = F.array(*[kernel_column(targets, p, self.kernel, self.gamma, self.degree, self.coef0) for p in s["points"]])
-        out = {}
-        for i in range(s["axes"].shape[1]):
-            w = s["axes"][:, i]
-            # (k - mean(k) - rows + mean) . w
-            spread = w - w.sum() / len(w)
-            out[f"kp{i}"] = F.aggregate(F.zip_with(k, F.lit([float(x) for x in spread]), lambda a, b: a * b), F.lit(float(-(s["rows"] - s["mean"]) @ w)), lambda a, x: a + x)
-        return out
+        # (k - mean(k) - rows + mean) . w
+        return "kp", s["axes"] - s["axes"].mean(axis=0), -(s["rows"] - s["mean"]) @ s["axes"]
 
 
 @dataclass

@@ -14,7 +14,7 @@ from plumbline.search import optimizers as O
 from plumbline.search.blocks import plan
 from plumbline.search.space import SearchSpace, categorical, uniform
 from plumbline.search.trials import nearest_datasets
-from plumbline.session import shared_folder, table
+from plumbline.session import shared_folder, spread, table
 from plumbline.streaming.scoring import once_per_key, profile_stream, transform_stream
 
 Q: dict = {}
@@ -102,7 +102,7 @@ def opt_hyperband_rounds(spark, d):
 
 @query()
 def automl_classifier(spark, d):
-    df = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.when(F.col("o_totalprice") > 250000, "high").otherwise("low").alias("y"))
+    df = spread(table(spark, d, "orders")).select("o_orderkey", "o_totalprice", "o_orderpriority", F.when(F.col("o_totalprice") > 250000, "high").otherwise("low").alias("y"))
     a = Classifier("o_orderkey", trials=3, include_algorithms=["lda", "random_forest"], ensemble_method="ensemble_selection").fit(df, "y")
     out = a.predict(df).join(df.select("o_orderkey", "y"), "o_orderkey")
     return out.agg(F.count("*").alias("n"), (F.avg((F.col("prediction") == F.col("y")).cast("double")) > 0.9).alias("learned"))

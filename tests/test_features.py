@@ -155,3 +155,24 @@ def test_oversample_and_smote(spark):
     made = grown.where("synthetic").agg(F.min("a"), F.max("a")).first()
     assert box[0] <= made[0] and made[1] <= box[1]
     assert balance.smote(df, "y", ["a", "b"]).count() <= 2000
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "chi2"])
+@pytest.mark.parametrize("kind", [generate.Nystroem, generate.KernelPCA])
+def test_kernel_features_hold_each_kernel_once(spark, kernel, kind):
+    rows = [(i, float(i % 7), None if i == 5 else float(i % 5) / 2, i % 2) for i in range(60)]
+    ds = Dataset.of(spark.createDataFrame(rows, "id long, b double, c double, y int"), ["b", "c"], "y", keep=("id",))
+    stage = kind(kernel=kernel, n_components=6)
+    out = scale.MinMax().fit_transform(stage.fit_transform(ds))
+    assert out.df.columns == ["id", "y", *out.features] and out.df.count() == 60
+    plan = out.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and plan.count("EXP(") == 0
+    new = stage.transform(ds)
+    points, kernels = stage.state["points"], [generate.kernel_column(["b", "c"], p, kernel, 0.1, 3, 1.0).alias(f"k{i}") for i, p in enumerate(stage.state["points"])]
+    assert len(points) == 6
+    _, w, add = stage.weights()
+    for r, k in zip(new.df.orderBy("id").collect(), ds.df.orderBy("id").select(*kernels).collect()):
+        if None in list(k):
+            assert r["id"] == 5 and all(r[f] is None for f in new.features)
+        else:
+            assert np.allclose([r[f] for f in new.features], np.array(k) @ w + add, rtol=1e-5, atol=1e-5)

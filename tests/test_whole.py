@@ -99,6 +99,18 @@ def test_search_stops_at_1500_configurations():
     assert optimizers.build("random", SearchSpace([categorical("a", [1, 2, 3])]), lambda c, share: 0.0).limit == 3
 
 
+def test_members_without_a_weight_are_not_fitted_again(skewed, monkeypatch):
+    steps = {"balancer": ["empty"], "preprocessor": ["empty"], "rescaler": ["empty", "standard"]}
+    made = []
+    real = automl.Classifier.pipeline
+    monkeypatch.setattr(automl.Classifier, "pipeline", lambda self, c, train: made.append(c) or real(self, c, train))
+    monkeypatch.setattr(automl.E, "greedy_selection", lambda long, size: {1: 1.0})
+    a = automl.Classifier("id", trials=2, include_algorithms=["lda"], include_steps=steps, ensemble_method="ensemble_selection").fit(skewed.drop("t"), "y")
+    assert len(made) == 3 and a.state["members"][0] is None and a.predict(skewed).count() == 600
+    assert a.refit(skewed.drop("t")).predict(skewed).count() == 600 and len(made) == 4
+    a.close()
+
+
 def test_registered_with_the_operators_defaults(spark, tmp_path, monkeypatch):
     rows = [(i, i % 7, float(i), "12"[i % 2], "FOP"[i % 3]) for i in range(60)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
