@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.dataset import one_row
 from plumbline.operators.generate import EXPRESSIONS, moments, scatter
+from plumbline.operators.neighbours import Forest
 from plumbline.session import ship
 
 
@@ -233,13 +234,60 @@ def _numbers(t: pa.Table, cols: list[str]) -> np.ndarray:
     return np.stack([np.asarray(t[c].to_numpy(zero_copy_only=False), np.float64) for c in cols], axis=1) if t.num_rows else np.zeros((0, len(cols)))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, columns: list[str], key: str, k: int, p: int = 2, carry: str | None = None, block: int = 20_000, exclude_self: bool = False) -> DataFrame:
+#: Columns up to which a k-d tree leaves most rows out, and how many queries and rows a task then takes.
+TREE, QUERIES, ROWS = 8, 50_000, 250_000
+
+
+def _apart(q: np.ndarray, x: np.ndarray, p: int) -> np.ndarray:
+    out = np.zeros((len(q), len(x)))
+    for j in range(x.shape[1]):
+        d = q[:, j, None] - x[None, :, j]
+        out += d * d if p == 2 else np.abs(d)
+    return out
+
+
+def close_pairs(q: np.ndarray, x: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all rows of ``x`` up to each query's k-th distance, by a k-d tree. Equal rows come in their order, and only the first ``k`` of them."""
+    order = np.lexsort(x.T[::-1])
+    s = x[order]
+    start = np.maximum.accumulate(np.where(np.r_[True, (s[1:] != s[:-1]).any(axis=1)], np.arange(len(s)), 0))
+    kept = order[np.arange(len(s)) - start < k]
+    s, block = x[kept], max(256, 4 * k)
+    tree = Forest([""])
+    tree.split(0, s, len(s), block)
+    of_rows, of_q = tree.leaves(s, [""] * len(s)), tree.leaves(q, [""] * len(q))
+    by_leaf = np.argsort(of_rows, kind="stable")
+    ends = np.searchsorted(of_rows[by_leaf], np.arange(len(tree.axis) + 1))
+    held = {v: by_leaf[ends[v] : ends[v + 1]] for v in range(len(tree.axis)) if ends[v] < ends[v + 1]}
+    d = x.shape[1]
+    tree.boxes([{"_b": v, **{f"l{i}": lo for i, lo in enumerate(s[r].min(axis=0))}, **{f"h{i}": hi for i, hi in enumerate(s[r].max(axis=0))}} for v, r in held.items()], d)
+    radius = np.full(len(q), np.inf)
+    asked = np.argsort(of_q, kind="stable")
+    for part in np.split(asked, np.flatnonzero(np.diff(of_q[asked])) + 1):
+        r = held.get(int(of_q[part[0]]), []) if len(part) else []
+        step = max(1, 2_000_000 // max(1, len(r)))
+        for at in range(0, len(part) if len(r) >= k else 0, step):
+            radius[part[at : at + step]] = np.partition(_apart(q[part[at : at + step]], s[r], p), k - 1, axis=1)[:, k - 1]
+    rr, cc = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    limit = radius * (1 + 1e-9) + 1e-12
+    for leaf, rows in tree.reached(q, limit if p == 2 else limit**2, 0):
+        step = max(1, 2_000_000 // len(held[leaf]))
+        for at in range(0, len(rows), step):
+            i, j = np.nonzero(_apart(q[rows[at : at + step]], s[held[leaf]], p) <= limit[rows[at : at + step], None])
+            rr.append(rows[at : at + step][i])
+            cc.append(kept[held[leaf][j]])
+    return np.concatenate(rr), np.concatenate(cc)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, columns: list[str], key: str, k: int, p: int = 2, carry: str | None = None, block: int | None = None, exclude_self: bool = False) -> DataFrame:
     """The exact ``k`` nearest rows of each query: (query, neighbour, dist, carried), by distance, then key.
 
-    Both sides are dealt into blocks; each pair of blocks is one task, which sends on ``k`` rows per query. This looks
-    at every pair, so the queries should be a stated, small part of the rows; for all against all use an index.
+    Both sides are dealt into blocks; each pair of blocks is one task, which sends on ``k`` rows per query. Up to ``TREE`` columns it
+    searches a k-d tree over its rows; beyond, it looks at every pair. Each query meets each block, so the queries should be a stated,
+    small part of the rows; for all against all use an index.
     """
-    nq, nr = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // block))
+    few = len(columns) <= TREE
+    nq, nr = (max(1, -(-df.count() // (block or (many if few else 20_000)))) for df, many in ((queries, QUERIES), (rows, ROWS)))
     names = [f"_x{i}" for i in range(len(columns))]
     pick = lambda df, side: df.select(F.lit(side).alias("_side"), F.col(key).cast("string").alias("_key"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)], (F.col(carry).cast("double") if carry and side else F.lit(None).cast("double")).alias("_c"))
     q = pick(queries, 0).withColumn("_q", F.pmod(F.xxhash64("_key"), F.lit(nq).cast("long"))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
@@ -248,26 +296,32 @@ def nearest(queries: DataFrame, rows: DataFrame, columns: list[str], key: str, k
 
     def run(t: pa.Table) -> pa.Table:
         side = t["_side"].to_numpy()
-        ids = np.array(t["_key"].to_pylist(), dtype=object)
+        key = t["_key"].combine_chunks()
+        number = key_type in ("bigint", "int", "smallint", "tinyint")
+        ids = key.cast(pa.int64()).to_numpy(zero_copy_only=False) if number else np.array(key.to_pylist(), dtype=object)
         carried = t["_c"].to_numpy(zero_copy_only=False)
         x = _numbers(t, names)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        number = key_type in ("bigint", "int", "smallint", "tinyint")
-        b = b[np.argsort(np.array([int(i) for i in ids[b]]) if number else ids[b].astype(str), kind="stable")]
-        out = {"query": [], "neighbour": [], "dist": [], "carried": []}
-        step = max(1, 4_000_000 // max(1, len(b) * (x.shape[1] if p == 1 else 1)))
-        for s in range(0, len(a), step):
+        b = b[np.argsort(ids[b] if number else ids[b].astype(str), kind="stable")]
+        one = k + 9 * exclude_self  # a key may stand in several rows
+        tree = few and len(names) > 0 and len(b) > max(1024, one) and bool(np.isfinite(x).all())
+        at, of, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        step = len(a) if tree else max(1, 4_000_000 // max(1, len(b) * (x.shape[1] if p == 1 else 1)))
+        for s in range(0, len(a), max(1, step)):
             part = a[s : s + step]
             if not len(b):
                 break
-            if p == 1:
-                d = np.abs(x[part][:, None] - x[b][None]).sum(2)
+            if tree:
+                rr, cc = close_pairs(x[part], x[b], one, p)
             else:
-                d = np.maximum((x[part] ** 2).sum(1)[:, None] + (x[b] ** 2).sum(1)[None] - 2 * x[part] @ x[b].T, 0)
-            want = min(len(b), k + 1 + 8)
-            close = np.partition(d, want - 1, axis=1)[:, want - 1]
-            rr, cc = np.nonzero(d <= close[:, None] * (1 + 1e-9) + 1e-12)
-            exact = ((x[part[rr]] - x[b[cc]]) ** 2).sum(1) if p == 2 else d[rr, cc]
+                if p == 1:
+                    d = np.abs(x[part][:, None] - x[b][None]).sum(2)
+                else:
+                    d = np.maximum((x[part] ** 2).sum(1)[:, None] + (x[b] ** 2).sum(1)[None] - 2 * x[part] @ x[b].T, 0)
+                want = min(len(b), k + 1 + 8)
+                close = np.partition(d, want - 1, axis=1)[:, want - 1]
+                rr, cc = np.nonzero(d <= close[:, None] * (1 + 1e-9) + 1e-12)
+            exact = ((x[part[rr]] - x[b[cc]]) ** 2).sum(1) if p == 2 else np.abs(x[part[rr]] - x[b[cc]]).sum(1)
             order = np.lexsort((cc, exact, rr))
             rr, cc, exact = rr[order], cc[order], exact[order]
             if exclude_self:
@@ -275,11 +329,11 @@ def nearest(queries: DataFrame, rows: DataFrame, columns: list[str], key: str, k
                 rr, cc, exact = rr[ok], cc[ok], exact[ok]
             rank = np.arange(len(rr)) - np.searchsorted(rr, rr, "left")
             top = rank < k
-            out["query"] += ids[part[rr[top]]].tolist()
-            out["neighbour"] += ids[b[cc[top]]].tolist()
-            out["dist"] += (np.sqrt(exact[top]) if p == 2 else exact[top]).tolist()
-            out["carried"] += carried[b[cc[top]]].tolist()
-        return pa.table({"query": pa.array(out["query"], pa.string()), "neighbour": pa.array(out["neighbour"], pa.string()), "dist": pa.array(out["dist"], pa.float64()), "carried": pa.array(out["carried"], pa.float64())})
+            at.append(part[rr[top]])
+            of.append(b[cc[top]])
+            dist.append(np.sqrt(exact[top]) if p == 2 else exact[top])
+        at, of = np.concatenate(at), np.concatenate(of)
+        return pa.table({"query": key.take(pa.array(at)), "neighbour": key.take(pa.array(of)), "dist": pa.array(np.concatenate(dist), pa.float64()), "carried": pa.array(carried[of], pa.float64())})
 
     from pyspark.sql import Window
 

@@ -100,6 +100,9 @@ def landmarks(ds: Dataset, key: str, k: int = 5, legacy_scale: bool = False) ->
     out = {}
     try:
         for name, make in makers.items():
+            if name == "LandmarkRandomNodeLearner" and len(cols) == 1:  # the same learner on the same column
+                out[name] = out["LandmarkDecisionNodeLearner"]
+                continue
             total = 0.0
             for f in range(k):
                 model = make().fit(frame.where(F.col("fold") != f))

@@ -143,3 +143,32 @@ def test_user_algorithm_and_cv(data):
     r = automl.Regressor("id", trials=1, evaluation="cv", include_algorithms=["mean_of_a"], include_steps={"preprocessor": ["empty"], "rescaler": ["empty"]}).fit(data.select("id", "a", "t"), "t")
     assert -r.score(data.select("id", "a", "t")) < 2
     del automl.REGRESSORS["mean_of_a"]
+
+
+@pytest.mark.parametrize("p", [1, 2])
+@pytest.mark.parametrize("d", [1, 3])
+def test_nearest_looks_at_few_pairs(monkeypatch, d, p):
+    rng = np.random.default_rng(d)
+    x = np.round(rng.normal(size=(30_000, d)), 2)  # many equal rows and equal distances
+    x[:9000] = x[0]
+    q = np.vstack([x[8_999:9_400], rng.normal(size=(100, d)) * 5])
+    seen = []
+    monkeypatch.setattr(classic, "_apart", lambda a, b, p, real=classic._apart: seen.append(len(a) * len(b)) or real(a, b, p))
+    r, c = classic.close_pairs(q, x, 5, p)
+    assert sum(seen) < 0.25 * len(q) * len(x)
+    far = np.abs(q[r] - x[c]).sum(1) if p == 1 else ((q[r] - x[c]) ** 2).sum(1)
+    order = np.lexsort((c, far, r))
+    for i in range(len(q)):
+        gaps = np.abs(q[i] - x).sum(1) if p == 1 else ((q[i] - x) ** 2).sum(1)
+        assert [c[j] for j in order if r[j] == i][:5] == np.lexsort((np.arange(len(x)), gaps))[:5].tolist() if i % 50 == 0 else True
+
+
+def test_nearest_by_tree_gives_what_all_pairs_give(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b), int(a > 0)) for i, (a, b) in enumerate(np.round(rng.normal(size=(4000, 2)), 1))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int").persist()
+    made = []
+    for few in (0, 8):
+        monkeypatch.setattr(classic, "TREE", few)
+        made.append([tuple(r) for r in classic.nearest(df.where("id % 50 = 0"), df, ["a", "b"], "id", 4, carry="y").orderBy("query", "rank").collect()])
+    assert made[0] == made[1] and len(made[0]) == 320
