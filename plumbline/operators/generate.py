@@ -519,12 +519,17 @@ class TreeEmbedding(Stage):
         return out
 
 
+#: Words that one task of Word2Vec is fitted on, on average.
+WORDS = 1_000_000
+
+
 @dataclass
 class TextVectors(Stage):
     """Texts as the mean of their words' vectors, plain or weighted by alpha / (alpha + tf) (tf: the word's count in its text).
 
     ``vectors`` is a frame (word, vector array<float>); words without a vector don't count, a text without known words is all zeros.
-    Words are joined by hash. Without ``vectors``, Word2Vec is fitted on the texts.
+    Words are joined by hash. Without ``vectors``, Word2Vec is fitted on all texts: in one task up to ``WORDS`` words, beyond in more, each on
+    its share of the texts from the same start, and a word's vector is the mean over the tasks that met it. ``options`` may name another ``numPartitions``.
     """
 
     vectors: DataFrame | None = None
@@ -543,7 +548,8 @@ class TextVectors(Stage):
         if vectors is None:
             from pyspark.ml.feature import Word2Vec
 
-            model = Word2Vec(vectorSize=self.size, inputCol="_w", outputCol="_v", seed=self.seed, **{"minCount": 2, "maxIter": 1, **self.options}).fit(words.where("_w is not null"))
+            parts = self.options.get("numPartitions") or max(1, -(-(words.where("_w is not null").agg(F.sum(F.size("_w").cast("long"))).first()[0] or 0) // WORDS))
+            model = Word2Vec(vectorSize=self.size, inputCol="_w", outputCol="_v", seed=self.seed, **{"minCount": 2, "maxIter": 1, **self.options, "numPartitions": parts}).fit(words.where("_w is not null"))
             vectors = model.getVectors().select("word", vector_to_array("vector").alias("vector"))
         per = words.select(self.key, F.explode("_w").alias("word")).groupBy(self.key, "word").agg(F.count("*").alias("tf")).join(vectors, "word")
         weight = F.col("tf") * (F.lit(self.alpha) / (self.alpha + F.col("tf")) if self.method == "weighted" else F.lit(1.0))

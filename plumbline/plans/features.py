@@ -15,7 +15,7 @@ from plumbline.operators import generate as G
 from plumbline.operators import scale as R
 from plumbline.operators import select as L
 from plumbline.operators import split as P
-from plumbline.session import table
+from plumbline.session import spread, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -382,7 +382,7 @@ def tree_embed(spark, d):
 
 @query()
 def text2vector(spark, d):
-    v = G.TextVectors(size=16).embed(table(spark, d, "documents"), "text")
+    v = G.TextVectors(size=16).embed(spread(table(spark, d, "documents")), "text")
     return v.select(F.size("vector").alias("size"), F.exists("vector", lambda x: x != 0).alias("known")).groupBy("size", "known").agg(F.count("*").alias("n"))
 
 

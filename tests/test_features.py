@@ -176,3 +176,17 @@ def test_kernel_features_hold_each_kernel_once(spark, kernel, kind):
             assert r["id"] == 5 and all(r[f] is None for f in new.features)
         else:
             assert np.allclose([r[f] for f in new.features], np.array(k) @ w + add, rtol=1e-5, atol=1e-5)
+
+
+def test_word_vectors_are_fitted_in_parts(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    asked = []
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, df, real=Word2Vec.fit: asked.append((self.getNumPartitions(), df.count())) or real(self, df))
+    rows = [(i, f"alpha beta gamma w{i % 9}") for i in range(90)] + [(90, None), (91, "once")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for words, parts in ((1000, 1), (50, 8)):
+        monkeypatch.setattr(generate, "WORDS", words, raising=False)
+        got = {r[0]: r[1] for r in generate.TextVectors(size=4).embed(df, "text").collect()}
+        assert asked.pop() == (parts, 91) and len(got) == 92
+        assert all(any(got[i]) for i in range(90)) and got[90] == got[91] == [0.0] * 4
