@@ -90,3 +90,11 @@ def test_few(spark):
     assert mih.similar_pairs(table(spark, {}, [("x", None, None)])).count() == 0
     assert mih.similar_pairs(table(spark, {"a": np.ones(32)})).count() == 0
     assert [tuple(r) for r in mih.similar_pairs(table(spark, {"a": np.ones(32), "b": np.ones(32)})).collect()] == [("a", "b")]
+
+
+def test_bound_is_never_under_the_smallest():
+    rng = np.random.default_rng(2)
+    for n in (7, 100, 256, 1001):
+        d = np.round(rng.normal(size=(40, n)), 1)
+        got, want = mih.not_under(d, 5), np.sort(d, axis=1)[:, 5]
+        assert (got >= want).all() and ((d <= got[:, None]).sum(1) < max(60, n / 5)).all()
