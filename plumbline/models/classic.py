@@ -7,13 +7,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.dataset import one_row
 from plumbline.operators.generate import EXPRESSIONS, moments, scatter
-from plumbline.operators.neighbours import Forest
-from plumbline.session import ship
+from plumbline.operators.neighbours import Forest, grown
+from plumbline.session import cut, ship
 
 
 @dataclass
@@ -344,6 +346,63 @@ def nearest(queries: DataFrame, rows: DataFrame, columns: list[str], key: str, k
     return ranked.select(F.col("query").cast(key_type).alias("query"), F.col("neighbour").cast(key_type).alias("neighbour"), "dist", "carried", "rank")
 
 
+def nearest_apart(rows: DataFrame, columns: list[str], part: str, key: str, carry: str, block: int = QUERIES) -> DataFrame:
+    """(*columns, ``part``, ``carry``): for each distinct point of each part, ``carry`` of the nearest row of any other part, of the smallest key among equally near ones.
+
+    All rows are asked for. ``columns`` are finite numbers, ``part`` is a small code, so a point has few entries. A point that another part
+    has too is settled by that; the rest are searched in the blocks of a k-d tree, and again in each other block that the ball to the nearest row found reaches.
+    """
+    names = [f"_x{i}" for i in range(len(columns))]
+    own = rows.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)], F.col(part).cast("int").alias("_f"), F.col(key).alias("_k"), F.col(carry).cast("int").alias("_c"))
+    entries = own.groupBy(*names, "_f").agg(F.min(F.struct("_k", "_c")).alias("e"))
+    sites = entries.groupBy(*names).agg(F.collect_list(F.struct("_f", "e._k", "e._c")).alias("at")).select(*names, "at", F.explode("at").alias("e"))
+    twin = F.array_min(F.transform(F.filter("at", lambda a: a["_f"] != F.col("e._f")), lambda a: F.struct(a["_k"], a["_c"])))
+    points = cut(sites.select(*names, "e._f", "e._k", "e._c", twin.alias("t")).select(*names, "_f", "_k", "_c", F.col("t").isNull().alias("_asked"), F.col("t._c").alias("_found"), F.lit("").alias("_g")))
+    answer = [*names, "_f", "_found"]
+    forest, placed = grown(points.drop("_found"), names, block, names)
+    cells = cut(placed)
+    kind = {f.name: f for f in cells.schema.fields}
+    wide = StructType([*[kind[c] for c in (*names, "_f", "_b")], StructField("_d", DoubleType())])
+    short = StructType([*[kind[c] for c in (*names, "_f")], StructField("_d", DoubleType()), StructField("_k", kind["_k"].dataType), StructField("_c", kind["_c"].dataType)])
+    both = StructType([*short.fields, kind["_b"]])
+
+    def searched(q: pa.Table, t: pa.Table) -> pa.Table:
+        at, x, mine = _numbers(q, names), _numbers(t, names), q["_f"].to_numpy()
+        order = pc.sort_indices(t["_k"].combine_chunks(), null_placement="at_start").to_numpy()
+        of = t["_f"].to_numpy()[order]
+        dist, who = np.full(len(at), np.inf), np.full(len(at), -1, np.int64)
+        for f in np.unique(mine):
+            a, b = np.flatnonzero(mine == f), order[of != f]
+            if not len(b):
+                continue
+            rr, cc = close_pairs(at[a], x[b], 1, 2)
+            exact = ((at[a[rr]] - x[b[cc]]) ** 2).sum(1)
+            by = np.lexsort((cc, exact, rr))
+            rr, first = np.unique(rr[by], return_index=True)
+            dist[a[rr]], who[a[rr]] = exact[by[first]], b[cc[by[first]]]
+        take = pa.array(who, mask=who < 0)
+        return pa.table({**{c: q[c] for c in (*names, "_f")}, "_d": pa.array(dist), "_k": t["_k"].take(take), "_c": t["_c"].take(take)})
+
+    def inner(t: pa.Table) -> pa.Table:
+        q = t.filter(t["_asked"])
+        return searched(q, t).append_column("_b", q["_b"])
+
+    def across(batches):
+        for b in batches:
+            x, home, d = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1), b.column("_b").to_numpy(), b.column("_d").to_numpy()
+            for leaf, hit in forest.reached(x, d, forest.root.get("", 0)):
+                hit = hit[home[hit] != leaf]
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(hit)) for c in (*names, "_f")], pa.array(np.full(len(hit), leaf), pa.int64()), b.column("_d").take(pa.array(hit))], names=[*names, "_f", "_b", "_d"])
+
+    inside = cut(cells.groupBy("_b").applyInArrow(inner, both))
+    beyond = inside.select(*names, "_f", "_b", "_d").mapInArrow(across, wide)
+    outside = beyond.groupBy("_b").cogroup(cells.groupBy("_b")).applyInArrow(searched, short)
+    nearest_of = inside.drop("_b").unionByName(outside).groupBy(*names, "_f").agg(F.min(F.struct("_d", "_k", "_c"))["_c"].alias("_found"))
+    out = points.where("not _asked").select(answer).unionByName(nearest_of.select(answer))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, columns)], F.col("_f").alias(part), F.col("_found").alias(carry))
+
+
 @dataclass
 class NearestNeighbours(Model):
     """Votes or means of the k nearest fitted rows; ``weights`` uniform or distance; ``p`` 1 or 2."""

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from plumbline.session import cut, ship
 
@@ -109,20 +110,16 @@ def _sorted(t: pa.Table, columns: list[str], k: int):
     return t, x, ids, start, np.arange(len(x)) - start <= k
 
 
-def nearest(df: DataFrame, columns: list[str], k: int = 1, group: str | None = None, block: int = 4096) -> DataFrame:
-    """(_id, near: the ids of the ``k`` nearest other rows, near ones first), within each value of ``group`` if given.
+def grown(points: DataFrame, xs: list[str], block: int, salt: list[str]) -> tuple[Forest, DataFrame]:
+    """The k-d trees of each group _g of ``points``, and the points with the leaf _b that they lie in.
 
-    ``df`` must be a fixed copy with finite numbers and an ``_id`` that grows in the order of ``columns``, which also settles equal
-    distances. Rows lie in blocks of about ``block``, the leaves of a k-d tree. Each is searched in its own block; where the ball
-    to its k-th neighbour reaches the box of another block, it is searched there as well, so no pair is lost at an edge.
-    Of equal points only the first k + 1 can be a neighbour, so a block of many isn't compared pairwise.
+    Leaves are halved at medians of samples until they hold about ``block`` rows. The samples only say where a block ends: all points are placed,
+    and the boxes are those of all points. ``salt`` are the columns that a sample is drawn by.
     """
-    spark, d = df.sparkSession, len(columns)
-    ship(spark)
-    points = df.select("_id", (F.col(group).cast("string") if group else F.lit("")).alias("_g"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    xs = [f"x{i}" for i in range(d)]
+    d = len(xs)
+    ship(points.sparkSession)
     forest = Forest([r["_g"] for r in points.select("_g").distinct().collect()])
-    wide = f"_id long, _g string, {', '.join(f'{c} double' for c in xs)}, _b long"
+    wide = StructType([*points.schema.fields, StructField("_b", LongType())])
 
     def placed(tree: Forest) -> DataFrame:
         def step(batches):
@@ -138,14 +135,30 @@ def nearest(df: DataFrame, columns: list[str], k: int = 1, group: str | None = N
         if not large:
             break
         share = min(1.0, max(SAMPLE, SAMPLE_BLOCK * len(large)) / sum(large.values()))
-        sample = placed(forest).where(F.col("_b").isin(list(large)) & (F.pmod(F.xxhash64("_id", F.lit(len(forest.axis))), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("_b", *xs).collect()
+        sample = placed(forest).where(F.col("_b").isin(list(large)) & (F.pmod(F.xxhash64(*salt, F.lit(len(forest.axis))), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("_b", *xs).collect()
         held: dict[int, list] = {}
         for r in sample:
             held.setdefault(r["_b"], []).append(r[1:])
         if not any([forest.split(b, np.array(held[b]), n, block) for b, n in large.items() if b in held]):
             break  # what is left are runs of equal points
     forest.boxes(boxes, d)
-    cells = cut(placed(forest))
+    return forest, placed(forest)
+
+
+def nearest(df: DataFrame, columns: list[str], k: int = 1, group: str | None = None, block: int = 4096) -> DataFrame:
+    """(_id, near: the ids of the ``k`` nearest other rows, near ones first), within each value of ``group`` if given.
+
+    ``df`` must be a fixed copy with finite numbers and an ``_id`` that grows in the order of ``columns``, which also settles equal
+    distances. Rows lie in blocks of about ``block``, the leaves of a k-d tree. Each is searched in its own block; where the ball
+    to its k-th neighbour reaches the box of another block, it is searched there as well, so no pair is lost at an edge.
+    Of equal points only the first k + 1 can be a neighbour, so a block of many isn't compared pairwise.
+    """
+    d = len(columns)
+    points = df.select("_id", (F.col(group).cast("string") if group else F.lit("")).alias("_g"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    xs = [f"x{i}" for i in range(d)]
+    wide = f"_id long, _g string, {', '.join(f'{c} double' for c in xs)}, _b long"
+    forest, placed = grown(points, xs, block, ["_id"])
+    cells = cut(placed)
 
     def own(t: pa.Table) -> pa.Table:
         t, x, ids, start, first = _sorted(t, xs, k)

@@ -12,6 +12,7 @@ from plumbline.dataset import CATEGORICAL, NUMBERS, Chain, Dataset, one_row
 from plumbline.operators.clean import Impute, OneHot
 from plumbline.operators.generate import _signed, linear, moments
 from plumbline.operators.scale import Standard
+from plumbline.session import cut
 
 
 def missing(c: str, number: bool) -> Column:
@@ -84,37 +85,49 @@ def pca_features(ds: Dataset) -> dict[str, float]:
 
 
 def landmarks(ds: Dataset, key: str, k: int = 5, legacy_scale: bool = False) -> dict[str, float]:
-    """Cross-validated accuracy of simple learners: LDA, naive Bayes, trees, stumps, nearest neighbour."""
-    from plumbline.models.classic import LDA, GaussianNB, NearestNeighbours
-    from plumbline.models.trees import Tree
+    """Cross-validated accuracy of simple learners: LDA, naive Bayes, trees, stumps, nearest neighbour.
+
+    All of them learn from all rows outside a fold and are tested on all rows of it. Trees look for thresholds between all values.
+    """
+    from plumbline.models.cart import Cart, grow, right
+    from plumbline.models.classic import LDA, GaussianNB, nearest_apart
     from plumbline.operators.clean import encode_labels
     from plumbline.operators.split import folds
 
     p = prepared(ds)
     cols = p.of_kind(*NUMBERS)
+    xs = [f"_x{i}" for i in range(len(cols))]
     frame = encode_labels(folds(p.df, key, k, ds.label), ds.label, "_y").where("_y is not null").persist()
-    makers = {
-        "LandmarkLDA": lambda: LDA(cols, "_y"), "LandmarkNaiveBayes": lambda: GaussianNB(cols, "_y"), "Landmark1NN": lambda: NearestNeighbours(cols, "_y", key=key, k=1),
-        "LandmarkDecisionTree": lambda: Tree(cols, "_y", depth=10), "LandmarkDecisionNodeLearner": lambda: Tree(cols, "_y", depth=1, impurity="entropy"), "LandmarkRandomNodeLearner": lambda: Tree(cols[:1], "_y", depth=1, impurity="entropy"),
-    }
+    makers = {"LandmarkLDA": lambda: LDA(cols, "_y"), "LandmarkNaiveBayes": lambda: GaussianNB(cols, "_y")}
     out = {}
     try:
         for name, make in makers.items():
-            if name == "LandmarkRandomNodeLearner" and len(cols) == 1:  # the same learner on the same column
-                out[name] = out["LandmarkDecisionNodeLearner"]
-                continue
             total = 0.0
             for f in range(k):
                 model = make().fit(frame.where(F.col("fold") != f))
-                test = frame.where(F.col("fold") == f)
-                if name == "Landmark1NN":  # a search: its queries are the rows whose key is divisible by 50
-                    test = test.where(F.col(key) % 50 == 0)
-                got = model.predict(test).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
+                got = model.predict(frame.where(F.col("fold") == f)).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
                 total += got or 0.0
-            out[name] = total / k * (0.5 if legacy_scale else 1)
+            out[name] = total / k
+        # equal rows of a fold and class are one cell
+        numbers = [F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)]
+        cells = cut(frame.select(*numbers, F.col("fold").alias("_f"), "_y", F.col(key).alias("_k")).groupBy(*xs, "_f", "_y").agg(F.count("*").alias("_n"), F.min("_k").alias("_k")))
     finally:
         frame.unpersist()
-    return out
+    sizes = {r["_f"]: r["n"] for r in cells.groupBy("_f").agg(F.sum("_n").alias("n")).collect()}
+    near = nearest_apart(cells, xs, "_f", "_k", "_y").withColumnRenamed("_y", "_said")
+    hits = {r["_f"]: r["n"] for r in cells.join(near, [*xs, "_f"]).where("_said = _y").groupBy("_f").agg(F.sum("_n").alias("n")).collect()}
+    trees = {"LandmarkDecisionTree": (len(cols), 10, True), "LandmarkDecisionNodeLearner": (len(cols), 1, False), "LandmarkRandomNodeLearner": (1, 1, False)}
+    if len(cols) == 1:  # the same learner on the same column
+        trees.pop("LandmarkRandomNodeLearner")
+    grown = [Cart(f, d, depth, gini) for d, depth, gini in trees.values() for f in range(k)]
+    grow(cells, xs, grown)
+    good = right(cells, xs, grown)
+    share = lambda n, f: n / sizes[f] if sizes.get(f) else 0.0
+    out["Landmark1NN"] = sum(share(hits.get(f, 0), f) for f in range(k)) / k
+    for i, name in enumerate(trees):
+        out[name] = sum(share(n, f) for f, n in enumerate(good[i * k : i * k + k])) / k
+    out.setdefault("LandmarkRandomNodeLearner", out["LandmarkDecisionNodeLearner"])
+    return {name: v * (0.5 if legacy_scale else 1) for name, v in out.items()}
 
 
 def as_frame(df: DataFrame, features: dict[str, float]) -> DataFrame:
